@@ -116,8 +116,6 @@ def transverse_mercator(lon: Column, lat: Column, central: Column, scale: float
 
 def from_transverse_mercator(x: Column, y: Column, central: Column, scale: float = 0.9996, east: float = 500000.0, north: Column | float = 0.0) -> tuple[Column, Column]:
     radius, _, beta = _series()
-    e2 = 1.0 / WGS84_INVERSE_FLATTENING * (2.0 - 1.0 / WGS84_INVERSE_FLATTENING)
-    e = e2**0.5
     xi, eta = (y - north) / (radius * scale), (x - east) / (radius * scale)
     xi0, eta0 = xi, eta
     for k, b in enumerate(beta, 1):
@@ -125,13 +123,14 @@ def from_transverse_mercator(x: Column, y: Column, central: Column, scale: float
         eta0 = eta0 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
     conformal = F.sin(xi0) / F.sqrt(F.pow(F.sinh(eta0), 2) + F.pow(F.cos(xi0), 2))
     lam = F.atan2(F.sinh(eta0), F.cos(xi0))
-    tau = conformal
-    for _ in range(3):  # Newton steps from the conformal to the true latitude
-        s = F.sinh(e * F.atanh(e * tau / F.sqrt(1.0 + tau * tau)))
-        now = tau * F.sqrt(1.0 + s * s) - s * F.sqrt(1.0 + tau * tau)
-        tau = tau + (conformal - now) / F.sqrt(1.0 + now * now) * (1.0 + (1.0 - e2) * tau * tau) / ((1.0 - e2) * F.sqrt(1.0 + tau * tau))
-    return F.degrees(lam) + central, F.degrees(F.atan(tau))
-
+    # latitude from conformal latitude by its own series, so that no term grows with each step
+    chi = F.atan(conformal)
+    n = 1.0 / (2.0 * WGS84_INVERSE_FLATTENING - 1.0)
+    series = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    lat = chi
+    for k, delta in enumerate(series, 1):
+        lat = lat + delta * F.sin(2 * k * chi)
+    return F.degrees(lam) + central, F.degrees(lat)
 
 def utm_zone(lon: Column, lat: Column) -> Column:
     """1 to 60, negative in the south; with the wider zones of south-west Norway and Svalbard."""

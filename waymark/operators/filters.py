@@ -115,7 +115,7 @@ def all_matches(features: DataFrame, rules: Sequence[Rule], zoom: int) -> DataFr
 
 def first_match(features: DataFrame, rules: Sequence[Rule], zoom: int) -> DataFrame:
     """(id, rule) of the first rule that a feature meets; the rest are left out."""
-    found = features.select("id", F.element_at(_matching(rules, F.lit(zoom)), 1).alias("m"))
+    found = features.select("id", F.try_element_at(_matching(rules, F.lit(zoom)), F.lit(1)).alias("m"))
     return found.where("m is not null").select("id", "m.rule")
 
 

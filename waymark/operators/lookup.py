@@ -70,7 +70,8 @@ def position_at(probes: DataFrame, path: DataFrame, bin_width: float = 1000.0) -
 def distance_markers(path: DataFrame, every: float = 1000.0) -> DataFrame:
     """(track_id, at, lon, lat): a marker at each whole multiple of ``every`` metres of a path."""
     ends = path.groupBy("track_id").agg(F.max("dist").alias("end"))
-    marks = ends.where(F.col("end") >= every).select("track_id", (F.explode(F.sequence(F.lit(1), F.floor(F.col("end") / every).cast("int"))) * every).alias("at"))
+    numbers = F.explode(F.sequence(F.lit(1), F.floor(F.col("end") / every).cast("int"))).alias("k")
+    marks = ends.where(F.col("end") >= every).select("track_id", numbers).select("track_id", (F.col("k") * every).alias("at"))
     return position_at(marks, path, max(every, 1000.0))
 
 

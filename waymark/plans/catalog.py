@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import motion
+from waymark.plans import live, maps, motion, places, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (motion,)
+_PARTS = (motion, places, maps, scalars, live)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
