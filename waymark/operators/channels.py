@@ -20,7 +20,10 @@ COLUMNS = {
     "cadence": "cadence",
     "power": "power",
 }
-_SERIES = Window.partitionBy("track_id", "seg_no", "channel")
+
+
+def _series():
+    return Window.partitionBy("track_id", "seg_no", "channel")
 
 
 def unpivoted(enriched: DataFrame, channels: list[str]) -> DataFrame:
@@ -50,14 +53,14 @@ def smoothed(series: DataFrame, windows: dict[str, int] | None = None) -> DataFr
     windows = WINDOWS if windows is None else windows
     if any(w % 2 == 0 for w in windows.values()):
         raise ValueError("smoothing windows must be odd")
-    order = _SERIES.orderBy("pt_no")
-    out = series.withColumns({"g_no": F.row_number().over(order) - 1, "n": F.count("*").over(_SERIES)}).withColumn("raw", F.col("y"))
+    order = _series().orderBy("pt_no")
+    out = series.withColumns({"g_no": F.row_number().over(order) - 1, "n": F.count("*").over(_series())}).withColumn("raw", F.col("y"))
     result: Column = F.col("raw")
     for width in sorted({w for w in windows.values() if w > 1}):
         half = width // 2
         out = out.withColumn(f"mean{width}", F.avg("raw").over(order.rowsBetween(-half, half)))
-        first = F.max(F.when(F.col("g_no") == half, F.col(f"mean{width}"))).over(_SERIES)
-        last = F.max(F.when(F.col("g_no") == F.col("n") - 1 - half, F.col(f"mean{width}"))).over(_SERIES)
+        first = F.max(F.when(F.col("g_no") == half, F.col(f"mean{width}"))).over(_series())
+        last = F.max(F.when(F.col("g_no") == F.col("n") - 1 - half, F.col(f"mean{width}"))).over(_series())
         held = F.when(F.col("g_no") < half, first).when(F.col("g_no") > F.col("n") - 1 - half, last).otherwise(F.col(f"mean{width}"))
         names = [c for c, w in windows.items() if w == width]
         result = F.when(F.col("channel").isin(names) & (F.col("n") >= width), held).otherwise(result)

@@ -14,10 +14,22 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 
-_SEGMENT = Window.partitionBy("track_id", "seg_no")
-_ORDER = _SEGMENT.orderBy("pt_no")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
-_TRACK_BEFORE = Window.partitionBy("track_id").orderBy("seg_no").rangeBetween(Window.unboundedPreceding, -1)
+
+def _segment():
+    return Window.partitionBy("track_id", "seg_no")
+
+
+def _order():
+    return _segment().orderBy("pt_no")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _track_before():
+    return Window.partitionBy("track_id").orderBy("seg_no").rangeBetween(Window.unboundedPreceding, -1)
+
 #: Steps shorter than this many seconds have no speed of their own.
 SHORTEST_STEP = 1e-3
 
@@ -52,12 +64,12 @@ def steps(points: DataFrame) -> DataFrame:
     Time that doesn't advance counts as a step of 0 s. ``timed`` holds if every
     point of the segment and of all segments before it has a time.
     """
-    before = F.lag(F.struct("lon", "lat", "ts")).over(_ORDER)
+    before = F.lag(F.struct("lon", "lat", "ts")).over(_order())
     moved = geo.distance(before["lon"], before["lat"], F.col("lon"), F.col("lat"))
     passed = F.when(F.col("ts") > before["ts"], (micros(F.col("ts")) - micros(before["ts"])) / 1e6).otherwise(0.0)
-    first = F.row_number().over(_ORDER) == 1
+    first = F.row_number().over(_order()) == 1
     complete = F.min(F.col("ts").isNotNull()).over(Window.partitionBy("track_id").orderBy("seg_no").rangeBetween(Window.unboundedPreceding, 0))
-    own = F.min(F.col("ts").isNotNull()).over(_SEGMENT)
+    own = F.min(F.col("ts").isNotNull()).over(_segment())
     return points.withColumns(
         {"is_first": first, "ds": F.when(first, 0.0).otherwise(moved), "own_times": own, "timed": complete}
     ).withColumn("dt", F.when(F.col("own_times"), F.when(F.col("is_first"), 0.0).otherwise(passed)))
@@ -68,10 +80,10 @@ def raw_motion(points: DataFrame) -> DataFrame:
     out = steps(points)
     moves = F.col("dt") >= SHORTEST_STEP
     own_speed = F.when(moves, F.col("ds") / F.col("dt"))
-    speed = F.when(F.col("own_times"), F.coalesce(F.last(own_speed, True).over(_SO_FAR), F.lit(0.0)))
-    out = out.withColumns({"seg_dist": F.sum("ds").over(_SO_FAR), "seg_time": F.sum("dt").over(_SO_FAR), "raw_speed": speed})
-    change = F.when(moves, (F.col("raw_speed") - F.lag("raw_speed").over(_ORDER)) / F.col("dt"))
-    return out.withColumn("acceleration", F.when(F.col("own_times"), F.coalesce(F.last(change, True).over(_SO_FAR), F.lit(0.0))))
+    speed = F.when(F.col("own_times"), F.coalesce(F.last(own_speed, True).over(_so_far()), F.lit(0.0)))
+    out = out.withColumns({"seg_dist": F.sum("ds").over(_so_far()), "seg_time": F.sum("dt").over(_so_far()), "raw_speed": speed})
+    change = F.when(moves, (F.col("raw_speed") - F.lag("raw_speed").over(_order())) / F.col("dt"))
+    return out.withColumn("acceleration", F.when(F.col("own_times"), F.coalesce(F.last(change, True).over(_so_far()), F.lit(0.0))))
 
 
 def pauses(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataFrame:
@@ -83,20 +95,20 @@ def pauses(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataFra
     if not options.detect_pauses:
         return moving.withColumns({"is_stop": F.lit(False), "pause": F.lit(0.0)})
     if options.automatic_pause:
-        limit = F.when(F.avg("raw_speed").over(_SEGMENT) > 2.8, 0.40).otherwise(0.15)
+        limit = F.when(F.avg("raw_speed").over(_segment()) > 2.8, 0.40).otherwise(0.15)
     else:
         limit = F.lit(options.pause_speed)
     interval = 10.0 if options.automatic_pause else options.pause_interval
     out = moving.withColumn("pause_limit", limit)
     fast = F.coalesce(F.col("raw_speed") > F.col("pause_limit"), F.lit(True)) & ~F.col("is_first")
     # a fast point opens a run: it is the point before the slow ones that follow
-    out = out.withColumn("run", F.sum(fast.cast("int")).over(_SO_FAR))
+    out = out.withColumn("run", F.sum(fast.cast("int")).over(_so_far()))
     run = Window.partitionBy("track_id", "seg_no", "run")
     lasts = F.max("seg_time").over(run) - F.min("seg_time").over(run)
     out = out.withColumn("lasts", lasts)
     is_stop = F.coalesce(F.col("own_times") & (F.col("lasts") > interval) & (F.count("*").over(run) > 1), F.lit(False))
     out = out.withColumn("is_stop", is_stop)
-    at_end = F.lead("run").over(_ORDER)
+    at_end = F.lead("run").over(_order())
     ends = F.col("is_stop") & (at_end.isNull() | (at_end != F.col("run")))
     return out.withColumn("pause", F.when(ends, F.col("lasts")).otherwise(0.0)).drop("run", "lasts", "pause_limit")
 
@@ -129,7 +141,7 @@ def cleaned(flagged: DataFrame) -> DataFrame:
     before it: from its clean distance, or its raw one if it is an outlier.
     """
     inner = F.coalesce(
-        F.col("is_stop") & F.lag("is_stop").over(_ORDER) & F.lead("is_stop").over(_ORDER), F.lit(False)
+        F.col("is_stop") & F.lag("is_stop").over(_order()) & F.lead("is_stop").over(_order()), F.lit(False)
     )
     out = flagged.withColumn("is_inner_stop", inner)
     kept = Window.partitionBy("track_id", "seg_no", "is_outlier").orderBy("pt_no")
@@ -148,10 +160,10 @@ def cleaned(flagged: DataFrame) -> DataFrame:
     # segments without times keep their raw distances
     clean = F.when(F.col("own_times"), clean).otherwise(F.col("seg_dist"))
     out = out.withColumns({"clean_dist": clean, "clean_speed": speed})
-    last = F.lead("pt_no").over(_ORDER).isNull()
+    last = F.lead("pt_no").over(_order()).isNull()
     out = out.withColumns({"end_dist": F.when(last, F.col("clean_dist")), "end_time": F.when(last, F.col("seg_time"))})
-    base = F.coalesce(F.sum("end_dist").over(_TRACK_BEFORE), F.lit(0.0))
-    base_time = F.coalesce(F.sum("end_time").over(_TRACK_BEFORE), F.lit(0.0))
+    base = F.coalesce(F.sum("end_dist").over(_track_before()), F.lit(0.0))
+    base_time = F.coalesce(F.sum("end_time").over(_track_before()), F.lit(0.0))
     return out.withColumns(
         {
             "dist": base + F.col("clean_dist"),
@@ -181,7 +193,7 @@ def valid_tracks(points: DataFrame) -> DataFrame:
 
 def without_repeats(points: DataFrame) -> DataFrame:
     """Points that differ in place from the point before them."""
-    before = F.lag(F.struct("lon", "lat")).over(_ORDER)
+    before = F.lag(F.struct("lon", "lat")).over(_order())
     return points.withColumn("same", F.coalesce((before["lon"] == F.col("lon")) & (before["lat"] == F.col("lat")), F.lit(False))).where("not same").drop("same")
 
 

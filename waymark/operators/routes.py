@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 
-_ORDER = Window.partitionBy("route_id").orderBy("pt_no")
+
+def _order():
+    return Window.partitionBy("route_id").orderBy("pt_no")
 
 
 def with_distance(routepoints: DataFrame) -> DataFrame:
     """Add dist, the cumulative distance."""
-    before = F.lag(F.struct("lon", "lat")).over(_ORDER)
+    before = F.lag(F.struct("lon", "lat")).over(_order())
     step = F.coalesce(geo.distance(before["lon"], before["lat"], F.col("lon"), F.col("lat")), F.lit(0.0))
-    return routepoints.withColumn("ds", step).withColumn("dist", F.sum("ds").over(_ORDER)).drop("ds")
+    return routepoints.withColumn("ds", step).withColumn("dist", F.sum("ds").over(_order())).drop("ds")
 
 
 def totals(routepoints: DataFrame) -> DataFrame:
@@ -26,4 +28,4 @@ def elevation_graph(routepoints: DataFrame) -> DataFrame:
     """(route_id, g_no, s, y): elevation over distance at points that have one; neither time nor smoothing."""
     rows = with_distance(routepoints).where("ele is not null")
     n = F.count("*").over(Window.partitionBy("route_id"))
-    return rows.withColumns({"g_no": F.row_number().over(_ORDER) - 1, "n": n}).where("n >= 2").select("route_id", "g_no", F.col("dist").alias("s"), F.col("ele").alias("y"))
+    return rows.withColumns({"g_no": F.row_number().over(_order()) - 1, "n": n}).where("n >= 2").select("route_id", "g_no", F.col("dist").alias("s"), F.col("ele").alias("y"))

@@ -35,7 +35,7 @@ def sentences(lines: DataFrame) -> DataFrame:
     lon = texts.nmea_angle(F.get("f", lat_at + 2), F.get("f", lat_at + 3))
     usable = F.when(is_("RMC"), f(1) == "A").when(is_("GGA"), F.coalesce(f(5) != "0", F.lit(False))).otherwise(F.lit(True))
     date = F.when(is_("RMC"), _date(f(8))).when(is_("ZDA"), F.when(f(3).rlike(r"^\d{4}$"), F.format_string("%s-%s-%s", f(3), f(2), f(1))))
-    ele = F.when(is_("GGA"), f(8).try_cast("double"))
+    ele = F.when(is_("GGA"), f(8).try_cast("double") - F.coalesce(f(10).try_cast("double"), F.lit(0.0)))
     return rows.select(
         "file", "nth", "kind", date.alias("date"), F.when(~is_("WPL"), _seconds(f(0))).alias("time_of_day"), F.when(usable, lon).alias("lon"), F.when(usable, lat).alias("lat"), ele.alias("ele"), F.when(is_("WPL"), f(4)).alias("name")
     )
@@ -51,11 +51,10 @@ def read_nmea(spark: SparkSession, path: str, glob: str = "*.nmea") -> Loaded:
     s = s.withColumns({"day": F.last("date", True).over(w), "gga": F.max((F.col("kind") == "GGA").cast("int")).over(w)})
     fixes = s.where(geo.valid(F.col("lon"), F.col("lat")) & ((F.col("kind") == "GGA") | ((F.col("kind") == "RMC") & (F.col("gga") == 0))))
     # a new date resets the count of midnights since it was told
-    told = F.count("date").over(w)
-    fixes = fixes.withColumn("told", told) if "told" in fixes.columns else fixes.join(s.select("file", "nth", told.alias("told")), ["file", "nth"])
-    in_day = Window.partitionBy("file", "told").orderBy("nth")
-    back = F.coalesce(F.col("time_of_day") < F.lag("time_of_day").over(in_day), F.lit(False)).cast("int")
-    fixes = fixes.withColumn("back", back).withColumn("days", F.sum("back").over(in_day))
+    fixes = fixes.join(s.select("file", "nth", F.count("date").over(w).alias("told")), ["file", "nth"])
+    before = F.lag(F.struct("time_of_day", "day")).over(w)
+    goes_back = (F.col("kind") == "GGA") & (F.col("time_of_day") < before["time_of_day"]) & (F.col("day") == before["day"])
+    fixes = fixes.withColumn("back", F.coalesce(goes_back, F.lit(False)).cast("int")).withColumn("days", F.sum("back").over(Window.partitionBy("file", "told").orderBy("nth")))
     micros = (F.col("time_of_day") * 1e6).cast("long") + F.unix_micros(F.date_add(F.col("day").cast("date"), F.col("days").cast("int")).cast("timestamp"))
     points = fixes.select("file", F.lit(0).alias("track_no"), F.lit(0).alias("seg_no"), (F.row_number().over(w) - 1).alias("pt_no"), "lon", "lat", "ele", F.when(F.col("day").isNotNull(), F.timestamp_micros(micros)).alias("ts"))
     way = s.where((F.col("kind") == "WPL") & geo.valid(F.col("lon"), F.col("lat"))).select("file", F.col("nth").alias("wpt_no"), "lon", "lat", "name")

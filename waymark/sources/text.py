@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, projection, texts
 from waymark.sources.common import Loaded, first_error, in_file, number, split_valid, whole_lines, without_failed
 
-_LINES = Window.partitionBy("file").orderBy("line_no")
+
+def _lines():
+    return Window.partitionBy("file").orderBy("line_no")
 
 
 def _part(parts: str, i: int) -> Column:
@@ -37,7 +39,7 @@ def read_cup(spark: SparkSession, path: str, glob: str = "*.cup") -> Loaded:
 
     rows = whole_lines(spark, path, glob).where("trim(line) <> ''")
     marker = F.lower("line").rlike("^-+related tasks-+").cast("int")
-    rows = rows.withColumn("in_tasks", F.max(marker).over(_LINES)).where(~F.lower("line").rlike("^-+related tasks-+"))
+    rows = rows.withColumn("in_tasks", F.max(marker).over(_lines())).where(~F.lower("line").rlike("^-+related tasks-+"))
     fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(20))), {"quote": '"'})
     rows = rows.withColumn("c", fields)
     metres = F.when(F.col("c.c5").rlike("(?i)ft$"), 0.3048).otherwise(1.0)
@@ -56,7 +58,7 @@ def read_cup(spark: SparkSession, path: str, glob: str = "*.cup") -> Loaded:
 def read_dashcam(spark: SparkSession, path: str, glob: str = "*.txt") -> Loaded:
     """A $V02 line starts a track; rows of 13 fields with status A; times in epoch seconds, speeds in hundredths."""
     rows = whole_lines(spark, path, glob)
-    rows = rows.withColumn("track_no", F.sum(F.startswith("line", F.lit("$V02")).cast("int")).over(_LINES) - 1).withColumn("f", F.split("line", ","))
+    rows = rows.withColumn("track_no", F.sum(F.startswith("line", F.lit("$V02")).cast("int")).over(_lines()) - 1).withColumn("f", F.split("line", ","))
     fixes = rows.where((F.size("f") == 13) & (_part("f", 1) == "A") & (F.col("track_no") >= 0))
     pts = fixes.select(
         "file", "line_no", "track_no", F.lit(0).alias("seg_no"), F.timestamp_seconds(_part("f", 0).try_cast("long")).alias("ts"), number(_part("f", 2)).alias("lat"), number(_part("f", 3)).alias("lon"), (number(_part("f", 4)) * 0.01).alias("speed"), number(_part("f", 6)).alias("ele")
@@ -67,7 +69,7 @@ def read_dashcam(spark: SparkSession, path: str, glob: str = "*.txt") -> Loaded:
 
 def read_itn(spark: SparkSession, path: str, glob: str = "*.itn") -> Loaded:
     """A route a file: lon, lat in hundred-thousandths of degrees, name; fields end with a bar."""
-    rows = whole_lines(spark, path, glob, "windows-1252").where("trim(line) <> ''").withColumn("f", F.split("line", r"\|"))
+    rows = whole_lines(spark, path, glob, "ISO-8859-1").where("trim(line) <> ''").withColumn("f", F.split("line", r"\|"))
     pts = rows.select("file", "line_no", F.lit(0).alias("route_no"), (number(_part("f", 0)) / 1e5).alias("lon"), (number(_part("f", 1)) / 1e5).alias("lat"), _part("f", 2).alias("name"))
     good, errors = split_valid(pts, "invalid line")
     return Loaded(routepoints=_ranked(good, "pt_no", ["file"]), errors=errors).completed(spark)
@@ -84,14 +86,14 @@ def _shifted(points: DataFrame, datums: DataFrame | None) -> tuple[DataFrame, Da
 
 def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None) -> Loaded:
     """Track (plt), route (rte) and waypoint (wpt) files: datum in line 2, elevations in feet (-777: none), times as day numbers."""
-    rows = whole_lines(spark, path, f"*.{kind}", "windows-1252")
+    rows = whole_lines(spark, path, f"*.{kind}", "ISO-8859-1")
     rows = rows.withColumn("datum", F.max(F.when(F.col("line_no") == 2, F.trim("line"))).over(Window.partitionBy("file"))).withColumn("f", F.split("line", ","))
     feet = lambda i: F.when(number(_part("f", i)) != -777, number(_part("f", i)) * 0.3048)
     if kind == "plt":
         body = rows.where("line_no > 6 and trim(line) <> ''")
         new = (_part("f", 2) == "1").cast("int")
         pts = body.select("file", "line_no", "datum", F.lit(0).alias("track_no"), number(_part("f", 1)).alias("lon"), number(_part("f", 0)).alias("lat"), feet(3).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), new.alias("new"))
-        pts = pts.withColumn("seg_no", F.greatest(F.sum("new").over(_LINES) - 1, F.lit(0))).drop("new")
+        pts = pts.withColumn("seg_no", F.greatest(F.sum("new").over(_lines()) - 1, F.lit(0))).drop("new")
     elif kind == "rte":
         body = rows.where(_part("f", 0) == "W")
         pts = body.select("file", "line_no", "datum", number(_part("f", 1)).cast("int").alias("route_no"), number(_part("f", 6)).alias("lon"), number(_part("f", 5)).alias("lat"), _part("f", 4).alias("name"))
@@ -110,8 +112,8 @@ def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None
 
 def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataFrame | None = None) -> Loaded:
     """Records by letter: G sets the datum of later lines, U the projection, T are trackpoints and W waypoints."""
-    rows = whole_lines(spark, path, f"*.{kind}", "windows-1252").withColumn("f", F.split(F.trim("line"), r"\s+"))
-    datum = F.last(F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))), True).over(_LINES)
+    rows = whole_lines(spark, path, f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
+    datum = F.last(F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))), True).over(_lines())
     rows = rows.withColumns({"datum": F.coalesce(datum, F.lit("WGS 84")), "letter": _part("f", 0)})
     at = F.when(F.col("letter") == "T", 2).otherwise(3)
     rows = rows.where("letter in ('T', 'W')").withColumns(
@@ -159,11 +161,11 @@ def read_igc(spark: SparkSession, path: str, glob: str = "*.igc") -> Loaded:
     date_text = F.regexp_extract("line", r"^HFDTE(?:DATE:)?\s*(\d{6})", 1)
     year = F.substr(date_text, F.lit(5), F.lit(2)).try_cast("int")
     date = F.when(date_text != "", F.make_date(F.when(year < 80, year + 2000).otherwise(year + 1900), F.substr(date_text, F.lit(3), F.lit(2)).try_cast("int"), F.substr(date_text, F.lit(1), F.lit(2)).try_cast("int")))
-    rows = rows.withColumn("day", F.coalesce(F.last(date, True).over(_LINES), F.lit("1970-01-01").cast("date")))
+    rows = rows.withColumn("day", F.coalesce(F.last(date, True).over(_lines()), F.lit("1970-01-01").cast("date")))
     cut = lambda at, n: F.substr("line", F.lit(at), F.lit(n))
     fixes = rows.where(F.col("line").rlike(r"^B\d{6}\d{7}[NS]\d{8}[EW]A")).withColumn("tod", cut(2, 2).cast("int") * 3600 + cut(4, 2).cast("int") * 60 + cut(6, 2).cast("int"))
-    back = F.coalesce(F.col("tod") < F.lag("tod").over(_LINES), F.lit(False)).cast("int")
-    fixes = fixes.withColumn("back", back).withColumn("days", F.sum("back").over(_LINES))
+    back = F.coalesce(F.col("tod") < F.lag("tod").over(_lines()), F.lit(False)).cast("int")
+    fixes = fixes.withColumn("back", back).withColumn("days", F.sum("back").over(_lines()))
     pts = fixes.select(
         "file", "line_no", F.lit(0).alias("track_no"), F.lit(0).alias("seg_no"), texts.igc_angle(cut(16, 9)).alias("lon"), texts.igc_angle(cut(8, 8)).alias("lat"), cut(31, 5).try_cast("double").alias("ele"),
         F.timestamp_seconds(F.unix_seconds(F.date_add("day", F.col("days").cast("int")).cast("timestamp")) + F.col("tod")).alias("ts"),

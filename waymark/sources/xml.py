@@ -205,10 +205,16 @@ def read_kml(spark: SparkSession, path: str, glob: str = "*.kml") -> Loaded:
     return Loaded(trackpoints=points, waypoints=way.where(geo.valid(F.col("lon"), F.col("lat"))), areas=with_box(areas), errors=bad).completed(spark)
 
 
+def _long_date(text: Column) -> Column:
+    """A date like Mon Jan 1 10:00:00 GMT+0000 2024."""
+    parts = F.regexp_replace(text, r"^\w+ (\w+) (\d+) ([\d:]+) GMT([-+]\d{4}) (\d{4})$", "$5 $1 $2 $3 $4")
+    return F.try_to_timestamp(parts, F.lit("yyyy MMM d HH:mm:ss xx"))
+
+
 def read_slf(spark: SparkSession, path: str, glob: str = "*.slf") -> Loaded:
     """Entries of an activity: altitude in mm, time in hundredths of seconds since the start; entries at 0, 0 are dropped."""
     act = rows(spark, path, "Activity", "GeneralInformation struct<startDate:string>, Entries struct<Entry:array<struct<_altitude:double,_cadence:double,_heartrate:double,_power:double,_speed:double,_latitude:double,_longitude:double,_trainingTimeAbsolute:double>>>", glob)
-    pts = act.select("file", F.col("row_no").alias("track_no"), F.lit(0).alias("seg_no"), F.try_to_timestamp("GeneralInformation.startDate", F.lit("EEE MMM d HH:mm:ss 'GMT'Z yyyy")).alias("start"), F.posexplode("Entries.Entry").alias("pt_no", "e"))
+    pts = act.select("file", F.col("row_no").alias("track_no"), F.lit(0).alias("seg_no"), _long_date(F.col("GeneralInformation.startDate")).alias("start"), F.posexplode("Entries.Entry").alias("pt_no", "e"))
     ms = F.unix_millis(F.coalesce("start", F.lit("1970-01-01").cast("timestamp"))) + (F.col("e._trainingTimeAbsolute") * 10).cast("long")
     points = pts.select(
         "file", "track_no", "seg_no", "pt_no", F.col("e._longitude").alias("lon"), F.col("e._latitude").alias("lat"), (F.col("e._altitude") / 1000.0).alias("ele"), F.col("e._cadence").alias("cadence"), F.col("e._heartrate").alias("heart_rate"),
