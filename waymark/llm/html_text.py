@@ -44,6 +44,8 @@ _AWAY = re.compile(
     r"widget|toolbar|skip|copyright|complementary|contentinfo|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, the ones that stand in the middle of articles: no end of the text is near.
+_WITHIN = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|share|sharing|social|newsletter|subscribe|subscription|widget|related|paywall)(?:$|[\s_-])", re.I)
 _KEPT = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|post-content|entry-content|story|story-body|main-content|maincontent)(?:$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -117,7 +119,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             while stack and stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
                 leave()
             is_away, is_mark = _judge(name, tag[4], marked > 0)
-            if is_away and lines and lines[-1][0]:
+            if is_away and lines and lines[-1][0] and not _WITHIN.search(" ".join(re.findall(r"[\"'=]([^\"'=]+)", tag[4]))):
                 lines.append(("", False, 0))
             stack.append((name, is_away, is_mark))
             away += is_away
@@ -130,39 +132,45 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
 
 
 def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -> tuple[int, int]:
-    """First and last line (exclusive) of the stretch with the most text whose sliding window sums stay dense.
+    """First and last line (exclusive) of the stretch with the most text whose sliding window sums are dense.
 
-    A surge point is a line where the sum over the following ``window`` lines
-    rises to ``dense``; the dive point is the first after it where the sum has
-    fallen under it and the lines left are empty or short. With no dense window
-    the longest stretch without an empty line is taken.
+    A window ends early at an empty line. A surge point is a line where the
+    window sum reaches ``dense``; the dive point is the next empty line, unless
+    another surge point follows right behind it. With no dense window the
+    longest stretch without an empty line is taken.
     """
     n = len(sizes)
-    total = [0]
-    for s in sizes:
-        total.append(total[-1] + s)
-    best, at = (0, 0, 0), 0
-    sums = [total[min(n, i + window)] - total[i] for i in range(n)]
+    sums = [0] * n
+    for i in range(n):
+        for s in sizes[i : i + window]:
+            if not s:
+                break
+            sums[i] += s
+    stretches: list[list[int]] = []  # start, end, text
+    at = 0
     while at < n:
-        if sums[at] < dense or not sizes[at]:
+        if not sizes[at]:
             at += 1
             continue
         end = at
-        while end < n and (sums[end] >= dense or sizes[end] and end and sizes[end - 1]):
+        while end < n and sizes[end]:
             end += 1
-        while end > at and not sizes[end - 1]:
-            end -= 1
-        best = max(best, (total[end] - total[at], at, end), key=lambda x: x[0])
-        at = max(end, at + 1)
-    if not best[0]:
+        start = next((i for i in range(at, end) if sums[i] >= dense), None)
+        if start is not None and stretches and start == at and stretches[-1][1] + 1 == at:
+            stretches[-1][1:] = [end, stretches[-1][2] + sum(sizes[start:end])]
+        elif start is not None:
+            stretches.append([start, end, sum(sizes[start:end])])
+        at = end
+    if not stretches:
         at = 0
         while at < n:
             end = at
             while end < n and sizes[end]:
                 end += 1
-            best = max(best, (total[end] - total[at], at, end), key=lambda x: x[0])
+            stretches.append([at, end, sum(sizes[at:end])])
             at = end + 1
-    return best[1], best[2]
+    best = max(stretches, key=lambda x: (x[2], -x[0]), default=[0, 0, 0])
+    return best[0], best[1]
 
 
 def main_text(page: str | None) -> str:

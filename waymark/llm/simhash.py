@@ -54,9 +54,9 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append fp, the fingerprint as a signed long."""
-    fields = T.StructType([T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, column: str = "fp") -> DataFrame:
+    """Append ``column``, the fingerprint as a signed long."""
+    fields = T.StructType([T.StructField(column, T.LongType())])
 
     def make():
         def work(texts: list) -> list[pa.Array]:
@@ -108,10 +108,11 @@ def replicated(fps: DataFrame) -> DataFrame:
 def _spanning(home: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that connect what the links between ``home`` and all fingerprints of one anchor connect."""
     members = np.concatenate([home, others])
+    bits = members.view(np.uint64)  # of signed numbers numpy would count the bits of the absolute value
     group = np.arange(len(members))
     links: list[tuple[int, int]] = []
     for i in range(len(home)):
-        near = np.bitwise_count(members ^ members[i]) <= threshold
+        near = np.bitwise_count(bits ^ bits[i]) <= threshold
         found = np.unique(group[near])
         if len(found) > 1:
             links += [(int(members[found[0]]), int(members[g])) for g in found[1:]]
@@ -225,7 +226,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if repeated.isEmpty():
         return once
     # copies of a row under one id, or rows without one: any of those with equal fingerprints
-    named = fingerprints(docs.join(repeated, key.eqNullSafe(repeated.doc_id), "left_semi"), text).withColumnRenamed("fp", "\u0001fp")
+    named = fingerprints(docs.join(repeated, key.eqNullSafe(repeated.doc_id), "left_semi"), text, column="\u0001fp")
     without = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("\u0001f")).distinct()
     some = named.where(F.col(quoted(doc_id)).isNotNull()).dropDuplicates([doc_id])
     none = named.where(F.col(quoted(doc_id)).isNull()).join(without, hex_of(F.col("\u0001fp")) == F.col("\u0001f"), "left_semi").dropDuplicates(["\u0001fp"])
