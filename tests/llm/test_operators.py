@@ -356,6 +356,9 @@ def test_html(spark, odd):
     assert html_text.main_text(PAGE) == want
     loose = PAGE.replace("<article>", "<div>").replace("</article>", "</div>")
     assert html_text.main_text(loose) == want
+    inner = '<main><div class="breadcrumbs">a</div><p>Teaser text</p><article data-hidden="no"><header class="entry-header"><h1>Head</h1></header><p>Body</p><article class="comment">me too</article></article></main>'
+    assert html_text.main_text(inner) == "Head Body"
+    assert html_text.main_text('<div class="site-header">x</div><main><p hidden>no</p><p>Yes</p>') == "Yes"
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p><!-- x") == ""
     out = html_text.extract_text(odd, "text")
     assert out.count() == odd.count() and out.where("n_chars <> length(text)").count() == 0

@@ -35,62 +35,67 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame".split())
 _NEVER = frozenset("head nav aside footer form button select dialog menu audio video canvas map datalist fieldset".split())
 _CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_NAMES = re.compile(r"\b(class|id|role|itemprop|aria-label|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label|aria-hidden|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _AWAY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|advertorial|banner|sponsor|sponsored|promo|promoted|promotion|sidebar|side-bar|aside|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|crumbs|header|masthead|topbar|footer|bottombar|cookie|cookies|consent|gdpr|"
+    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|crumbs|topbar|footer|bottombar|cookie|cookies|consent|gdpr|"
     r"notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|searchbox|comment|comments|commentlist|disqus|"
     r"replies|reply|respond|responses|discussion|related|recommended|recommendations|share|sharing|social|tags|pagination|pager|"
     r"widget|toolbar|skip|copyright|complementary|contentinfo|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Outside the article these head the page, inside they head the article.
+_HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Of these, the ones that stand in the middle of articles: no end of the text is near.
 _WITHIN = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|share|sharing|social|newsletter|subscribe|subscription|widget|related|paywall)(?:$|[\s_-])", re.I)
 _KEPT = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|post-content|entry-content|story|story-body|main-content|maincontent)(?:$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether the element is never article text; whether it marks the article."""
-    away, marks = name in _NEVER or (name == "header" and not in_article), name in ("article", "main")
+def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether the element is never article text; how surely it marks the article (0 to 2)."""
+    away = name in _NEVER or name == "header" and not in_article
+    mark = 2 if name == "article" else 1 if name == "main" else 0
     if "=" in attributes or "hidden" in attributes:
         for found in _NAMES.finditer(attributes):
             key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
-            if key in ("hidden",) or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
                 away = True
             elif key in ("class", "id", "role", "aria-label"):
-                if _AWAY.search(value) and name not in ("html", "body"):
+                if name not in ("html", "body") and (_AWAY.search(value) or not in_article and not mark and _HEADS.search(value)):
                     away = True
-                elif key == "role" and value in ("main", "article") or key != "aria-label" and _KEPT.search(value):
-                    marks = True
+                elif key == "role" and value == "article":
+                    mark = 2
+                elif key == "role" and value == "main" or key != "aria-label" and _KEPT.search(value):
+                    mark = max(mark, 1)
             elif key == "itemprop":
                 if value.lower() == "articlebody":
-                    marks = True
+                    mark = 2
                 elif value.lower() == "comment":
                     away = True
-    return away and not (marks and name in ("article", "main") and name not in _NEVER and not away), marks and not away
+    return away, 0 if away else mark
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside the marked article, characters in links) for each block; blocks that are never text are empty."""
-    lines: list[tuple[str, bool, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, surest mark of the article around it, characters in links) for each block; blocks that are never text are empty."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, never text, marks the article
-    away = marked = links = linked = 0
+    stack: list[tuple[str, bool, int]] = []  # name, never text, surest mark around
+    away = links = linked = 0
+    marked = lambda: stack[-1][2] if stack else 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            lines.append((text, marked > 0, min(linked, len(text))))
+            lines.append((text, marked(), min(linked, len(text))))
         linked = 0
 
     def leave() -> None:
-        nonlocal away, marked, links
-        name, was_away, was_mark = stack.pop()
+        nonlocal away, links
+        name, was_away, _ = stack.pop()
         away -= was_away
-        marked -= was_mark
         links -= name == "a"
 
     at = 0
@@ -118,12 +123,11 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         elif name not in _VOID and not tag[4].endswith("/"):
             while stack and stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
                 leave()
-            is_away, is_mark = _judge(name, tag[4], marked > 0)
+            is_away, mark = _judge(name, tag[4], marked() > 0)
             if is_away and lines and lines[-1][0] and not _WITHIN.search(" ".join(re.findall(r"[\"'=]([^\"'=]+)", tag[4]))):
-                lines.append(("", False, 0))
-            stack.append((name, is_away, is_mark))
+                lines.append(("", 0, 0))
+            stack.append((name, is_away, max(mark, marked())))
             away += is_away
-            marked += is_mark
             links += name == "a"
     if at < len(page) and not away:
         parts.append(page[at:])
@@ -178,9 +182,10 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    if any(marked and text for text, marked, _ in lines):
+    surest = max(mark for text, mark, _ in lines if text) if any(text for text, _, _ in lines) else 0
+    if surest:
         # the marks bound the article: only it has text, and no short line of it is a dive
-        return " ".join(text for text, marked, _ in lines if marked and text)
+        return " ".join(text for text, mark, _ in lines if mark == surest and text)
     sizes = [0 if linked * 2 > len(text) else len(text) for text, _, linked in lines]
     start, end = surge_and_dive(sizes)
     return " ".join(text for text, _, _ in lines[start:end] if text)
