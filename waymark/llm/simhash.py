@@ -99,7 +99,9 @@ def _anchors(word: Column) -> Column:
 def replicated(fps: DataFrame) -> DataFrame:
     """Rows (half, anchor, guest, fp): each distinct fp at its home anchors (guest 0) and at the others in reach (guest 1)."""
     mask = F.lit((1 << _BITS) - 1).cast("long")
-    halves = fps.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", 32).bitwiseAND(mask))).alias("half", "word"))
+    # each row becomes 32: a number of partitions that is told isn't merged for being small
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    halves = spread.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", 32).bitwiseAND(mask))).alias("half", "word"))
     return halves.select("half", "fp", F.posexplode(_anchors(F.col("word"))).alias("nth", "anchor")).select(
         "half", "anchor", (F.col("nth") > 0).cast("int").alias("guest"), "fp"
     )
