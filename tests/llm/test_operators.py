@@ -78,6 +78,27 @@ def test_segment_tree_is_leftmost():
     assert tree.least() == 3 << 40 | 2
 
 
+def test_byte_bpe_together_as_alone():
+    """Matches of every width, merged many at a time, have the ids that they have alone; so has a vocabulary of bytes only."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec, rng = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN), random.Random(3)
+    pieces = [bytes(rng.choices(b"abcdetrs \xc3\xa9\x00\xff0", k=rng.randint(1, 62))) for _ in range(3000)] + [b"a" * n for n in range(1, 63)]
+    for width in byte_bpe._WIDTHS:
+        fit = [p for p in pieces if len(p) <= width - 2]
+        assert codec.merge_together(fit, width) == [tuple(codec.merge(p)) for p in fit]
+    single = byte_bpe.ByteBpe({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN)
+    assert single.encode("h\u00e9 " * 3 + "x" * 100) == list(("h\u00e9 " * 3 + "x" * 100).encode())
+
+
+def test_byte_bpe_forgets(monkeypatch):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["", "zqxj wvkq zqxj", "wvkq " * 5, "one\n\ntwo", "qqzz" * 40]
+    want = list(byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encode_all(texts))
+    monkeypatch.setattr(byte_bpe, "CACHED_MATCHES", 1)
+    monkeypatch.setattr(byte_bpe, "CHARS_AT_ONCE", 8)
+    assert list(byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encode_all(texts)) == want
+
+
 def test_decontamination_seeds_and_alignment():
     rng = np.random.default_rng(0)
     base = rng.integers(1, 1 << 60, 13).astype(np.uint64)
