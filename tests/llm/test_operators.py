@@ -274,6 +274,17 @@ def test_pii_context_and_redaction(spark):
     assert got == {0: "my ssn is <ssn>, bank <iban>", 1: rows[1][1], 2: None, 3: "mail <email> or <ip>!"} and pii.redact(df).columns == df.columns
 
 
+def test_pii_context_is_taken_from_the_whole_text(spark):
+    listed = "social security numbers: 123-45-6789, 234-56-7890, 345-67-8901"
+    far = "ssn " + "x" * 600 + " 123-45-6789 " + "y" * 600 + " 234-56-7890 " + "é" * 30 + " tax"
+    df = spark.createDataFrame([(0, listed), (1, "🎉" * 300 + " " + listed), (2, far)], "doc_id long, text string")
+    at = [25, 38, 51]
+    want = {0: at, 1: [301 + x for x in at], 2: [far.index("234-")]}
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert got == {i: ",".join(f"ssn:{x}:{x + 11}" for x in xs) for i, xs in want.items()}
+    assert [r.text for r in pii.redact(df).where("doc_id = 0").collect()] == ["social security numbers: <ssn>, <ssn>, <ssn>"]
+
+
 def test_toxic_folding_and_exceptions():
     assert toxicity.folded_words("Id10t іdіоt $tupid 12345 ＳＣＵＭ") == ["idiot", "idiot", "tupid", "12345", "scum"]
     lexicon = toxicity.Lexicon({" idiot ": 4.0, " trash ": 3.0, " lowei": 5.0}, ("trash can",), (-3.0, 6.0, 0.1, 0.1))

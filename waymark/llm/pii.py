@@ -26,6 +26,8 @@ NEAR = 48
 THRESHOLD = 0.6
 #: Elements of an array whose running sums are taken at once.
 _BLOCK = 256
+#: Code points of a piece in which a text is read around its spans.
+_CHUNK = 256
 
 _LOCAL = "A-Za-z0-9._%+-"
 
@@ -123,24 +125,37 @@ def _sums_before(lengths: Column) -> Column:
     return F.flatten(F.aggregate(blocks, zero, step).done)
 
 
-def _score(kind: Kind, before: Column, after: Column) -> Column:
-    near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(F.coalesce(after, F.lit("")), F.lit(NEAR))))
+def _chunks(text: Column) -> Column:
+    """The text in pieces of _CHUNK code points, so that a place in a long text is reached without reading up to it."""
+    return F.when(F.length(text) <= _CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of the chunked text; what lies behind the text is left out."""
+    first = F.floor(start / _CHUNK).cast("int")
+    n = F.greatest(F.floor((end - 1) / _CHUNK).cast("int") - first + 1, F.lit(0))
+    return F.substr(F.array_join(F.slice(chunks, first + 1, n), ""), start - first * _CHUNK + 1, end - start)
+
+
+def _score(kind: Kind, chunks: Column, start: Column, end: Column) -> Column:
+    """Context words count in the text around the span, whatever other matches stand there."""
+    near = F.lower(F.concat(_cut(chunks, F.greatest(start - NEAR, F.lit(0)), start), F.lit(" "), _cut(chunks, end, end + NEAR)))
     return F.lit(kind.base) + F.when(near.rlike(rf"\b(?:{kind.context})"), 0.25).otherwise(0.0)
 
 
-def _spans(gaps: Column, hits: Column, kind: Kind, threshold: float) -> Column:
+def _spans(chunks: Column, gaps: Column, hits: Column, kind: Kind, threshold: float) -> Column:
     """array<struct<kind, start, end, score>> of confirmed matches; code points, end exclusive."""
     lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-    after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-    parts = F.arrays_zip(gaps, _sums_before(lengths), hits, after).cast("array<struct<gap:string,sum:int,hit:string,next:string>>")
+    parts = F.arrays_zip(gaps, _sums_before(lengths), hits).cast("array<struct<gap:string,sum:int,hit:string>>")
     valid = F.filter(parts, lambda p: p.hit.isNotNull() & kind.valid(p.hit))
+    placed = F.transform(valid, lambda p: F.struct((p.sum + F.length(p.gap)).alias("start"), F.length(p.hit).alias("n")))
 
     def span(p: Column) -> Column:
-        start = p.sum + F.length(p.gap)
-        score = F.least(_score(kind, p.gap, p.next), F.lit(1.0))
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(p.hit)).alias("end"), score.alias("score"))
+        end = p.start + p.n
+        score = F.least(_score(kind, chunks, p.start, end), F.lit(1.0))
+        return F.struct(F.lit(kind.name).alias("kind"), p.start.alias("start"), end.alias("end"), score.alias("score"))
 
-    found = F.transform(valid, span)
+    found = F.transform(placed, span)
     if not kind.sure:
         found = F.filter(found, lambda s: s.score >= threshold)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
@@ -161,8 +176,8 @@ def find_spans(df: DataFrame, text: str = "text", threshold: float = THRESHOLD,
     hits = {k: F.col(f"\u0001h{k.name}") for k in KINDS}
     gaps = {k: F.col(f"\u0001g{k.name}") for k in KINDS}
     out = out.select(*kept, whole, *[_hits(whole, k).alias(f"\u0001h{k.name}") for k in KINDS])
-    out = out.select(*kept, *hits.values(), *[_gaps(whole, hits[k], k).alias(f"\u0001g{k.name}") for k in KINDS])
-    spans = [_spans(gaps[k], hits[k], k, threshold) for k in KINDS]
+    out = out.select(*kept, _chunks(whole).alias("\u0001chunks"), *hits.values(), *[_gaps(whole, hits[k], k).alias(f"\u0001g{k.name}") for k in KINDS])
+    spans = [_spans(F.col("\u0001chunks"), gaps[k], hits[k], k, threshold) for k in KINDS]
     return out.select(*kept, F.concat(*spans).alias(column))
 
 
@@ -183,11 +198,11 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     return found.select("doc_id", *counts, F.sha2(joined(sure), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def _masking(kind: Kind, threshold: float) -> Callable[[Column], Column]:
+def _masking(kind: Kind, chunks: Column, threshold: float) -> Callable[[Column], Column]:
     def piece(p: Column) -> Column:
         good = p.hit.isNotNull() & kind.valid(p.hit)
         if not kind.sure:
-            good = good & (_score(kind, p.gap, p.next) >= threshold)
+            good = good & (_score(kind, chunks, p.start, p.start + F.length(p.hit)) >= threshold)
         return F.concat(p.gap, F.when(good, F.lit(f"<{kind.name}>")).otherwise(F.coalesce(p.hit, F.lit(""))))
 
     return piece
@@ -199,11 +214,12 @@ def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     Kinds are replaced one after the other, in the order of KINDS; null texts
     stay null, texts without matches stay as they are.
     """
-    out, whole, hits, gaps = df, F.col(quoted(text)), F.col("\u0001hits"), F.col("\u0001gaps")
+    out, whole, hits, gaps, chunks = df, F.col(quoted(text)), F.col("\u0001hits"), F.col("\u0001gaps"), F.col("\u0001chunks")
     for kind in KINDS:
-        out = out.withColumn("\u0001hits", _hits(whole, kind)).withColumn("\u0001gaps", _gaps(whole, hits, kind))
-        after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-        parts = F.arrays_zip(gaps, hits, after).cast("array<struct<gap:string,hit:string,next:string>>")
-        masked = F.array_join(F.transform(parts, _masking(kind, threshold)), "")
-        out = out.withColumn(text, F.when(F.size(hits) > 0, masked).otherwise(whole)).drop("\u0001gaps", "\u0001hits")
+        out = out.withColumn("\u0001hits", _hits(whole, kind)).withColumns({"\u0001gaps": _gaps(whole, hits, kind), "\u0001chunks": _chunks(whole)})
+        lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        parts = F.arrays_zip(gaps, _sums_before(lengths), hits).cast("array<struct<gap:string,sum:int,hit:string>>")
+        placed = F.transform(parts, lambda p: F.struct(p.gap.alias("gap"), (p.sum + F.length(p.gap)).alias("start"), p.hit.alias("hit")))
+        masked = F.array_join(F.transform(placed, _masking(kind, chunks, threshold)), "")
+        out = out.withColumn(text, F.when(F.size(hits) > 0, masked).otherwise(whole)).drop("\u0001gaps", "\u0001hits", "\u0001chunks")
     return out.select(*[F.col(quoted(c)) for c in df.columns])
