@@ -285,6 +285,25 @@ def test_pii_context_is_taken_from_the_whole_text(spark):
     assert [r.text for r in pii.redact(df).where("doc_id = 0").collect()] == ["social security numbers: <ssn>, <ssn>, <ssn>"]
 
 
+def test_redact_masks_all_that_is_found(spark):
+    many = " ".join(f"n{i} a{i}@b.com +33.1.42.68.53.{i % 90 + 10}" for i in range(700))
+    rows = [(0, "+33.1.42.68.53.00"), (1, "é🎉 call +33.1.42.68.53.00, 1.2.3.4 or x@1.2.3.4!"), (2, many), (3, "nothing"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {
+        0: "<phone>",
+        1: "é🎉 call <phone>, <ip> or <email>!",
+        2: " ".join(f"n{i} <email> <phone>" for i in range(700)),
+        3: "nothing",
+        4: None,
+        5: "",
+    }
+    for row in pii.find_spans(df).collect():  # outside the spans nothing changes
+        text, inside = row.text or "", {i for s in row.spans for i in range(s.start, s.end)}
+        left = "".join(c if i not in inside else "\x00" for i, c in enumerate(text))
+        assert re.sub("<[a-z]+>", "\x00", got[row.doc_id] or "") == re.sub("\x00+", "\x00", left)
+
+
 def test_toxic_folding_and_exceptions():
     assert toxicity.folded_words("Id10t іdіоt $tupid 12345 ＳＣＵＭ") == ["idiot", "idiot", "tupid", "12345", "scum"]
     lexicon = toxicity.Lexicon({" idiot ": 4.0, " trash ": 3.0, " lowei": 5.0}, ("trash can",), (-3.0, 6.0, 0.1, 0.1))

@@ -108,14 +108,14 @@ def _gaps(text: Column, hits: Column, kind: Kind) -> Column:
     return F.when(F.size(hits) > 0, F.split(text, kind.pattern, -1)).otherwise(F.array().cast("array<string>"))
 
 
-def _sums_before(lengths: Column) -> Column:
-    """For each element the sum of those before it; blocks keep the work near linear in long arrays."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array those before it joined to 0; blocks keep the work near linear in long arrays."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
     none = F.array().cast("array<int>")
 
     def within(total: Column, block: Column) -> Column:
         start = F.struct(total.alias("total"), none.alias("done"))
-        return F.aggregate(block, start, lambda acc, n: F.struct((acc.total + n).alias("total"), F.concat(acc.done, F.array(acc.total)).alias("done")))
+        return F.aggregate(block, start, lambda acc, n: F.struct(join(acc.total, n).alias("total"), F.concat(acc.done, F.array(acc.total)).alias("done")))
 
     def step(acc: Column, block: Column) -> Column:
         part = within(acc.total, block)
@@ -125,6 +125,11 @@ def _sums_before(lengths: Column) -> Column:
     return F.flatten(F.aggregate(blocks, zero, step).done)
 
 
+def _sums_before(lengths: Column) -> Column:
+    """For each element the sum of those before it."""
+    return _running(lengths, lambda a, b: a + b)
+
+
 def _chunks(text: Column) -> Column:
     """The text in pieces of _CHUNK code points, so that a place in a long text is reached without reading up to it."""
     return F.when(F.length(text) <= _CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)))
@@ -198,28 +203,30 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     return found.select("doc_id", *counts, F.sha2(joined(sure), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def _masking(kind: Kind, chunks: Column, threshold: float) -> Callable[[Column], Column]:
-    def piece(p: Column) -> Column:
-        good = p.hit.isNotNull() & kind.valid(p.hit)
-        if not kind.sure:
-            good = good & (_score(kind, chunks, p.start, p.start + F.length(p.hit)) >= threshold)
-        return F.concat(p.gap, F.when(good, F.lit(f"<{kind.name}>")).otherwise(F.coalesce(p.hit, F.lit(""))))
-
-    return piece
+def _ends_before(spans: Column) -> Column:
+    """For each span the furthest end of those before it, 0 for the first."""
+    return _running(F.transform(spans, lambda s: s.end), F.greatest)
 
 
 def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The same rows and columns with each confirmed match in ``text`` replaced by its kind in angle brackets.
+    """The same rows and columns with every span of find_spans in ``text`` masked.
 
-    Kinds are replaced one after the other, in the order of KINDS; null texts
-    stay null, texts without matches stay as they are.
+    All spans are found in the text as it is. Overlapping ones are masked as one
+    stretch, by the kind of the span that starts first in angle brackets (of
+    those that start together the longest, then the kind first in KINDS). Null
+    texts stay null, texts without spans stay as they are.
     """
-    out, whole, hits, gaps, chunks = df, F.col(quoted(text)), F.col("\u0001hits"), F.col("\u0001gaps"), F.col("\u0001chunks")
-    for kind in KINDS:
-        out = out.withColumn("\u0001hits", _hits(whole, kind)).withColumns({"\u0001gaps": _gaps(whole, hits, kind), "\u0001chunks": _chunks(whole)})
-        lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
-        parts = F.arrays_zip(gaps, _sums_before(lengths), hits).cast("array<struct<gap:string,sum:int,hit:string>>")
-        placed = F.transform(parts, lambda p: F.struct(p.gap.alias("gap"), (p.sum + F.length(p.gap)).alias("start"), p.hit.alias("hit")))
-        masked = F.array_join(F.transform(placed, _masking(kind, chunks, threshold)), "")
-        out = out.withColumn(text, F.when(F.size(hits) > 0, masked).otherwise(whole)).drop("\u0001gaps", "\u0001hits", "\u0001chunks")
+    whole, spans, before, runs, chunks = F.col(quoted(text)), *[F.col(f"\u0001{c}") for c in ("spans", "before", "runs", "chunks")]
+    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k.name), F.lit(i))])
+    ordered = F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("minus"), rank[s.kind].alias("rank"), s.kind.alias("kind"), s.end.alias("end")))
+    out = find_spans(df, text, threshold, "\u0001spans").withColumn("\u0001spans", F.array_sort(ordered))
+    out = out.withColumn("\u0001before", F.when(F.size(spans) > 0, _ends_before(spans)).otherwise(F.array().cast("array<int>")))
+    parts = F.arrays_zip(spans, before).cast("array<struct<span:struct<start:int,minus:int,rank:int,kind:string,end:int>,before:int>>")
+    # a span that starts where nothing before it reaches opens a stretch; all before it end with the stretch before
+    opens = F.filter(parts, lambda p: p.span.start >= p.before)
+    out = out.withColumns({"\u0001runs": opens, "\u0001chunks": F.when(F.size(spans) > 0, _chunks(whole))})
+    pieces = F.transform(runs, lambda r: F.concat(_cut(chunks, r.before, r.span.start), F.lit("<"), r.span.kind, F.lit(">")))
+    rest = _cut(chunks, F.array_max(F.transform(spans, lambda s: s.end)), F.length(whole))
+    masked = F.concat(F.array_join(pieces, ""), rest)
+    out = out.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole))
     return out.select(*[F.col(quoted(c)) for c in df.columns])
