@@ -429,3 +429,28 @@ def test_html_pages(spark, data):
 
         plain = " ".join(html.unescape(re.sub(r"(?s)<(p|h1|br|/p|/h1|li|/li|ul|/ul|div|/div)\b[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")).split())
         assert r.text == plain and r.n_chars == len(plain)
+
+
+def test_html_marks_bound_but_never_displace_a_denser_stretch():
+    story = [f"Paragraph {i} of the story with quite enough words in it to be dense by itself, whatever stands beside." for i in range(8)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    card = "<article><p>A teaser card.</p></article>"
+    for page in (f"<nav>x</nav><main>{body}</main><nav>y</nav>{card}", f"<div>{body}</div><nav>y</nav>{card}", f"{card}<nav>y</nav><div>{body}</div>"):
+        assert html_text.main_text(page) == " ".join(story)
+    for page in (f"<main>{card}{body}</main>", f"<div>{card}{body}</div>"):
+        assert html_text.main_text(page) == " ".join(["A teaser card.", *story])
+    # what is removed inside the article doesn't split it, a longer stretch outside doesn't displace it
+    cut = f"<article>{body}<aside>x</aside>{body}</article><nav>y</nav><div>{body}{story[0]}</div>"
+    assert html_text.main_text(cut) == " ".join(story * 2)
+    two = f"<article>{body}</article><nav>y</nav><nav>y</nav><p>x</p><nav>y</nav><article>{body}</article>"
+    assert html_text.main_text(two) == " ".join(story * 2)
+
+
+def test_html_sections_named_by_their_topic():
+    text = "A section of the article that goes on for long enough to be text of its own, not a widget of the page."
+    page = "<article><p>Start.</p><section id='{}'><h2>Head</h2><p>{}</p></section><p>End.</p></article>"
+    for name in ("discussion", "related-work", "search", "notices"):
+        assert html_text.main_text(page.format(name, text)) == f"Start. Head {text} End."
+        assert html_text.main_text(page.format(name, "short")) == "Start. End."
+        assert html_text.main_text(page.format(name, f"<a href='/x'>{text}</a>")) == "Start. End."
+    assert html_text.main_text(page.format("comments", text)) == html_text.main_text(page.format("related-comments", text)) == "Start. End."

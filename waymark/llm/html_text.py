@@ -4,8 +4,9 @@ Markup is stripped to one line a block element. The text length summed over a
 sliding window of lines surges where the article starts and dives where it ends;
 the text between the surge point and the dive point is the article. Elements
 that are never article text (scripts, menus, forms, comments of readers, ...)
-leave empty lines, so that they pull the sums down. Where the page itself marks
-its article, the surge and dive points are moved to the marks.
+leave empty lines, so that they pull the sums down. The sums are taken on every
+page; where the stretch they find is an article that the page marks, its ends are
+moved to the marks, but marks never displace a stretch with more text.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ _AWAY = re.compile(
     r"widget|toolbar|skip|copyright|complementary|contentinfo|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, the ones that are also topics: inside the article a block so named goes only if its own text isn't dense.
+_TOPIC = re.compile(
+    r"(?<![^\s_-])(?:discussion|related|search|notice|notices|alert|recommendations|responses|navigation|advertising|promotion|social|sharing)(?![^\s_-])", re.I
+)
 #: Outside the article these head the page, inside they head the article.
 _HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Of these, the ones that stand in the middle of articles: no end of the text is near.
@@ -52,8 +57,9 @@ _KEPT = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|post-conten
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """Whether the element is never article text; how surely it marks the article (0 to 2)."""
+def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int, bool]:
+    """Whether the element is never article text; how surely it marks the article (0 to 2); whether its own text is still to decide."""
+    doubt = False
     away = name in _NEVER or name == "header" and not in_article
     mark = 2 if name == "article" else 1 if name == "main" else 0
     if "=" in attributes or "hidden" in attributes:
@@ -62,7 +68,9 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
                 away = True
             elif key in ("class", "id", "role", "aria-label"):
-                if name not in ("html", "body") and (_AWAY.search(value) or not in_article and not mark and _HEADS.search(value)):
+                if in_article and key != "role" and name not in _INLINE and _AWAY.search(value) and not _AWAY.search(_TOPIC.sub(" ", value)):
+                    doubt = True
+                elif name not in ("html", "body") and (_AWAY.search(value) or not in_article and not mark and _HEADS.search(value)):
                     away = True
                 elif key == "role" and value == "article":
                     mark = 2
@@ -73,14 +81,14 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
                     mark = 2
                 elif value.lower() == "comment":
                     away = True
-    return away, 0 if away else mark
+    return away, 0 if away else mark, doubt and not away
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, surest mark of the article around it, characters in links) for each block; blocks that are never text are empty."""
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, never text, surest mark around
+    stack: list[tuple[str, bool, int, int]] = []  # name, never text, surest mark around, first line if its text is to decide (or -1)
     away = links = linked = 0
     marked = lambda: stack[-1][2] if stack else 0
 
@@ -94,7 +102,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
     def leave() -> None:
         nonlocal away, links
-        name, was_away, _ = stack.pop()
+        if stack[-1][3] >= 0:
+            flush()
+        name, was_away, _, first = stack.pop()
+        if first >= 0 and max(window_sums(plain_sizes(lines[first:])), default=0) < DENSE:
+            del lines[first:]
         away -= was_away
         links -= name == "a"
 
@@ -123,18 +135,36 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         elif name not in _VOID and not tag[4].endswith("/"):
             while stack and stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
                 leave()
-            is_away, mark = _judge(name, tag[4], marked() > 0)
+            is_away, mark, doubt = _judge(name, tag[4], marked() > 0)
             if is_away and lines and lines[-1][0] and not _WITHIN.search(" ".join(re.findall(r"[\"'=]([^\"'=]+)", tag[4]))):
-                lines.append(("", 0, 0))
-            stack.append((name, is_away, max(mark, marked())))
+                lines.append(("", marked(), 0))
+            stack.append((name, is_away, max(mark, marked()), len(lines) if doubt and not away else -1))
             away += is_away
             links += name == "a"
     if at < len(page) and not away:
         parts.append(page[at:])
     flush()
+    while stack:
+        leave()
     return lines
 
 
+def plain_sizes(lines: list[tuple[str, int, int]]) -> list[int]:
+    """Text length of each line; lines that are mostly links have none."""
+    return [0 if linked * 2 > len(text) else len(text) for text, _, linked in lines]
+
+
+def window_sums(sizes: list[int], window: int = WINDOW) -> list[int]:
+    """Text in the window that starts at each line; it ends early at an empty line."""
+    sums = [0] * len(sizes)
+    for i in range(len(sizes)):
+        for s in sizes[i : i + window]:
+            if not s:
+                break
+            sums[i] += s
+    return sums
+
+
 def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -> tuple[int, int]:
     """First and last line (exclusive) of the stretch with the most text whose sliding window sums are dense.
 
@@ -144,12 +174,7 @@ def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -
     longest stretch without an empty line is taken.
     """
     n = len(sizes)
-    sums = [0] * n
-    for i in range(n):
-        for s in sizes[i : i + window]:
-            if not s:
-                break
-            sums[i] += s
+    sums = window_sums(sizes, window)
     stretches: list[list[int]] = []  # start, end, text
     at = 0
     while at < n:
@@ -178,17 +203,30 @@ def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -
 
 
 def main_text(page: str | None) -> str:
-    """Text between the surge and the dive point; empty if the page has no text."""
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    surest = max(mark for text, mark, _ in lines if text) if any(text for text, _, _ in lines) else 0
-    if surest:
-        # the marks bound the article: only it has text, and no short line of it is a dive
-        return " ".join(text for text, mark, _ in lines if mark == surest and text)
-    sizes = [0 if linked * 2 > len(text) else len(text) for text, _, linked in lines]
+    """Text between the surge and the dive point; empty if the page has no text.
+
+    No line inside a marked article is a dive. The marks that hold most of the
+    stretch found, or all of it that is dense, bound it: the lines so marked are
+    the article. A stretch outside the marks stands for itself, with the marked
+    lines beside it if they hold at least as much text altogether.
+    """
+    lines = [x for x in lines_of(page or "") if x[0] or not x[1]]
+    sizes = [len(x[0]) if x[1] else size for x, size in zip(lines, plain_sizes(lines), strict=True)]
     start, end = surge_and_dive(sizes)
-    return " ".join(text for text, _, _ in lines[start:end] if text)
+    found, whole = range(start, end), sum(sizes[start:end])
+    for mark in (2, 1):
+        own = [i for i, x in enumerate(lines) if x[1] == mark]
+        # a surer mark counts within this one or the stretch, not elsewhere
+        inside = [i for i in range(min([start, *own]), max([end - 1, *own]) + 1) if lines[i][1] >= mark]
+        held = sum(sizes[i] for i in found if lines[i][1] >= mark)
+        outside = [0 if lines[i][1] >= mark else sizes[i] for i in found]
+        if held and (held * 2 >= whole or max(window_sums(outside)) < DENSE):
+            found = inside
+            break
+        if not held and inside and sum(sizes[i] for i in inside) >= whole:
+            found = sorted({*found, *inside})
+            break
+    return " ".join(lines[i][0] for i in found if lines[i][0])
 
 
 def extract_text(df: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
