@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -114,6 +115,45 @@ def test_decontamination_seeds_and_alignment():
         assert e - s == best
 
 
+def test_seeds_cover_every_length():
+    for n, k in ((13, 2), (15, 3), (20, 4), (25, 5)):  # with them 14, 16 to 19, 21 to 24; longer ones are cut into such
+        patterns = (1 << np.array(list(itertools.combinations(range(n), k)))).sum(1)
+        hit = np.zeros(len(patterns), bool)
+        for mask in decontaminate.MASKS:
+            for at in range(n - mask[-1]):
+                hit |= patterns & (sum(1 << p for p in mask) << at) == 0
+        assert hit.all(), n
+    for n in range(1, 13):
+        for differ in itertools.combinations(range(n), n // 5):
+            assert any(not set(m) & set(differ) for m in decontaminate.short_masks(n)), (n, differ)
+
+
+def test_decontamination_of_short_items_and_items_without_id(spark):
+    words = [f"w{i}" for i in range(4000)]
+    rng = random.Random(5)
+    sizes = [*range(1, 21)]
+    items = [rng.sample(words[i * 200 : i * 200 + 200], n) for i, n in enumerate(sizes)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        k = len(item) // 5
+        for j in range(12):
+            bad = set(rng.sample(range(len(item)), k))
+            docs.append((i * 100 + j, "x y " + " ".join("other" if p in bad else w for p, w in enumerate(item)) + " z"))
+            want.add((i * 100 + j, i if i % 2 else None))
+    bad = {2, 5, 7}
+    docs.append((9000, " ".join("other" if p in bad else w for p, w in enumerate(items[14]))))
+    want.add((9000, None))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i if i % 2 else None, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    found = decontaminate.overlaps(df, bench).collect()
+    assert want == {(r.doc_id, r.item_id) for r in found}
+    assert {r.n_tokens for r in found if r.doc_id // 100 == 6} == {7}
+    assert decontaminate.without_leaks(df, bench).count() == 0
+    spread = spark.createDataFrame([(1, "a b c a b c " * 50)], "doc_id long, text string")
+    one = decontaminate.overlaps(spread, spark.createDataFrame([(7, "b c")], "item_id long, text string")).collect()
+    assert [(r.item_id, r.doc_at, r.n_tokens) for r in one] == [(7, 1, 2)]
+
+
 def test_decontamination(spark, odd):
     words = [f"w{i}" for i in range(400)]
     rng = random.Random(3)

@@ -2,14 +2,17 @@
 
 A seed is a fixed mask over consecutive tokens; the hash covers the tokens at its
 selected places and ignores the others, so a substitution at an ignored place
-doesn't matter. The two masks below hit every stretch of 13 tokens with at most
-2 substitutions, wherever they are. Hashes of training texts that pass a bitmap
+doesn't matter. The three masks below hit every stretch of 13 to 25 tokens of
+which 80 % are equal, wherever the others are (tested over all patterns); longer
+stretches can be cut into such pieces, one of which has 80 % equal tokens too.
+Items of fewer than 13 tokens have masks of their own length. Hashes of training texts that pass a bitmap
 of the benchmark's hashes are joined with them; around each hit the texts are
 aligned and the longest stretch with at least 80 % equal tokens is measured.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import BROADCAST_LIMIT, checkpointed, quoted, share
 
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
+MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 9, 10), (0, 1, 2, 3, 5, 10))
 #: An overlap needs so many tokens (or a whole shorter item), and so large a part of them equal.
 MIN_TOKENS, MIN_EQUAL = 13, 0.8
 #: Bits of the bitmap that thins out training hashes before the join: 2 MB at any size of benchmark.
@@ -30,7 +33,19 @@ _BUCKET = 1 << 15
 #: Rows with one hash or item are spread over so many keys; the benchmark side is repeated for each.
 SALTS = 8
 _WORDS = re.compile(r"\w+")
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
+                     0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0xD1B54A32D192ED03], np.uint64)
+
+
+def short_masks(n: int, min_equal: float = MIN_EQUAL) -> list[tuple[int, ...]]:
+    """Masks over a whole item of ``n`` tokens: whichever of its tokens differ, if enough are equal one mask leaves all those out.
+
+    So many tokens may differ that fall into at most as many of the groups the
+    places are dealt to; each mask leaves out one choice of groups.
+    """
+    differ = int((1 - min_equal) * n + 1e-9)
+    groups = n if n < 6 else min(n, differ + 2 + (differ > 1))
+    return [tuple(p for p in range(n) if p % groups not in out) for out in itertools.combinations(range(groups), differ)]
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -45,7 +60,7 @@ def seed_hashes(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, sum(1 << p for p in mask), np.uint64)
-    for place, factor in zip(mask, _FACTORS, strict=True):
+    for place, factor in zip(mask, _FACTORS[: len(mask)], strict=True):
         out += tokens[place : place + n] * factor
     out ^= out >> np.uint64(32)
     out *= _FACTORS[0]
@@ -69,15 +84,16 @@ def longest_alike(equal: np.ndarray, share_of: float = MIN_EQUAL) -> tuple[int,
     return best
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, tokens, hashes array<struct<hash, at>>) of each benchmark item."""
+def _item_seeds(items: DataFrame, min_tokens: int, min_equal: float) -> DataFrame:
+    """(item_id, tokens, seeds array<struct<hash, at>>) of each benchmark item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
             for item, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
                 tokens = tokens_of(text)
-                seeds = [(int(h), i) for m in MASKS for i, h in enumerate(seed_hashes(tokens, m).view(np.int64))]
+                masks = MASKS if len(tokens) >= min_tokens else short_masks(len(tokens), min_equal) if len(tokens) else ()
+                seeds = [(int(h), i) for m in masks for i, h in enumerate(seed_hashes(tokens, m)[: None if masks is MASKS else 1].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([item], ids.type),
@@ -102,8 +118,12 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _hit_regions(docs: DataFrame, bitmap, context: int) -> DataFrame:
-    """(doc_id, first, tokens, seeds): the stretches of each document around hashes that the bitmap passes."""
+def _hit_regions(docs: DataFrame, bitmap, context: int, masks: dict[tuple[int, ...], bool]) -> DataFrame:
+    """(doc_id, first, tokens, seeds): the stretches of each document around hashes that the bitmap passes.
+
+    Masks with a true value cover their items whole: the first of equal hashes
+    in a document is the overlap that is reported, the others are left out.
+    """
     shift = np.uint64(24)
     low = np.uint64(BITMAP_BITS - 1)
 
@@ -115,9 +135,11 @@ def _hit_regions(docs: DataFrame, bitmap, context: int) -> DataFrame:
 
     def regions(tokens: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
         found = []
-        for mask in MASKS:
+        for mask, first_only in masks.items():
             hashes = seed_hashes(tokens, mask)
             at = passes(bits, hashes)
+            if first_only:
+                at = at[np.sort(np.unique(hashes[at], return_index=True)[1])]
             found += zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True)
         found.sort()
         i = 0
@@ -194,30 +216,35 @@ def overlaps(
     """(doc_id, item_id, doc_at, item_at, n_tokens, n_equal): the longest overlap of each document and benchmark item that share one.
 
     An overlap is an aligned stretch of at least ``min_tokens`` tokens, or of a
-    whole shorter item, of which ``min_equal`` are equal. Items of fewer than 8
-    tokens hold no seed and are never found. Null and empty texts overlap
-    nothing; repeated rows count as one document; rows without an id are
-    reported under a null id.
+    whole shorter item, of which ``min_equal`` are equal. Null and empty texts overlap
+    nothing; repeated rows count as one document, rows of one item id as one
+    item; rows without an id are reported under a null id.
     """
+    if min_tokens < MIN_TOKENS or min_equal < MIN_EQUAL:
+        raise ValueError(f"the masks are proven for {MIN_TOKENS} tokens and {MIN_EQUAL} equal or more")
     docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    items = _item_seeds(benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(text)).alias("text")))
-    items = checkpointed(items)
-    seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.hash", F.col("s.at").alias("item_at"))
-    context = items.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
+    items = _item_seeds(benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(text)).alias("text")), MIN_TOKENS, min_equal)
+    items = checkpointed(items).withColumn("item", F.monotonically_increasing_id())  # item ids may be null or repeated
+    seeds = items.select("item", F.explode("seeds").alias("s")).select("item", "s.hash", F.col("s.at").alias("item_at"))
+    context, *short = items.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0)), *[F.count_if(F.size("tokens") == n) for n in range(1, MIN_TOKENS)]).first()
+    masks = dict.fromkeys(MASKS, False)
+    for n, some in enumerate(short, 1):  # only lengths that the benchmark has
+        for mask in short_masks(n, min_equal) if some else ():
+            masks[mask] = masks.get(mask, True) and len(mask) == n
     bits = _bitmap(seeds)
     assert bits.nbytes <= BROADCAST_LIMIT
-    regions = checkpointed(_hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context)).withColumn("region", F.monotonically_increasing_id())
+    regions = checkpointed(_hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context, masks)).withColumn("region", F.monotonically_increasing_id())
     salt = F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     hits = regions.select("region", salt, F.explode("seeds").alias("s")).select("region", "salt", "s.hash", F.col("s.at").alias("at"))
     places = (
         hits.join(seeds.select("*", salts), ["hash", "salt"])
-        .select("region", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .select("region", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     both = (
         places.join(regions.select("region", salt, "doc_id", "first", F.col("tokens").alias("theirs")), "region")
-        .join(items.select("item_id", F.col("tokens").alias("ours"), salts), ["item_id", "salt"])
+        .join(items.select("item", "item_id", F.col("tokens").alias("ours"), salts), ["item", "salt"])
     )
     found = _measured(both, min_tokens, min_equal)
     best = F.max(F.struct("n_tokens", "n_equal", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"))).alias("b")
