@@ -32,6 +32,11 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column, part: Column) -> tuple[Column, Column]:
     """(lon, lat) at ``part`` (0 to 1) of the great circle; antipodes are moved apart a little, equal points stay."""
+    return along(arc(lon1, lat1, lon2, lat2), lon1, lat1, part)
+
+
+def arc(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> dict[str, Column]:
+    """What is the same at all places of a great circle: its angle and sine, and both ends as unit vectors."""
     opposite = (lat1 + lat2 == 0.0) & (F.abs(lon1 - lon2) == 180.0)
     polar = opposite & (lat1 == -90.0)
     lat2 = F.when(opposite, lat2 + F.when(polar, -_ANTIPODE_NUDGE).otherwise(_ANTIPODE_NUDGE)).otherwise(lat2)
@@ -39,11 +44,17 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column, part: C
     a_lat, b_lat, a_lon, b_lon = F.radians(lat1), F.radians(lat2), F.radians(lon1), F.radians(lon2)
     s = F.pow(F.sin((b_lat - a_lat) / 2), 2) + F.cos(a_lat) * F.cos(b_lat) * F.pow(F.sin((b_lon - a_lon) / 2), 2)
     angle = 2.0 * F.asin(F.least(F.sqrt(s), F.lit(1.0)))
-    sine = F.sin(angle)
-    from_a, from_b = F.sin((1.0 - part) * angle) / F.nullif(sine, F.lit(0.0)), F.sin(part * angle) / F.nullif(sine, F.lit(0.0))
-    x = from_a * F.cos(a_lat) * F.cos(a_lon) + from_b * F.cos(b_lat) * F.cos(b_lon)
-    y = from_a * F.cos(a_lat) * F.sin(a_lon) + from_b * F.cos(b_lat) * F.sin(b_lon)
-    z = from_a * F.sin(a_lat) + from_b * F.sin(b_lat)
+
+    def vector(lon: Column, lat: Column, name: str) -> dict[str, Column]:
+        return {f"{name}x": F.cos(lat) * F.cos(lon), f"{name}y": F.cos(lat) * F.sin(lon), f"{name}z": F.sin(lat)}
+
+    return {"angle": angle, "sine": F.nullif(F.sin(angle), F.lit(0.0)), **vector(a_lon, a_lat, "a"), **vector(b_lon, b_lat, "b")}
+
+
+def along(arc: dict[str, Column], lon1: Column, lat1: Column, part: Column) -> tuple[Column, Column]:
+    """(lon, lat) at ``part`` of an arc that starts at (lon1, lat1)."""
+    from_a, from_b = F.sin((1.0 - part) * arc["angle"]) / arc["sine"], F.sin(part * arc["angle"]) / arc["sine"]
+    x, y, z = (from_a * arc[f"a{c}"] + from_b * arc[f"b{c}"] for c in "xyz")
     lon, lat = F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
     return F.coalesce(lon, lon1), F.coalesce(lat, lat1)
 

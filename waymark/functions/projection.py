@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
+
 #: WGS 84: semi-major axis and inverse flattening.
 WGS84_RADIUS, WGS84_INVERSE_FLATTENING = 6378137.0, 298.257223563
 _DATUM = ("radius", "inverse_flattening", "dx", "dy", "dz", "rx", "ry", "rz", "ds", "meridian_shift")
@@ -158,12 +160,16 @@ def from_utm(zone: Column, x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def box_reprojected(boxes: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
-    """Geographic boxes to Web Mercator boxes by sampling each side at ``points`` + 1 places."""
+    """Geographic boxes to Web Mercator boxes by sampling each side at ``points`` + 1 places.
+
+    A side over the date line is sampled eastwards from its west end, so its box
+    holds places at both ends of the plane.
+    """
     part = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("k")
     w, s, e, n = map(F.col, ("west", "south", "east", "north"))
     rows = boxes.select(*keys, "west", "south", "east", "north", part)
     f = F.col("k") / float(points)
-    x, y = w + f * (e - w), s + f * (n - s)
+    x, y = geo.wrapped(w + f * F.when(w > e, e + 360.0 - w).otherwise(e - w)), s + f * (n - s)
     sides = F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((x, s), (x, n), (w, y), (e, y))])
     places = rows.select(*keys, F.explode(sides).alias("p"))
     px, py = web_mercator(F.col("p.lon"), F.col("p.lat"))

@@ -111,11 +111,10 @@ def degree_tile_name(lon: Column, lat: Column) -> Column:
 
 
 def degree_tiles(west: Column, south: Column, east: Column, north: Column) -> Column:
-    """array<struct<tile_lon, tile_lat>> of the 1 degree tiles that a box touches."""
+    """array<struct<tile_lon, tile_lat>> of the 1 degree tiles that a box touches; over the date line tile 179 is next to tile -180."""
 
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))
 
-    return F.flatten(
-        F.transform(span(west, east), lambda x: F.transform(span(south, north), lambda y: F.struct(x.alias("tile_lon"), y.alias("tile_lat"))))
-    )
+    columns = F.when(west > east, F.concat(span(west, F.lit(179.0)), span(F.lit(-180.0), east))).otherwise(span(west, east))
+    return F.flatten(F.transform(columns, lambda x: F.transform(span(south, north), lambda y: F.struct(x.alias("tile_lon"), y.alias("tile_lat")))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators import arcs
 
 
 def next_sample(points: DataFrame, samples: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
@@ -14,9 +15,10 @@ def next_sample(points: DataFrame, samples: DataFrame, keys: list[str], time: st
     Of samples at one time the last by ``nth`` counts.
     """
     best = samples.groupBy(*keys, time).agg(F.max_by(F.struct(*values), "nth").alias("sample"))
-    rows = points.withColumn("is_point", F.lit(0)).unionByName(best.withColumn("is_point", F.lit(1)), allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys).orderBy(time, "is_point").rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("sample", F.first("sample", True).over(ahead)).where("is_point = 0")
+    rows = points.withColumn("is_point", F.lit(1)).unionByName(best.withColumn("is_point", F.lit(0)), allowMissingColumns=True)
+    # backward in time with samples before points of their time, so that a running frame holds all that isn't earlier
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("sample", F.last("sample", True).over(ahead)).where("is_point = 1")
     return found.select(*points.columns, *[F.col(f"sample.{v}").alias(v) for v in values])
 
 
@@ -28,8 +30,8 @@ def intervals(series: DataFrame, keys: list[str], x: str, y: list[str]) -> DataF
     return rows.select(*keys, "seg_no", F.col(x).alias("x0"), F.col(f"nxt.{x}").alias("x1"), *[c for v in y for c in (F.col(v).alias(f"{v}0"), F.col(f"nxt.{v}").alias(f"{v}1"))])
 
 
-def interpolated(probes: DataFrame, series: DataFrame, keys: list[str], x: str, y: str, bin_width: float) -> DataFrame:
-    """(probe columns, y): value of a series at each probe's ``at``, linear between points; null outside.
+def interpolated(probes: DataFrame, series: DataFrame, keys: list[str], x: str, y: str, bin_width: float, with_segment: bool = False) -> DataFrame:
+    """(probe columns, y, seg_no on request): value of a series at each probe's ``at``, linear between points; null outside.
 
     Intervals are spread over bins of ``bin_width`` and meet the probes in an
     equi-join. Where an interval end is hit by two intervals, the one of lower
@@ -43,36 +45,55 @@ def interpolated(probes: DataFrame, series: DataFrame, keys: list[str], x: str,
     value = F.col(f"{y}0") + part * (F.col(f"{y}1") - F.col(f"{y}0"))
     hit = wanted.join(binned, [*keys, "bin"]).where(inside).select(*probes.columns, F.struct("seg_no", "x0", value.alias("value")).alias("h"))
     best = hit.groupBy(*probes.columns).agg(F.min("h").alias("h"))
-    return probes.join(best, probes.columns, "left").select(*probes.columns, F.col("h.value").alias(y))
+    return probes.join(best, probes.columns, "left").select(*probes.columns, F.col("h.value").alias(y), *["h.seg_no"] * with_segment)
+
+
+def _steps_of(path: DataFrame) -> DataFrame:
+    """(track_id, seg_no, x0, x1, lon0, lat0, lon1, lat1, far and its arc) of the step to each point of a path.
+
+    ``inside`` is false from a segment's end, or the start of the track, to the
+    next segment's first point. What is costly and the same along a step is
+    computed here, once a step.
+    """
+    before = F.lag(F.struct("seg_no", "dist", "lon", "lat")).over(Window.partitionBy("track_id").orderBy("seg_no", "pt_no"))
+    steps = path.select("track_id", "seg_no", before.alias("b"), F.col("dist").alias("x1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
+    inside = F.coalesce(F.col("b.seg_no") == F.col("seg_no"), F.lit(False))
+    steps = steps.select("*", inside.alias("inside"), F.coalesce("b.dist", F.lit(0.0)).alias("x0"), F.col("b.lon").alias("lon0"), F.col("b.lat").alias("lat0")).drop("b")
+    return arcs.with_arc(steps, F.col("inside") & (F.col("x1") - F.col("x0") > geo.LONG_STEP))
+
+
+def _placed(on_step: DataFrame) -> DataFrame:
+    """Add h, struct<seg_no, x0, lon, lat> of the place ``at`` on a step: long steps are followed along the great circle, others straight."""
+    length = F.col("x1") - F.col("x0")
+    part = F.when(length > 0, (F.col("at") - F.col("x0")) / F.nullif(length, F.lit(0.0))).otherwise(0.0)
+    return arcs.placed(on_step.withColumn("part", part)).withColumn("h", F.when(F.col("inside"), F.struct("seg_no", "x0", "lon", "lat")))
 
 
 def position_at(probes: DataFrame, path: DataFrame, bin_width: float = 1000.0) -> DataFrame:
     """(track_id, at, lon, lat): place on each path at a distance.
 
     Long steps are followed along the great circle, others straight; null
-    outside the path.
+    outside the path. Where two steps meet, that of the lower segment, then of
+    the lower distance counts.
     """
-    series = path.withColumn("g_no", F.col("pt_no"))
-    spans = intervals(series, ["track_id"], "dist", ["lon", "lat"])
-    binned = spans.select("*", F.explode(F.sequence(F.floor(F.col("x0") / bin_width), F.floor(F.col("x1") / bin_width))).alias("bin"))
+    steps = _steps_of(path).where("inside")
+    binned = steps.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x0") / bin_width), F.floor(F.col("x1") / bin_width))))
     wanted = probes.select("track_id", "at", F.floor(F.col("at") / bin_width).alias("bin"))
-    part = F.when(F.col("x1") > F.col("x0"), (F.col("at") - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))).otherwise(0.0)
-    arc_lon, arc_lat = geo.great_circle(F.col("lon0"), F.col("lat0"), F.col("lon1"), F.col("lat1"), part)
-    far = F.col("x1") - F.col("x0") > geo.LONG_STEP
-    lon = F.when(far, arc_lon).otherwise(F.col("lon0") + part * (F.col("lon1") - F.col("lon0")))
-    lat = F.when(far, arc_lat).otherwise(F.col("lat0") + part * (F.col("lat1") - F.col("lat0")))
-    inside = (F.col("at") >= F.col("x0")) & (F.col("at") <= F.col("x1"))
-    hit = wanted.join(binned, ["track_id", "bin"]).where(inside).select("track_id", "at", F.struct("seg_no", "x0", lon.alias("lon"), lat.alias("lat")).alias("h"))
-    best = hit.groupBy("track_id", "at").agg(F.min("h").alias("h"))
+    hit = wanted.join(binned, ["track_id", "bin"]).where("at >= x0 and at <= x1")
+    best = _placed(hit).groupBy("track_id", "at").agg(F.min("h").alias("h"))
     return probes.join(best, ["track_id", "at"], "left").select("track_id", "at", "h.lon", "h.lat")
 
 
 def distance_markers(path: DataFrame, every: float = 1000.0) -> DataFrame:
-    """(track_id, at, lon, lat): a marker at each whole multiple of ``every`` metres of a path."""
-    ends = path.groupBy("track_id").agg(F.max("dist").alias("end"))
-    numbers = F.explode(F.sequence(F.lit(1), F.floor(F.col("end") / every).cast("int"))).alias("k")
-    marks = ends.where(F.col("end") >= every).select("track_id", numbers).select("track_id", (F.col("k") * every).alias("at"))
-    return position_at(marks, path, max(every, 1000.0))
+    """(track_id, at, lon, lat): a marker at each whole multiple of ``every`` metres of a path; null where the path has a gap.
+
+    Each step finds its own markers, so nothing is joined.
+    """
+    first = F.greatest(F.ceil(F.col("x0") / every).cast("int"), F.lit(1))
+    last = F.floor(F.col("x1") / every).cast("int")
+    numbers = F.when(last >= first, F.sequence(first, last))
+    marks = _steps_of(path).withColumn("k", F.explode(numbers)).withColumn("at", F.col("k") * every)
+    return _placed(marks).groupBy("track_id", "at").agg(F.min("h").alias("h")).select("track_id", "at", "h.lon", "h.lat")
 
 
 def wall_clock(at_time: Column, seg_start: Column, seg_first_time: Column) -> Column:

@@ -1,24 +1,31 @@
 """Spatial joins and boxes.
 
 Points meet boxes over a grid of whole cells: boxes are spread to the cells that
-they touch, points have one cell each, and an equi-join on the cell is followed
-by the exact test. Boxes over too many cells (near the poles they span all
-longitudes) are spread over cells of a coarser grid instead, so no box is ever
-compared with all points unless it covers most of the world.
+they touch, points have one cell, and an equi-join on the cell is followed by the
+exact test. Boxes over too many cells (near the poles they span all longitudes)
+are spread over cells of a coarser grid instead, so no box is ever compared with
+all points unless it covers most of the world. Points are copied only to the
+grids that boxes use; cells of the coarser ones, which may hold a large part of
+all points, are salted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators import arcs
 
 #: Default distance in metres in which points of interest are looked for.
 RADIUS = 1000.0
-#: Cell sizes in degrees from fine to coarse, and cells that a box may touch before it goes to the next.
+#: Cell sizes in degrees from fine to coarse, salts of a cell of each, and cells that a box may touch before it goes to the next.
 _GRIDS = (0.02, 1.0, 30.0)
+_SALTS = (1, 16, 64)
 _MOST_CELLS = 64
+_SIDES = ("west", "south", "east", "north")
 
 
 def _cells(west: Column, south: Column, east: Column, north: Column, size: float) -> Column:
@@ -37,54 +44,92 @@ def _grid_of(west: Column, south: Column, east: Column, north: Column) -> Column
     return level
 
 
-def boxes_with_points(boxes: DataFrame, points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """All columns of both for each point inside a closed box (west, south, east, north); boxes may cross the date line."""
-    names = [c for c in boxes.columns if c not in ("west", "south", "east", "north")]
-    whole = boxes.select(*names, F.explode(geo.split_at_date_line(*map(F.col, ("west", "south", "east", "north")))).alias("b"))
-    sides = [F.col(f"b.{c}") for c in ("west", "south", "east", "north")]
-    level = whole.withColumn("grid", _grid_of(*sides))
-    cells = F.lit(None)
-    for k, size in enumerate(_GRIDS):
-        cells = F.when(F.col("grid") == k, _cells(*sides, size)).otherwise(cells)
-    spread = level.select(*names, "b", "grid", F.explode(cells).alias("cell"))
-    located = points.select(
-        "*",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("grid"),
-                        F.struct(F.floor(F.col(lon) / size).cast("int").alias("x"), F.floor(F.col(lat) / size).cast("int").alias("y")).alias("cell"),
-                    )
-                    for k, size in enumerate(_GRIDS)
-                ]
-            )
-        ).alias("at"),
-    ).select(*[F.col(c) for c in points.columns], "at.grid", "at.cell")
-    inside = geo.holds({c: F.col(f"b.{c}") for c in ("west", "south", "east", "north")}, F.col(lon), F.col(lat))
-    # the halves of a box at the date line share no point but those on it
-    return spread.join(located, ["grid", "cell"]).where(inside).drop("grid", "cell", "b").dropDuplicates()
+def _on_grids(boxes: DataFrame, prefix: str = "b") -> DataFrame:
+    """Columns but the sides, the box as a struct, and its grid; a box over the date line becomes two."""
+    names = [c for c in boxes.columns if c not in _SIDES]
+    whole = boxes.select(*names, F.explode(geo.split_at_date_line(*map(F.col, _SIDES))).alias(prefix))
+    return whole.withColumn("grid", _grid_of(*[F.col(f"{prefix}.{c}") for c in _SIDES]))
+
+
+def grids_of(boxes: DataFrame) -> list[int]:
+    """The grids that boxes use, a job over the boxes alone."""
+    return sorted(r["grid"] for r in _on_grids(boxes.select(*_SIDES)).select("grid").distinct().collect())  # at most three
+
+
+def boxes_with_points(boxes: DataFrame, points: DataFrame, lon: str = "lon", lat: str = "lat", grids: Sequence[int] | None = None) -> DataFrame:
+    """All columns of both for each point inside a closed box (west, south, east, north); boxes may cross the date line.
+
+    Each row of one meets each row of the other once. ``grids``: those that the
+    boxes use, by default looked up before the points are read; boxes of other
+    grids would find nothing.
+    """
+    grids = grids_of(boxes) if grids is None else list(grids)
+    names = [c for c in boxes.columns if c not in _SIDES]
+    level = _on_grids(boxes)
+    sides = [F.col(f"b.{c}") for c in _SIDES]
+    cells, salts = F.lit(None), F.lit(1)
+    for k in grids:
+        cells = F.when(F.col("grid") == k, _cells(*sides, _GRIDS[k])).otherwise(cells)
+        salts = F.when(F.col("grid") == k, _SALTS[k]).otherwise(salts)
+    if not grids:
+        return level.select(*names).limit(0).crossJoin(points.limit(0))
+    spread = level.select(*names, "b", "grid", F.explode(cells).alias("cell"), salts.alias("salts")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+
+    def place(k: int) -> Column:
+        cell = F.struct(F.floor(F.col(lon) / _GRIDS[k]).cast("int").alias("x"), F.floor(F.col(lat) / _GRIDS[k]).cast("int").alias("y"))
+        salt = F.pmod(F.xxhash64(lon, lat), F.lit(_SALTS[k])).cast("int") if _SALTS[k] > 1 else F.lit(0)
+        return F.struct(F.lit(k).alias("grid"), cell.alias("cell"), salt.alias("salt"))
+
+    located = points.select("*", F.explode(F.array(*map(place, grids))).alias("at")).select(*[F.col(c) for c in points.columns], "at.grid", "at.cell", "at.salt")
+    inside = geo.holds({c: F.col(f"b.{c}") for c in _SIDES}, F.col(lon), F.col(lat))
+    # a box's cells are different, a point has one cell of its grid, and halves at the date line share no point
+    return spread.join(located, ["grid", "cell", "salt"]).where(inside).drop("grid", "cell", "salt", "b")
+
+
+def boxes_with_boxes(boxes: DataFrame, others: DataFrame) -> DataFrame:
+    """All columns but the sides of both, for each pair of closed boxes that touch; both may cross the date line, and have no other names in common.
+
+    The pair is made in the one cell where their common part begins, so it
+    comes once. Grids are met from the coarser of both: a box goes to the cells
+    of its own grid and of all coarser ones, tagged by which of the two is at
+    home there.
+    """
+    a, b = _on_grids(boxes, "a"), _on_grids(others, "b")
+
+    def spread(df: DataFrame, box: str) -> DataFrame:
+        sides = [F.col(f"{box}.{c}") for c in _SIDES]
+
+        def on_grid(k: int) -> Column:
+            cells = F.transform(_cells(*sides, _GRIDS[k]), lambda c: F.struct(F.lit(k).alias("on"), c.alias("cell")))
+            return F.when(F.col("grid") <= k, cells).otherwise(F.array().cast("array<struct<on:int,cell:struct<x:int,y:int>>>"))
+
+        return df.select("*", F.explode(F.concat(*map(on_grid, range(len(_GRIDS))))).alias("at")).select("*", "at.on", "at.cell").drop("at")
+
+    left, right = spread(a, "a").withColumnRenamed("grid", "grid_a"), spread(b, "b").withColumnRenamed("grid", "grid_b")
+    one, two = ({c: F.col(f"{n}.{c}") for c in _SIDES} for n in ("a", "b"))
+    begins = {"x": F.greatest(one["west"], two["west"]), "y": F.greatest(one["south"], two["south"])}
+    size = F.element_at(F.array(*map(F.lit, _GRIDS)), F.col("on") + 1)
+    here = (F.floor(begins["x"] / size) == F.col("cell.x")) & (F.floor(begins["y"] / size) == F.col("cell.y"))
+    met = left.join(right, ["on", "cell"]).where((F.col("on") == F.greatest("grid_a", "grid_b")) & here & geo.meets(one, two))
+    return met.drop("on", "cell", "grid_a", "grid_b", "a", "b")
 
 
 def densified(path: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(track_id, lon, lat): points of paths; longer steps are cut on the great circle, and each segment's last point is added."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("track_id", "seg_no").orderBy("pt_no")
-    nxt = F.lead(F.struct("lon", "lat", "dist")).over(order)
-    rows = path.withColumn("nxt", nxt)
-    n = F.greatest(F.ceil((F.col("nxt.dist") - F.col("dist")) / radius).cast("int"), F.lit(1))
-    cut = rows.withColumn("n", n).withColumn("k", F.explode(F.when(F.col("nxt").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
-    lon, lat = geo.great_circle(F.col("lon"), F.col("lat"), F.col("nxt.lon"), F.col("nxt.lat"), F.col("k") / F.col("n"))
-    whole = F.col("nxt").isNull() | (F.col("k") == 0)
-    return cut.select("track_id", F.when(whole, F.col("lon")).otherwise(lon).alias("lon"), F.when(whole, F.col("lat")).otherwise(lat).alias("lat"))
+    nxt = F.lead(F.struct("lon", "lat", "dist")).over(Window.partitionBy("track_id", "seg_no").orderBy("pt_no"))
+    rows = path.select("track_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), "dist", nxt.alias("nxt"))
+    parts = F.coalesce(F.greatest(F.ceil((F.col("nxt.dist") - F.col("dist")) / radius).cast("int"), F.lit(1)), F.lit(1))
+    rows = rows.select("track_id", "lon0", "lat0", F.col("nxt.lon").alias("lon1"), F.col("nxt.lat").alias("lat1"), parts.alias("n"))
+    cut = arcs.with_arc(rows, F.col("n") > 1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("part", F.col("k") / F.col("n"))
+    whole = F.col("k") == 0
+    return arcs.placed(cut).select("track_id", F.when(whole, F.col("lon0")).otherwise(F.col("lon")).alias("lon"), F.when(whole, F.col("lat0")).otherwise(F.col("lat")).alias("lat"))
 
 
 def near_paths(path: DataFrame, pois: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(track_id, poi columns): points of interest in a box of ``radius`` around any place of a path, once each."""
     places = densified(path, radius)
     boxes = places.select("track_id", *[c.alias(k) for k, c in geo.box_around(F.col("lon"), F.col("lat"), radius).items()]).distinct()
-    return boxes_with_points(boxes, pois)
+    return boxes_with_points(boxes, pois).dropDuplicates()
 
 
 def near_points(places: DataFrame, pois: DataFrame, keys: list[str], radius: float = RADIUS) -> DataFrame:
@@ -160,31 +205,22 @@ def features_in_boxes(boxes: DataFrame, features: DataFrame, keys: list[str]) ->
     """(keys, id, part): features that show in each box.
 
     Nodes and closed ways show by their point (a closed way by the centre of its
-    box), open ways where their boxes meet. Way boxes are spread over the grid.
+    box), open ways where their boxes meet. ``keys`` identify a box.
     """
     middle = features.where("kind = 'way' and closed").select("id", F.lit("area").alias("part"), ((F.col("west") + F.col("east")) / 2).alias("lon"), ((F.col("south") + F.col("north")) / 2).alias("lat"))
     nodes = features.where("kind = 'node'").select("id", F.lit("point").alias("part"), "lon", "lat")
     by_point = boxes_with_points(boxes, nodes.unionByName(middle)).select(*keys, "id", "part")
-    ways = features.where("kind = 'way' and not closed").select("id", *[F.col(c).alias(f"f_{c}") for c in ("west", "south", "east", "north")])
-    size = _GRIDS[1]
-    here = boxes.select(*keys, F.explode(geo.split_at_date_line(*map(F.col, ("west", "south", "east", "north")))).alias("b"))
-    here = here.select(*keys, "b", F.explode(_cells(*[F.col(f"b.{c}") for c in ("west", "south", "east", "north")], size)).alias("cell"))
-    there = ways.select("*", F.explode(_cells(*map(F.col, ("f_west", "f_south", "f_east", "f_north")), size)).alias("cell"))
-    meet = geo.meets({c: F.col(f"b.{c}") for c in ("west", "south", "east", "north")}, {c: F.col(f"f_{c}") for c in ("west", "south", "east", "north")})
-    by_box = here.join(there, "cell").where(meet).select(*keys, "id", F.lit("path").alias("part")).distinct()
+    ways = features.where("kind = 'way' and not closed").select("id", *_SIDES)
+    by_box = boxes_with_boxes(boxes.select(*keys, *_SIDES), ways).select(*keys, "id", F.lit("path").alias("part")).distinct()
     return by_point.unionByName(by_box)
 
 
 def charts_then_features(boxes: DataFrame, charts: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Features of those charts only that meet a box: charts (chart_id and a box), features with chart_id."""
-    size = _GRIDS[1]
-    sides = ("west", "south", "east", "north")
-    here = boxes.select(*keys, *sides, F.explode(_cells(*map(F.col, sides), size)).alias("cell"))
-    there = charts.select("chart_id", *[F.col(c).alias(f"c_{c}") for c in sides], F.explode(_cells(*map(F.col, sides), size)).alias("cell"))
-    meet = geo.meets({c: F.col(c) for c in sides}, {c: F.col(f"c_{c}") for c in sides})
-    found = here.join(there, "cell").where(meet).select(*keys, *sides, "chart_id").distinct()
-    inside = geo.holds({c: F.col(c) for c in sides}, F.col("lon"), F.col("lat"))
-    return found.join(features, "chart_id").where(inside).select(*keys, "chart_id", "id")
+    met = boxes_with_boxes(boxes.select(*keys, *_SIDES, F.struct(*_SIDES).alias("box")), charts.select("chart_id", *_SIDES)).distinct()
+    parts = met.withColumn("b", F.explode(geo.split_at_date_line(*[F.col(f"box.{c}") for c in _SIDES])))
+    inside = geo.holds({c: F.col(f"b.{c}") for c in _SIDES}, F.col("lon"), F.col("lat"))
+    return parts.join(features, "chart_id").where(inside).select(*keys, "chart_id", "id")
 
 
 def missing_tiles(boxes: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import tiles as T
@@ -32,10 +32,39 @@ def overzoomed(requests: DataFrame, tiles: DataFrame, base: int) -> DataFrame:
     return keyed.join(stored, ["kz", "kx", "ky"], "left").drop("kz", "kx", "ky")
 
 
+#: Bits of an id within one bucket of a directory lookup: no task holds more than so many different places.
+_BUCKET_BITS = 16
+
+
+def _at_or_before(wanted: DataFrame, entries: DataFrame, strictly: bool = False, level: int = 0) -> DataFrame:
+    """(at, entry): the entry of the greatest ``at`` not above (``strictly``: below) each distinct wanted one; null if there is none.
+
+    Looked for within a bucket of ids, and where the bucket has none, among the
+    last entries of the buckets before it, in the same way.
+    """
+    rows = wanted.withColumn("is_entry", F.lit(0)).unionByName(entries.withColumn("is_entry", F.lit(1)), allowMissingColumns=True)
+    bucket = F.shiftright("at", _BUCKET_BITS)
+    so_far = Window.partitionBy(bucket).orderBy("at", F.asc("is_entry") if strictly else F.desc("is_entry")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select("at", "is_entry", F.last("entry", True).over(so_far).alias("entry")).where("is_entry = 0").drop("is_entry")
+    if level == 3:
+        return found
+    ends = entries.groupBy(bucket.alias("at")).agg(F.max_by("entry", "at").alias("entry"))
+    before = _at_or_before(found.where("entry is null").select(bucket.alias("at")).distinct(), ends, True, level + 1)
+    before = before.select(F.col("at").alias("bucket"), F.col("entry").alias("earlier"))
+    return found.join(before, bucket == F.col("bucket"), "left").select("at", F.coalesce("entry", "earlier").alias("entry"))
+
+
 def directory_lookup(ids: DataFrame, directory: DataFrame) -> DataFrame:
-    """Tile ids with the offset of their directory entry (tile_id, run_length, offset): entries hold runs of ids."""
-    runs = directory.select(F.explode(F.sequence(F.col("tile_id"), F.col("tile_id") + F.greatest("run_length", F.lit(1)) - 1)).alias("id"), "offset")
-    return ids.join(runs, "id", "left")
+    """Tile ids with the offset of their directory entry (tile_id, run_length, offset), null if there is none.
+
+    The entry of the greatest tile_id not above an id has it if it is the same,
+    lies within the run, or if the run is 0 (the entry of a leaf directory).
+    """
+    entries = directory.groupBy(F.col("tile_id").cast("long").alias("at")).agg(F.min(F.struct("run_length", "offset")).alias("e"))
+    entries = entries.select("at", F.struct("at", "e.run_length", "e.offset").alias("entry"))
+    wanted = ids.select(F.col("id").cast("long").alias("at")).where("at is not null").distinct()
+    found = _at_or_before(wanted, entries).where("entry.run_length = 0 or at - entry.at < greatest(entry.run_length, 1)")
+    return ids.join(found.select(F.col("at").alias("id"), "entry.offset"), "id", "left")
 
 
 def zooms_present(tiles: DataFrame) -> DataFrame:
@@ -65,8 +94,6 @@ def best_zoom(tiles: DataFrame, needed: int) -> DataFrame:
 
 def resolution_tiers(maps: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Add tier to maps (atlas, resolution): a new one where the resolution falls under ``ratio`` of the one before, coarsest first."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("atlas").orderBy(F.desc("resolution"), "name")
     new = F.coalesce(F.col("resolution") < F.lag("resolution").over(order) * ratio, F.lit(False)).cast("int")
     return maps.withColumn("new", new).withColumn("tier", F.sum("new").over(order)).drop("new")

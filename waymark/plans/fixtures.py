@@ -31,16 +31,16 @@ SELECT c_custkey AS wpt_id, 14e0 + (c_custkey % 100) * 0.01e0 AS lon, 50e0 + ((c
 SELECT l_orderkey AS route_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pt_no,
   14e0 + (l_partkey % 100) * 0.01e0 AS lon, 50e0 + ((l_partkey * 7919) % 1000) * 0.0005e0 AS lat, 200e0 + l_partkey % 300 AS ele FROM {lineitem}""",
     "areas": """
-SELECT n_nationkey AS area_id, n_name AS name, CASE WHEN n_nationkey = 7 THEN 179.5e0 ELSE 14e0 + (n_nationkey % 5) * 0.2e0 END AS west,
-  50e0 + floor(n_nationkey / 5e0) * 0.1e0 AS south, CASE WHEN n_nationkey = 7 THEN -179.5e0 ELSE 14e0 + (n_nationkey % 5) * 0.2e0 + 0.15e0 END AS east,
-  50e0 + floor(n_nationkey / 5e0) * 0.1e0 + 0.08e0 AS north FROM {nation}""",
+SELECT area_id, name, CASE WHEN area_id % 20 = 7 THEN 179.5e0 ELSE 14e0 + (area_id % 5) * 0.2e0 END AS west, 50e0 + floor((area_id % 25) / 5e0) * 0.1e0 AS south,
+  CASE WHEN area_id % 20 = 7 THEN -179.5e0 ELSE 14e0 + (area_id % 5) * 0.2e0 + 0.15e0 END AS east, 50e0 + floor((area_id % 25) / 5e0) * 0.1e0 + 0.08e0 AS north
+FROM (SELECT s_suppkey AS area_id, s_name AS name FROM {supplier}) s""",
     "features": """
-SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN 'node' ELSE 'way' END AS kind, p_size % 2 = 0 AS closed, p_size % 5 AS layer,
-  p_brand AS brand, p_type AS type, CAST(p_size AS STRING) AS size, p_name AS title,
-  14e0 + (p_partkey % 100) * 0.01e0 AS lon, 50e0 + ((p_partkey * 7919) % 1000) * 0.0005e0 AS lat,
-  14e0 + (p_partkey % 100) * 0.01e0 - 0.005e0 AS west, 14e0 + (p_partkey % 100) * 0.01e0 + 0.005e0 AS east,
-  50e0 + ((p_partkey * 7919) % 1000) * 0.0005e0 - 0.004e0 AS south, 50e0 + ((p_partkey * 7919) % 1000) * 0.0005e0 + 0.004e0 AS north
-FROM {part}""",
+SELECT *, lon - 0.005e0 AS west, lon + 0.005e0 AS east, lat - 0.004e0 AS south, lat + 0.004e0 AS north FROM (
+  SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN 'node' ELSE 'way' END AS kind, p_size % 2 = 0 AS closed, p_size % 5 AS layer,
+    p_brand AS brand, p_type AS type, CAST(p_size AS STRING) AS size, p_name AS title,
+    CASE WHEN p_partkey % 50 IN (3, 28) THEN 179.7e0 WHEN p_partkey % 50 IN (4, 41) THEN -179.8e0 ELSE 14e0 + (p_partkey % 100) * 0.01e0 END AS lon,
+    50e0 + ((p_partkey * 7919) % 1000) * 0.0005e0 AS lat
+  FROM {part}) p""",
     "tiles": """
 SELECT z, x, y, min(payload) AS payload FROM (SELECT l_linenumber AS z, l_partkey % CAST(pow(2, l_linenumber) AS BIGINT) AS x,
   l_suppkey % CAST(pow(2, l_linenumber) AS BIGINT) AS y, l_orderkey AS payload FROM {lineitem}) t GROUP BY z, x, y""",

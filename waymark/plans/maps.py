@@ -140,11 +140,15 @@ def _(spark, d):
     return tiles.overzoomed(fixture(spark, d, "requests"), fixture(spark, d, "tiles"), 5).select("request", "overzoom", "payload")
 
 
-@register("j17_directory", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <= o_orderkey // 10 % 7 THEN o_orderkey // 10 END AS run FROM orders")
+@register("j17_directory", f"""WITH dr AS (SELECT o_orderkey * 1000003 AS tile_id, CASE WHEN o_custkey % 11 = 0 THEN 0 ELSE (o_custkey * 7919) % 1500000 END AS run_length, o_orderkey AS off FROM orders WHERE o_orderkey % 10 = 0),
+pr AS (SELECT o_orderkey AS request, o_orderkey * 999983 + o_custkey * 31 AS id FROM orders)
+SELECT request, CASE WHEN run_length = 0 OR id - tile_id < greatest(run_length, 1) THEN off END AS run FROM pr ASOF LEFT JOIN dr ON pr.id >= dr.tile_id""")
 def _(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet")
-    directory = orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("tile_id"), (F.floor(F.col("o_orderkey") / 10) % 7 + 1).alias("run_length"), F.floor(F.col("o_orderkey") / 10).alias("offset"))
-    return tiles.directory_lookup(orders.select(F.col("o_orderkey").alias("id")), directory).select("id", F.col("offset").alias("run"))
+    run = F.when(F.col("o_custkey") % 11 == 0, 0).otherwise((F.col("o_custkey") * 7919) % 1500000)
+    directory = orders.where("o_orderkey % 10 = 0").select((F.col("o_orderkey") * 1000003).alias("tile_id"), run.alias("run_length"), F.col("o_orderkey").alias("offset"))
+    ids = orders.select(F.col("o_orderkey").alias("request"), (F.col("o_orderkey") * 999983 + F.col("o_custkey") * 31).alias("id"))
+    return tiles.directory_lookup(ids, directory).select("request", F.col("offset").alias("run"))
 
 
 @register("a25_covered", f"""WITH {_TI}, b AS (SELECT z, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM ti WHERE z = (SELECT min(z) FROM ti) GROUP BY z)
@@ -267,10 +271,12 @@ def _(spark, d):
     return fixture(spark, d, "requests").select("request", T.hilbert_id(F.col("x"), F.col("y"), F.col("z")).alias("tile_id"))
 
 
-@register("h15_degree_tiles", f"WITH ar AS (SELECT * FROM ({plain('areas')}) WHERE west < east) SELECT area_id, CAST(x AS INT) AS tile_lon, CAST(y AS INT) AS tile_lat, 'N' || lpad(CAST(y AS VARCHAR), 2, '0') || CASE WHEN x < 0 THEN 'W' ELSE 'E' END || lpad(CAST(abs(x) AS VARCHAR), 3, '0') || '.hgt' AS name FROM ar, range(-180, 181) a(x), range(-90, 91) b(y) WHERE x BETWEEN floor(west - 16) AND floor(east) AND y BETWEEN floor(south) AND floor(north)")
+@register("h15_degree_tiles", f"""WITH ar AS (SELECT area_id, CASE WHEN west > east THEN west ELSE west - 16 END AS west, east, south, north FROM ({plain('areas')}))
+SELECT area_id, CAST(x AS INT) AS tile_lon, CAST(y AS INT) AS tile_lat, 'N' || lpad(CAST(y AS VARCHAR), 2, '0') || CASE WHEN x < 0 THEN 'W' ELSE 'E' END || lpad(CAST(abs(x) AS VARCHAR), 3, '0') || '.hgt' AS name
+FROM ar, range(-180, 180) a(x), range(-90, 91) b(y) WHERE CASE WHEN west > east THEN x >= floor(west) OR x <= floor(east) ELSE x BETWEEN floor(west) AND floor(east) END AND y BETWEEN floor(south) AND floor(north)""")
 def _(spark, d):
-    areas = fixture(spark, d, "areas").where("west < east")
-    n = areas.select("area_id", F.explode(T.degree_tiles(F.col("west") - 16, F.col("south"), F.col("east"), F.col("north"))).alias("n")).select("area_id", "n.*")
+    west = F.when(F.col("west") > F.col("east"), F.col("west")).otherwise(F.col("west") - 16)
+    n = fixture(spark, d, "areas").select("area_id", F.explode(T.degree_tiles(west, F.col("south"), F.col("east"), F.col("north"))).alias("n")).select("area_id", "n.*")
     return n.select("*", T.degree_tile_name(F.col("tile_lon"), F.col("tile_lat")).alias("name"))
 
 

@@ -87,10 +87,11 @@ def _(spark, d):
     return graph(spark, d).select("track_id", "channel", "seg_no", "g_no", r("s", 2), r("t", 6), r("y", 5))
 
 
-@register("w14_rezeroed", f"{_G} SELECT track_id, channel, seg_no, count(*) AS zeros FROM g WHERE y = 0 AND channel IN ('speed', 'cadence', 'power') GROUP BY 1, 2, 3")
+@register("w14_rezeroed", f"{_G} SELECT track_id, channel, seg_no, count(*) AS n, count(*) FILTER (y = 0) AS zeros, round(sum(y), 3) AS total, round(sum(y * (g_no + 1)), 2) AS placed FROM g WHERE channel IN ('speed', 'reported_speed', 'cadence', 'power') GROUP BY 1, 2, 3")
 def _(spark, d):
-    g = graph(spark, d, ["speed", "cadence", "power"])
-    return g.where("y = 0").groupBy("track_id", "channel", "seg_no").agg(F.count("*").alias("zeros"))
+    g = graph(spark, d, ["speed", "reported_speed", "cadence", "power"])
+    sums = F.count("*").alias("n"), F.count_if("y = 0").alias("zeros"), F.round(F.sum("y"), 3).alias("total"), F.round(F.sum(F.expr("y * (g_no + 1)")), 2).alias("placed")
+    return g.groupBy("track_id", "channel", "seg_no").agg(*sums)
 
 
 @register("p04_p05_series", f"{_G} SELECT track_id, channel, count(DISTINCT seg_no) AS segments, count(*) AS n FROM g GROUP BY 1, 2")
@@ -143,9 +144,13 @@ def _(spark, d):
     return points.filled_forward(fixture(spark, d, "trackpoints"), ["track_id", "seg_no"], "pt_no", "heart_rate", "filled").select(*_KEYS, "filled")
 
 
-@register("w21_thinned")
+@register("w21_thinned", f"""{_G}, o AS (SELECT *, max(g_no) OVER (PARTITION BY track_id, channel, seg_no) AS g_last FROM g WHERE channel IN ('heart_rate', 'temperature')),
+wk AS (SELECT track_id, channel, seg_no, g_no, s, t, y, g_last, s AS ks, y AS ky, true AS keep FROM o WHERE g_no = 0
+  UNION ALL SELECT o.track_id, o.channel, o.seg_no, o.g_no, o.s, o.t, o.y, o.g_last, CASE WHEN KEEP THEN o.s ELSE ks END, CASE WHEN KEEP THEN o.y ELSE ky END, KEEP FROM wk JOIN o ON o.track_id = wk.track_id AND o.channel = wk.channel AND o.seg_no = wk.seg_no AND o.g_no = wk.g_no + 1)
+SELECT track_id, channel, seg_no, g_no, round(s, 2) AS s, round(t, 3) AS t, round(y, 4) AS y FROM wk WHERE keep""".replace("KEEP", "(o.g_no = o.g_last OR abs(o.s * 1e-5 - ks * 1e-5) >= 1 OR abs(o.y * 0.2e0 - ky * 0.2e0) >= 1)").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    return thinning.thinned(graph(spark, d, ["heart_rate", "temperature"]), 1e-5, 0.2)
+    out = thinning.thinned(graph(spark, d, ["heart_rate", "temperature"]), 1e-5, 0.2)
+    return out.select("track_id", "channel", "seg_no", "g_no", r("s", 2), r("t", 3), r("y", 4))
 
 
 _M = f"WITH m AS ({plain('messages')})"

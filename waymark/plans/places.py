@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import lookup, spatial
+from waymark.operators import channels, lookup, spatial
 from waymark.plans import checks
 from waymark.plans.fixtures import fixture, plain
 from waymark.plans.motion import graph, r, tracks
@@ -120,18 +120,15 @@ def _(spark, d):
     return fixture(spark, d, "pois").select("wpt_id", *[F.round(c, 6).alias(k) for k, c in box.items()])
 
 
-@register("h07_t03_box_sizes", f"WITH ar AS ({plain('areas')}), s AS (SELECT area_id, CASE WHEN west > east THEN 360 - (west - east) ELSE east - west END AS width, north - south AS height FROM ar) SELECT area_id, round(width, 6) AS width, round(height, 6) AS height, round(width * height, 6) AS area, CAST(row_number() OVER (ORDER BY round(width * height, 6) DESC, area_id) AS INT) AS place FROM s")
+@register("h07_t03_box_sizes", f"WITH ar AS ({plain('areas')}), s AS (SELECT area_id, CASE WHEN west > east THEN 360 - (west - east) ELSE east - west END AS width, north - south AS height FROM ar) SELECT area_id, round(width, 6) AS width, round(height, 6) AS height, round(width * height, 6) AS area FROM s ORDER BY area DESC, area_id")
 def _(spark, d):
-    from pyspark.sql import Window
-
     rows = fixture(spark, d, "areas").select(
         "area_id",
         F.round(geo.box_width(F.col("west"), F.col("east")), 6).alias("width"),
         F.round(F.col("north") - F.col("south"), 6).alias("height"),
         F.round(geo.box_area(F.col("west"), F.col("south"), F.col("east"), F.col("north")), 6).alias("area"),
     )
-    # the areas are one drawing: their order is over all of them
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("area"), "area_id")))
+    return rows.orderBy(F.desc("area"), "area_id")
 
 
 @register("h01_h04_great_circle", f"WITH rp AS ({plain('routepoints')}), s AS (SELECT route_id, pt_no, lon, lat, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM rp WINDOW w AS (PARTITION BY route_id ORDER BY pt_no)), a AS (SELECT *, {_ARC} AS arc FROM s WHERE nlon IS NOT NULL AND (nlon <> lon OR nlat <> lat)), b AS (SELECT *, {arc_sql('0.25e0')} FROM a) SELECT route_id, pt_no, round({checks.hav('lon', 'lat', 'nlon', 'nlat')}, 2) AS dist, round(alon, 6) AS alon, round(alat, 6) AS alat FROM b")
@@ -209,11 +206,14 @@ def _(spark, d):
     return lookup.distance_markers(spatial_path(spark, d), 100_000.0).select("track_id", "at", r("lon", 5), r("lat", 5))
 
 
-@register("j07d_wall_clock", f"{checks.enriched()}, f AS (SELECT track_id, seg_no, min_by(ts, pt_no) AS seg_start, min_by(t, pt_no) AS t0 FROM e GROUP BY 1, 2) SELECT track_id, seg_no, to_timestamp(0) IS NULL AS none, epoch_us(seg_start) + CAST(round(60e0 * 1e6) AS BIGINT) AS clock_us FROM f")
+@register("j07d_wall_clock", f"{checks.graphs()}, q AS (SELECT * FROM g WHERE channel = 'heart_rate'), {_probe_sql('t', 's', 'q').replace('(seg_no, x0)) AS y', '(seg_no, x0)) AS y, min(seg_no) AS seg_no')}, f AS (SELECT track_id, seg_no, min_by(ts, pt_no) AS seg_start, min_by(t, pt_no) AS t0 FROM e GROUP BY 1, 2) SELECT ht.track_id, ht.pos AS \"at\", ht.seg_no, epoch_us(seg_start) + CAST(round((y - t0) * 1e6) AS BIGINT) AS clock_us FROM ht JOIN f ON f.track_id = ht.track_id AND f.seg_no = ht.seg_no")
 def _(spark, d):
-    first = tracks(spark, d).groupBy("track_id", "seg_no").agg(F.min_by("ts", "pt_no").alias("seg_start"), F.min_by("t", "pt_no").alias("t0"))
-    at = lookup.wall_clock(F.col("t0") + 60.0, F.col("seg_start"), F.col("t0"))
-    return first.select("track_id", "seg_no", F.lit(False).alias("none"), F.unix_micros(at).alias("clock_us"))
+    points = tracks(spark, d)
+    series = channels.graph(points, ["heart_rate"])
+    first = points.groupBy("track_id", "seg_no").agg(F.min_by("ts", "pt_no").alias("seg_start"), F.min_by("t", "pt_no").alias("t0"))
+    found = lookup.interpolated(_probes(series), series, ["track_id"], "s", "t", 50_000.0, with_segment=True).join(first, ["track_id", "seg_no"])
+    clock = lookup.wall_clock(F.col("t"), F.col("seg_start"), F.col("t0"))
+    return found.select("track_id", "at", "seg_no", F.unix_micros(clock).alias("clock_us"))
 
 
 @register("j09_turnpoints", f"""WITH po AS ({plain('pois')}), ta AS (SELECT DISTINCT c_mktsegment AS file, c_nationkey AS task_no FROM customer),
@@ -243,33 +243,34 @@ def _(spark, d):
     return lookup.style_of(items, styles, maps, "plain").select("item", "style")
 
 
-_BOX = "west, south, east, north"
-_FEAT = f"WITH ar AS (SELECT * FROM ({plain('areas')}) WHERE west < east), fe AS ({plain('features')})"
+_FEAT = f"""WITH ar AS (SELECT area_id, south, north, unnest(CASE WHEN west > east THEN [west, -180e0] ELSE [west] END) AS west, unnest(CASE WHEN west > east THEN [180e0, east] ELSE [east] END) AS east FROM ({plain('areas')})), fe AS ({plain('features')})"""
+_SIDES = ("west", "south", "east", "north")
 
 
 @register("j11_features_in_boxes", f"""{_FEAT}, pt AS (SELECT id, 'point' AS part, lon, lat FROM fe WHERE kind = 'node' UNION ALL SELECT id, 'area', (west + east) / 2, (south + north) / 2 FROM fe WHERE kind = 'way' AND closed)
 SELECT area_id, id, part FROM ar JOIN pt ON lon BETWEEN west AND east AND lat BETWEEN south AND north
 UNION ALL SELECT area_id, id, 'path' FROM ar JOIN fe ON kind = 'way' AND NOT closed AND ar.east >= fe.west AND ar.west <= fe.east AND ar.north >= fe.south AND ar.south <= fe.north""")
 def _(spark, d):
-    areas = fixture(spark, d, "areas").where("west < east").select("area_id", "west", "south", "east", "north")
+    areas = fixture(spark, d, "areas").select("area_id", *_SIDES)
     return spatial.features_in_boxes(areas, fixture(spark, d, "features"), ["area_id"])
 
 
-@register("j12_charts", f"""{_FEAT}, ch AS (SELECT id % 50 AS chart_id, min(lon) AS west, min(lat) AS south, min(lon) + 0.3e0 AS east, min(lat) + 0.2e0 AS north FROM fe GROUP BY 1)
-SELECT area_id, chart_id, fe.id FROM ar JOIN ch ON ar.east >= ch.west AND ar.west <= ch.east AND ar.north >= ch.south AND ar.south <= ch.north JOIN fe ON fe.id % 50 = chart_id AND fe.lon BETWEEN ar.west AND ar.east AND fe.lat BETWEEN ar.south AND ar.north""")
+@register("j12_charts", f"""{_FEAT}, ch AS (SELECT id % 50 AS chart_id, min(lon) AS west, min(lat) AS south, min(lon) + 0.3e0 AS east, min(lat) + 0.2e0 AS north FROM fe GROUP BY 1),
+mt AS (SELECT DISTINCT area_id, chart_id FROM ar JOIN ch ON ar.east >= ch.west AND ar.west <= ch.east AND ar.north >= ch.south AND ar.south <= ch.north)
+SELECT mt.area_id, chart_id, fe.id FROM mt JOIN fe ON fe.id % 50 = chart_id JOIN ar ON ar.area_id = mt.area_id AND fe.lon BETWEEN ar.west AND ar.east AND fe.lat BETWEEN ar.south AND ar.north""")
 def _(spark, d):
     features = fixture(spark, d, "features").withColumn("chart_id", F.col("id") % 50)
     charts = features.groupBy("chart_id").agg(F.min("lon").alias("west"), F.min("lat").alias("south")).withColumns({"east": F.col("west") + 0.3, "north": F.col("south") + 0.2})
-    areas = fixture(spark, d, "areas").where("west < east").select("area_id", "west", "south", "east", "north")
+    areas = fixture(spark, d, "areas").select("area_id", *_SIDES)
     return spatial.charts_then_features(areas, charts, features.select("chart_id", "id", "lon", "lat"), ["area_id"])
 
 
-_COVER = f"""ar AS (SELECT *, west - 2 AS w2, east + 2 AS e2 FROM ({plain('areas')}) WHERE west < east), cv AS (SELECT area_id, CAST(x AS INT) AS tile_lon, CAST(y AS INT) AS tile_lat FROM ar, range(-180, 181) rx(x), range(-90, 91) ry(y)
-WHERE x BETWEEN floor(w2) AND floor(e2) AND y BETWEEN floor(south) AND floor(north)), iv AS (SELECT DISTINCT tile_lon, tile_lat FROM ({plain('dem')}))"""
+_COVER = f"""ar AS (SELECT *, west - 2 AS w2, east + 2 AS e2 FROM ({plain('areas')})), cv AS (SELECT area_id, CAST(x AS INT) AS tile_lon, CAST(y AS INT) AS tile_lat FROM ar, range(-180, 180) rx(x), range(-90, 91) ry(y)
+WHERE CASE WHEN w2 > e2 THEN x >= floor(w2) OR x <= floor(e2) ELSE x BETWEEN floor(w2) AND floor(e2) END AND y BETWEEN floor(south) AND floor(north)), iv AS (SELECT DISTINCT tile_lon, tile_lat FROM ({plain('dem')}))"""
 
 
 def _wide(spark, d):
-    return fixture(spark, d, "areas").where("west < east").select("area_id", (F.col("west") - 2).alias("west"), "south", (F.col("east") + 2).alias("east"), "north")
+    return fixture(spark, d, "areas").select("area_id", (F.col("west") - 2).alias("west"), "south", (F.col("east") + 2).alias("east"), "north")
 
 
 @register("j13_u05_missing_tiles", f"WITH {_COVER} SELECT DISTINCT tile_lon, tile_lat FROM cv WHERE (tile_lon, tile_lat) NOT IN (SELECT (tile_lon, tile_lat) FROM iv)")
@@ -302,21 +303,24 @@ def _(spark, d):
 
 @register("p12_p13_boxes", f"{_FEAT} SELECT area_id, count(*) FILTER (lon BETWEEN ar.west AND ar.east AND lat BETWEEN ar.south AND ar.north) AS inside, count(*) AS touching FROM ar JOIN fe ON ar.east >= fe.west AND ar.west <= fe.east AND ar.north >= fe.south AND ar.south <= fe.north GROUP BY 1")
 def _(spark, d):
-    areas = F.broadcast(fixture(spark, d, "areas").where("west < east").select("area_id", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")]))  # 25 nations
-    box = geo.box_columns(("a_west", "a_south", "a_east", "a_north"))
-    both = fixture(spark, d, "features").join(areas, geo.meets(box, geo.box_columns()))
-    return both.groupBy("area_id").agg(F.count_if(geo.holds(box, F.col("lon"), F.col("lat"))).alias("inside"), F.count("*").alias("touching"))
+    areas = fixture(spark, d, "areas").select("area_id", *_SIDES, F.struct(*_SIDES).alias("box"))
+    both = spatial.boxes_with_boxes(areas, fixture(spark, d, "features").select("id", "lon", "lat", *_SIDES))
+    parts = F.exists(geo.split_at_date_line(*[F.col(f"box.{c}") for c in _SIDES]), lambda b: geo.holds({c: b[c] for c in _SIDES}, F.col("lon"), F.col("lat")))
+    return both.groupBy("area_id").agg(F.count_if(parts).alias("inside"), F.count("*").alias("touching"))
 
 
-@register("p07_waypoint_elevation", f"""WITH po AS ({plain('pois')}), dm AS ({plain('dem')}), l AS (SELECT wpt_id, ele, CAST(floor(lon) AS INT) AS tx, CAST(floor(lat) AS INT) AS ty, CAST(floor((lon - floor(lon)) * 20) AS INT) AS col, CAST(floor((lat - floor(lat)) * 20) AS INT) AS row FROM po)
-SELECT wpt_id, round(coalesce(CAST(z AS DOUBLE), ele), 4) AS elevation FROM l LEFT JOIN dm ON tile_lon = tx AND tile_lat = ty AND dm.row = l.row AND dm.col = l.col""")
+@register("p07_waypoint_elevation", f"""WITH po AS ({plain('pois')}), dm AS ({plain('dem')}), c AS (SELECT *, CAST(floor(lon) AS INT) AS tx, CAST(floor(lat) AS INT) AS ty, (lon - floor(lon)) * 20 AS x, (lat - floor(lat)) * 20 AS y FROM po),
+k AS (SELECT c.*, CAST(floor(x) AS INT) AS col0, CAST(floor(y) AS INT) AS row0, dr, dc FROM c CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dr, dc)),
+h AS (SELECT wpt_id, k.ele, CASE WHEN count(z) = 4 THEN sum(z * (CASE WHEN dc = 1 THEN x - col0 ELSE 1 - (x - col0) END) * (CASE WHEN dr = 1 THEN y - row0 ELSE 1 - (y - row0) END)) END AS terrain
+  FROM k LEFT JOIN dm ON dm.tile_lon = tx AND dm.tile_lat = ty AND dm.row = row0 + dr AND dm.col = col0 + dc GROUP BY 1, 2)
+SELECT wpt_id, round(coalesce(terrain, ele), 4) AS elevation FROM h""")
 def _(spark, d):
+    from waymark.operators import terrain
     from waymark.operators.channels import elevation_of
 
-    cell = lambda c: F.floor((F.col(c) - F.floor(c)) * 20).cast("int")
-    at = fixture(spark, d, "pois").select("wpt_id", "ele", F.floor("lon").cast("int").alias("tile_lon"), F.floor("lat").cast("int").alias("tile_lat"), cell("lon").alias("col"), cell("lat").alias("row"))
-    found = at.join(fixture(spark, d, "dem").drop("samples"), ["tile_lon", "tile_lat", "row", "col"], "left")
-    return found.select("wpt_id", F.round(elevation_of(F.col("ele"), F.col("z").cast("double"), True), 4).alias("elevation"))
+    pois = fixture(spark, d, "pois").select("wpt_id", "ele", "lon", "lat")
+    found = terrain.elevations(pois, fixture(spark, d, "dem"), ["wpt_id"])
+    return pois.join(found, "wpt_id").select("wpt_id", F.round(elevation_of(F.col("ele"), F.col("elevation"), True), 4).alias("elevation"))
 
 
 @register("u01_u02_distinct_hits", _CORRIDOR + f""", rp AS ({plain('routepoints')}), rb AS (SELECT DISTINCT {box_sql('lon', 'lat', 1000.0)} FROM rp),
