@@ -6,20 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import live, maps, motion, places, scalars
-
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (motion, places, maps, scalars, live)
+
+
+class Register:
+    """Decorator that keeps the queries of a module, and their SQL where there is one."""
+
+    def __init__(self):
+        self.queries: dict[str, Query] = {}
+        self.oracle: dict[str, str] = {}
+
+    def __call__(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+        def keep(f: Query) -> Query:
+            self.queries[name] = f
+            if sql is not None:
+                self.oracle[name] = sql
+            return f
+
+        return keep
+
+
+def _parts() -> list[Register]:
+    from waymark.plans import live, logs, maps, motion, places, scalars
+
+    return [m.register for m in (motion, places, maps, scalars, live, logs)]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance, time, pause and moving time of every track."""
+    from waymark.plans import motion
+
     return motion.track_totals(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+    return {name: f for part in _parts() for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
+    return {name: sql for part in _parts() for name, sql in part.oracle.items()}

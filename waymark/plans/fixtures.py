@@ -58,6 +58,9 @@ SELECT CAST(user_id AS STRING) AS file, event_id AS ord, CASE WHEN event_type IN
     "positions": f"""
 SELECT user_id AS device, event_id AS fix, ts, CASE WHEN {_K} = 50 THEN 200e0 ELSE 14e0 + {_K} * 0.01e0 END AS lon, 50e0 + ((event_id * 7919) % 1000) * 0.0005e0 AS lat,
   200e0 + value AS alt, CAST(({_K} * 7) % 360 AS DOUBLE) AS bearing, value / 10e0 AS speed FROM {{events}}""",
+    "records": f"""
+SELECT CAST(user_id AS STRING) AS file, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS n, event_id, event_type AS kind,
+  {_K} AS k, CAST((event_id * 7919) % 1000 AS INT) AS m, date_trunc('second', ts) AS ts FROM {{events}}""",
 }
 _TABLE = re.compile(r"\{(\w+)\}")
 

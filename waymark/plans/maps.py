@@ -6,21 +6,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions import tiles as T
 from waymark.operators import filters, terrain, tiles
+from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
 from waymark.plans.motion import r
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return keep
+register = Register()
 
 
 def features(spark, d):

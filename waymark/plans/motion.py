@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 
 from waymark.operators import channels, points, routes, sessions, stats, thinning
 from waymark.plans import checks
+from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+register = Register()
 _KEYS = ["track_id", "seg_no", "pt_no"]
 
 
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
 def r(column: str, digits: int = 3, name: str | None = None):
     return F.round(F.col(column), digits).alias(name or column.split(".")[-1])
 

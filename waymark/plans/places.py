@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 from waymark.functions import geo
 from waymark.operators import channels, lookup, spatial
 from waymark.plans import checks
+from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
 from waymark.plans.motion import graph, r, tracks
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return keep
+register = Register()
 
 
 def box_sql(lon: str, lat: str, radius: float) -> str:
@@ -142,6 +132,14 @@ def _(spark, d):
     return rows.select("route_id", "pt_no", F.round(geo.distance(*ends), 2).alias("dist"), F.round(lon, 6).alias("alon"), F.round(lat, 6).alias("alat"))
 
 
+@register("h03_antipodes", f"""WITH po AS ({plain('pois')}), a AS (SELECT wpt_id, (wpt_id % 180) + 0e0 AS lon, (wpt_id % 179) - 89e0 AS lat FROM po), b AS (SELECT *, lon - 180 + 1e-5 AS nlon, -lat + 1e-5 AS nlat FROM a), c AS (SELECT *, {_ARC} AS arc FROM b), q AS (SELECT *, {arc_sql('0.25e0')} FROM c) SELECT wpt_id, round(alon, 3) AS alon, round(alat, 3) AS alat FROM q""")
+def _(spark, d):
+    """Opposite places are moved apart a little, so that a great circle between them exists."""
+    rows = fixture(spark, d, "pois").select("wpt_id", (F.col("wpt_id") % 180).cast("double").alias("lon"), (F.col("wpt_id") % 179 - 89).cast("double").alias("lat"))
+    lon, lat = geo.great_circle(F.col("lon"), F.col("lat"), F.col("lon") - 180.0, -F.col("lat"), F.lit(0.25))
+    return rows.select("wpt_id", F.round(lon, 3).alias("alon"), F.round(lat, 3).alias("alat"))
+
+
 @register("h08_date_line", f"WITH po AS ({plain('pois')}), s AS (SELECT wpt_id, (wpt_id % 360) - 180e0 AS lon1, lat AS lat1, ((wpt_id * 7 + 170) % 360) - 180e0 AS lon2, lat + 1 AS lat2 FROM po), t AS (SELECT *, CASE WHEN lon1 < 0 THEN lon1 + 360 ELSE lon1 END AS s1, CASE WHEN lon2 < 0 THEN lon2 + 360 ELSE lon2 END AS s2 FROM s) SELECT wpt_id, round(lat1 + (180 - s1) * (lat2 - lat1) / (s2 - s1), 6) AS at_lat FROM t WHERE abs(lon2 - lon1) > 180 AND s1 <> s2")
 def _(spark, d):
     rows = fixture(spark, d, "pois").select("wpt_id", ((F.col("wpt_id") % 360) - 180.0).alias("lon1"), F.col("lat").alias("lat1"), ((F.col("wpt_id") * 7 + 170) % 360 - 180.0).alias("lon2"), (F.col("lat") + 1).alias("lat2"))

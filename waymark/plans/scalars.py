@@ -6,20 +6,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions import projection as P
 from waymark.functions import texts, units
+from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return keep
+register = Register()
 
 
 _PO = f"WITH po AS ({plain('pois')})"

@@ -1,46 +1,76 @@
-"""Reading by file name: every file of a path with the reader of its kind."""
+"""Reading by file name: every file of a path with the readers of its kind."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import fields
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.sources import geojson, nmea, text, xml
-from waymark.sources.common import Loaded
-
-#: Readers by extension. Files of a kind that two readers know (.wpt, .rte, .trk) are tried by each; lines that a reader doesn't know give it nothing.
-READERS = {
-    "gpx": xml.read_gpx,
-    "tcx": xml.read_tcx,
-    "kml": xml.read_kml,
-    "slf": xml.read_slf,
-    "sml": xml.read_sml,
-    "loc": xml.read_loc,
-    "geojson": geojson.read_geojson,
-    "csv": text.read_csv,
-    "cup": text.read_cup,
-    "txt": text.read_dashcam,
-    "itn": text.read_itn,
-    "igc": text.read_igc,
-    "srt": text.read_srt,
-    "nmea": nmea.read_nmea,
-    "plt": partial(text.read_ozi, kind="plt"),
-    "rte": partial(text.read_ozi, kind="rte"),
-    "wpt": partial(text.read_ozi, kind="wpt"),
-    "trk": partial(text.read_twonav, kind="trk"),
+from waymark.sources.common import ERRORS, Loaded, conformed
+
+Reader = Callable[[SparkSession, str], Loaded]
+
+#: Readers by extension, in the order in which they are tried: the first that reads a file without an error has it.
+READERS: dict[str, Sequence[Reader]] = {
+    "gpx": (xml.read_gpx,),
+    "tcx": (xml.read_tcx,),
+    "kml": (xml.read_kml,),
+    "slf": (xml.read_slf,),
+    "sml": (xml.read_sml,),
+    "loc": (xml.read_loc,),
+    "geojson": (geojson.read_geojson,),
+    "json": (partial(geojson.read_geojson, glob="*.json"),),
+    "csv": (text.read_csv,),
+    "cup": (text.read_cup,),
+    "txt": (text.read_dashcam,),
+    "itn": (text.read_itn,),
+    "igc": (text.read_igc,),
+    "srt": (text.read_srt,),
+    "nmea": (nmea.read_nmea,),
+    "plt": (partial(text.read_ozi, kind="plt"),),
+    "rte": (partial(text.read_twonav, kind="rte"), partial(text.read_ozi, kind="rte")),
+    "wpt": (text.read_gpsdump, partial(text.read_twonav, kind="wpt"), partial(text.read_ozi, kind="wpt")),
+    "trk": (partial(text.read_twonav, kind="trk"),),
 }
 
 
+def tried(readers: Sequence[Reader], spark: SparkSession, path: str) -> Loaded:
+    """Files with the first of the readers that has no error for them; what none reads is an error of the last."""
+    parts, refused = [], None
+    for k, read in enumerate(readers):
+        got = read(spark, path)
+        if refused is not None:
+            got = _each(got, lambda df, files: df.join(files, "file", "left_semi"), refused)
+        if k < len(readers) - 1:
+            refused = got.errors.select("file").distinct()
+            got = _each(got, lambda df, files: df.join(files, "file", "left_anti"), refused)
+        parts.append(got)
+    return reduce(Loaded.union, parts)
+
+
+def _each(loaded: Loaded, change: Callable[[DataFrame, DataFrame], DataFrame], files: DataFrame) -> Loaded:
+    return Loaded(**{f.name: change(getattr(loaded, f.name), files) for f in fields(loaded)})
+
+
 def read(spark: SparkSession, path: str, kinds: list[str] | None = None) -> Loaded:
     """All files under a path, folders included; a file that can't be read is a row of errors, the others go on.
 
-    ``kinds`` are the extensions to look for, by default those that are there.
+    ``kinds`` are the extensions to look for, by default those that are there;
+    then files of unknown extension are errors too.
     """
+    unknown = None
     if kinds is None:
-        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).selectExpr("lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) AS kind").distinct()
-        kinds = sorted(r["kind"] for r in names.collect() if r["kind"] in READERS)  # a handful of extensions
-    parts = [READERS[k](spark, path) for k in kinds]
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+        kind = F.lower(F.regexp_extract("file", "[.]([A-Za-z0-9]+)$", 1))
+        kinds = sorted(r["kind"] for r in names.select(kind.alias("kind")).distinct().collect() if r["kind"] in READERS)  # a handful of extensions
+        unknown = names.where(~kind.isin(list(READERS))).select("file", F.lit("unknown format").alias("msg"))
+    parts = [tried(READERS[k], spark, path) for k in kinds]
+    if unknown is not None:
+        parts.append(Loaded(errors=conformed(spark, unknown, ERRORS)).completed(spark))
     return reduce(Loaded.union, parts) if parts else Loaded().completed(spark)
 
 

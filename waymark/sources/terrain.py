@@ -14,7 +14,11 @@ _NO_DATA = -32768
 
 def read_hgt(spark: SparkSession, path: str) -> DataFrame:
     """(tile_lon, tile_lat, samples, row, col, z): 1 degree tiles of big-endian samples; row 0 is the south edge. Files whose size is no square are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.hgt").load(path)
+    return samples_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.hgt").load(path))
+
+
+def samples_of(files: DataFrame) -> DataFrame:
+    """The samples of tiles (path, content); a path that names no tile is left out."""
     name = F.regexp_extract("path", r"([NS]\d{2}[EW]\d{3})\.hgt$", 1)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

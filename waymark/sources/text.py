@@ -75,6 +75,13 @@ def read_itn(spark: SparkSession, path: str, glob: str = "*.itn") -> Loaded:
     return Loaded(routepoints=_ranked(good, "pt_no", ["file"]), errors=errors).completed(spark)
 
 
+def _titled(rows: DataFrame, title: Column, message: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of files whose first line is a title of the format; and an error for each other file."""
+    good = F.max(F.when(F.col("line_no") == 1, title)).over(Window.partitionBy("file"))
+    marked = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    return marked.where("good").drop("good"), marked.where("not good and line_no = 1").select("file", F.col("line_no").alias("line"), F.lit(message).alias("msg"))
+
+
 def _shifted(points: DataFrame, datums: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Places to WGS 84 where a table of datums is given; rows of unknown datums become errors."""
     if datums is None:
@@ -84,9 +91,11 @@ def _shifted(points: DataFrame, datums: DataFrame | None) -> tuple[DataFrame, Da
     return plain.unionByName(good), unknown.select("file", F.col("line_no").alias("line"), F.concat(F.col("datum"), F.lit(": unknown datum")).alias("msg"))
 
 
-def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None) -> Loaded:
+def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None, glob: str | None = None) -> Loaded:
     """Track (plt), route (rte) and waypoint (wpt) files: datum in line 2, elevations in feet (-777: none), times as day numbers."""
-    rows = whole_lines(spark, path, f"*.{kind}", "ISO-8859-1")
+    rows = whole_lines(spark, path, glob or f"*.{kind}", "ISO-8859-1")
+    titles = {"plt": "OziExplorer Track Point File", "rte": "OziExplorer Route File", "wpt": "OziExplorer Waypoint File"}
+    rows, foreign = _titled(rows, F.startswith(F.trim("line"), F.lit(titles[kind])), f"not a {kind} file")
     rows = rows.withColumn("datum", F.max(F.when(F.col("line_no") == 2, F.trim("line"))).over(Window.partitionBy("file"))).withColumn("f", F.split("line", ","))
     feet = lambda i: F.when(number(_part("f", i)) != -777, number(_part("f", i)) * 0.3048)
     if kind == "plt":
@@ -102,7 +111,7 @@ def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None
         pts = body.select("file", "line_no", "datum", number(_part("f", 3)).alias("lon"), number(_part("f", 2)).alias("lat"), _part("f", 1).alias("name"), _part("f", 10).alias("description"), feet(14).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), F.col("line_no").alias("wpt_no"))
     good, errors = split_valid(pts, "invalid coordinates")
     good, unknown = _shifted(good, datums)
-    errors = errors if unknown is None else errors.unionByName(unknown)
+    errors = foreign.unionByName(errors if unknown is None else errors.unionByName(unknown))
     if kind == "plt":
         return Loaded(trackpoints=_ranked(good, "pt_no", ["file", "seg_no"]), errors=errors).completed(spark)
     if kind == "rte":
@@ -110,33 +119,39 @@ def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None
     return Loaded(waypoints=good, errors=errors).completed(spark)
 
 
-def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataFrame | None = None) -> Loaded:
-    """Records by letter: G sets the datum of later lines, U the projection, T are trackpoints and W waypoints."""
-    rows = whole_lines(spark, path, f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
+def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataFrame | None = None, glob: str | None = None) -> Loaded:
+    """Records by letter: G sets the datum of later lines, U the projection, T are trackpoints, W waypoints, and R begins a route of the waypoints after it.
+
+    A file without such records is an error.
+    """
+    rows = whole_lines(spark, path, glob or f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
     datum = F.last(F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))), True).over(_lines())
-    rows = rows.withColumns({"datum": F.coalesce(datum, F.lit("WGS 84")), "letter": _part("f", 0)})
+    rows = rows.withColumns({"datum": F.coalesce(datum, F.lit("WGS 84")), "letter": F.left(F.trim("line"), F.lit(1))})
+    rows = rows.withColumn("route_no", F.sum((F.col("letter") == "R").cast("int")).over(_lines()) - 1)
+    known = F.max(F.col("letter").isin("T", "W", "R")).over(Window.partitionBy("file"))
+    nothing = rows.withColumn("known", F.coalesce(known, F.lit(False))).where("not known and line_no = 1").select("file", F.col("line_no").alias("line"), F.lit("no valid data found").alias("msg"))
     at = F.when(F.col("letter") == "T", 2).otherwise(3)
     rows = rows.where("letter in ('T', 'W')").withColumns(
         {"lat": texts.marked_angle(F.get("f", at), "N", "S"), "lon": texts.marked_angle(F.get("f", at + 1), "E", "W"), "at": at}
     )
     ts = F.try_to_timestamp(F.concat_ws(" ", F.get("f", F.col("at") + 2), F.get("f", F.col("at") + 3)), F.lit("dd-MMM-yy HH:mm:ss"))
-    rows = rows.withColumn("ts", ts).withColumn("ele", number(F.get("f", F.when(F.col("letter") == "T", 7).otherwise(7))))
+    rows = rows.withColumn("ts", ts).withColumn("ele", number(F.get("f", F.lit(7))))
+    rows = rows.withColumns({"name": F.trim(F.translate(_part("f", 1), "_", " ")), "description": F.when((F.col("letter") == "W") & (F.size("f") > 8), F.array_join(F.slice("f", F.lit(9), F.size("f")), " "))})
     good, errors = split_valid(rows, "invalid coordinates")
     good, unknown = _shifted(good.drop("f", "at"), datums)
-    errors = errors if unknown is None else errors.unionByName(unknown)
-    good = good.withColumn("name", F.regexp_extract("line", r"^W\s+(\S+)", 1))
+    errors = nothing.unionByName(errors if unknown is None else errors.unionByName(unknown))
     tracks = _ranked(good.where("letter = 'T'"), "pt_no", ["file"]).withColumns({"track_no": F.lit(0), "seg_no": F.lit(0)})
-    way = good.where("letter = 'W'").withColumn("wpt_no", F.col("line_no"))
-    if kind == "rte":
-        return Loaded(routepoints=_ranked(way.withColumn("route_no", F.lit(0)), "pt_no", ["file"]), errors=errors).completed(spark)
-    return Loaded(trackpoints=tracks, waypoints=way, errors=errors).completed(spark)
+    way = good.where("letter = 'W' and route_no < 0").withColumn("wpt_no", F.col("line_no"))
+    route = _ranked(good.where("letter = 'W' and route_no >= 0"), "pt_no", ["file", "route_no"])
+    return Loaded(trackpoints=tracks, waypoints=way, routepoints=route, errors=errors).completed(spark)
 
 
 def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
     """Waypoint lists: the header says whether places are geographic or UTM; fields are two blanks or more apart."""
     rows = whole_lines(spark, path, glob)
-    grammar = F.max(F.when(F.col("line_no") == 1, F.when(F.upper("line").contains("UTM"), "UTM").when(F.upper("line").contains("GEO"), "GEO"))).over(Window.partitionBy("file"))
-    rows = rows.withColumns({"grammar": grammar, "f": F.split(F.trim("line"), r" {2,}")}).where("line_no > 1 and trim(line) <> '' and grammar is not null")
+    rows, foreign = _titled(rows, F.trim("line").isin("$FormatGEO", "$FormatUTM"), "not a waypoint list")
+    grammar = F.max(F.when(F.col("line_no") == 1, F.right(F.trim("line"), F.lit(3)))).over(Window.partitionBy("file"))
+    rows = rows.withColumns({"grammar": grammar, "f": F.split(F.trim("line"), r" {2,}")}).where("line_no > 1 and trim(line) <> ''")
 
     def angle(text: Column) -> Column:
         part = F.split(F.trim(text), r"[\s°']+")
@@ -145,14 +160,17 @@ def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
 
     zone_text = _part("f", 1)
     zone = F.regexp_extract(zone_text, r"^(\d+)", 1).try_cast("int") * F.when(F.upper(F.right(zone_text, F.lit(1))) < "N", -1).otherwise(1)
-    u_lon, u_lat = projection.from_utm(zone, number(_part("f", 2)), number(_part("f", 3)))
     is_utm = F.col("grammar") == "UTM"
+    rows = rows.withColumns({"zone": F.when(is_utm, zone), "x": F.when(is_utm, number(_part("f", 2))), "y": F.when(is_utm, number(_part("f", 3)))})
+    u_lon, u_lat = projection.from_utm(F.col("zone"), F.col("x"), F.col("y"))
     pts = rows.select(
-        "file", "line_no", F.col("line_no").alias("wpt_no"), _part("f", 0).alias("name"), F.when(is_utm, u_lon).otherwise(angle(F.get("f", F.lit(2)))).alias("lon"), F.when(is_utm, u_lat).otherwise(angle(F.get("f", F.lit(1)))).alias("lat"),
+        "file", "line_no", F.col("line_no").alias("wpt_no"), _part("f", 0).alias("name"),
+        # from a generator: filters on the places, which name them several times, stay above these long expressions
+        F.inline(F.array(F.struct(F.when(is_utm, u_lon).otherwise(angle(F.get("f", F.lit(2)))).alias("lon"), F.when(is_utm, u_lat).otherwise(angle(F.get("f", F.lit(1)))).alias("lat")))),
         F.when(is_utm, number(_part("f", 4))).otherwise(number(_part("f", 3))).alias("ele"), F.when(is_utm, _part("f", 5)).otherwise(_part("f", 4)).alias("description"),
     )
     good, errors = split_valid(pts, "invalid coordinates")
-    return Loaded(waypoints=good, errors=errors).completed(spark)
+    return Loaded(waypoints=good, errors=foreign.unionByName(errors)).completed(spark)
 
 
 def read_igc(spark: SparkSession, path: str, glob: str = "*.igc") -> Loaded:
