@@ -4,9 +4,12 @@ Markup is stripped to one line a block element. The text length summed over a
 sliding window of lines surges where the article starts and dives where it ends;
 the text between the surge point and the dive point is the article. Elements
 that are never article text (scripts, menus, forms, comments of readers, ...)
-leave empty lines, so that they pull the sums down. The sums are taken on every
-page; where the stretch they find is an article that the page marks, its ends are
-moved to the marks, but marks never displace a stretch with more text.
+leave empty lines, so that they pull the sums down. The sums decide on every
+page: on the given pages they alone find the whole article, with its marks
+(``article``, ``main``, ...) or without. Marks are a second feature for pages
+whose lines aren't so well apart: where the stretch found is an article that the
+page marks, its ends are moved to the marks, but marks never displace a stretch
+with more text.
 """
 
 from __future__ import annotations
@@ -168,10 +171,11 @@ def window_sums(sizes: list[int], window: int = WINDOW) -> list[int]:
 def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -> tuple[int, int]:
     """First and last line (exclusive) of the stretch with the most text whose sliding window sums are dense.
 
-    A window ends early at an empty line. A surge point is a line where the
-    window sum reaches ``dense``; the dive point is the next empty line, unless
-    another surge point follows right behind it. With no dense window the
-    longest stretch without an empty line is taken.
+    A window ends early at an empty line. Text surges where the window sum
+    reaches ``dense``; the lines that touch it from above (headings, bylines)
+    belong to it. The dive point is the next empty line, unless the line right
+    behind that one is dense at once. With no dense window the longest stretch
+    without an empty line is taken; of equal stretches the first.
     """
     n = len(sizes)
     sums = window_sums(sizes, window)
@@ -184,11 +188,10 @@ def surge_and_dive(sizes: list[int], window: int = WINDOW, dense: int = DENSE) -
         end = at
         while end < n and sizes[end]:
             end += 1
-        start = next((i for i in range(at, end) if sums[i] >= dense), None)
-        if start is not None and stretches and start == at and stretches[-1][1] + 1 == at:
-            stretches[-1][1:] = [end, stretches[-1][2] + sum(sizes[start:end])]
-        elif start is not None:
-            stretches.append([start, end, sum(sizes[start:end])])
+        if sums[at] >= dense and stretches and stretches[-1][1] + 1 == at:
+            stretches[-1][1:] = [end, stretches[-1][2] + sum(sizes[at:end])]
+        elif max(sums[at:end]) >= dense:
+            stretches.append([at, end, sum(sizes[at:end])])
         at = end
     if not stretches:
         at = 0
