@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from waymark.llm.common import append_from_text, share
 
-#: Matches whose ids a Python worker remembers, besides those of the texts at hand.
+#: Matches whose ids a Python worker remembers, besides those of the texts at hand and as many older ones.
 CACHED_MATCHES = 200_000
 #: Characters of texts whose matches are merged together; a longer text is on its own.
 CHARS_AT_ONCE = 1 << 20
@@ -84,12 +84,17 @@ class PairRankTrees:
         return self.nodes[1, columns]
 
     def update(self, at: np.ndarray, columns: np.ndarray, keys: np.ndarray) -> None:
-        at = at + self.size
-        self.nodes[at, columns] = keys
+        nodes, at = self.nodes, at + self.size
+        nodes[at, columns] = keys
         for _ in range(self.size.bit_length() - 1):
-            keys = np.minimum(keys, self.nodes[at ^ 1, columns])
-            at >>= 1
-            self.nodes[at, columns] = keys
+            keys = np.minimum(keys, nodes[at ^ 1, columns])
+            at = at >> 1
+            changed = np.flatnonzero(nodes[at, columns] != keys)
+            if not len(changed):
+                return
+            if 2 * len(changed) < len(keys):
+                at, columns, keys = at[changed], columns[changed], keys[changed]
+            nodes[at, columns] = keys
 
 
 class ByteBpe:
@@ -98,6 +103,7 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # (left id, right id) of every cut of every token into two tokens, and the token's rank
         cuts = {
@@ -149,10 +155,14 @@ class ByteBpe:
         return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, matches: set[str]) -> None:
-        """Remember the ids of matches that are new; before that, forget all if they would become too many."""
+        """Remember the ids of matches that are new. When they would become too many, a new generation begins; of the one before, what comes again is taken over."""
         new = matches - self.remembered.keys()
         if len(self.remembered) + len(new) > CACHED_MATCHES:
-            self.remembered, new = {}, matches
+            self.older, self.remembered, new = self.remembered, {}, matches
+        if self.older:
+            again = new & self.older.keys()
+            self.remembered.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new = new - again
         known, together = self.remembered, {w: ([], []) for w in _WIDTHS}
         for match in new:
             piece = match.encode("utf-8", "surrogatepass")
