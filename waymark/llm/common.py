@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 ROWS_AT_ONCE = 512
 #: Upper bound in bytes of anything that these operators broadcast.
 BROADCAST_LIMIT = 16 << 20
+#: Keys that a join treats as hot at most.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +77,29 @@ def append_from_text(
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is taken.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    local session (tests) takes a temporary folder; on a cluster, whose
+    executors don't share one, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``, whatever part of ``left`` has one key.
+
+    Keys with more than one in HOT_KEYS of the rows of ``left`` are HOT_KEYS at
+    most; they are broadcast, so rows that have one stay where they are. The
+    others are shuffled. Both sides should be checkpointed.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("\u0001n"))
+    hot = counts.where(F.col("\u0001n") > left.count() // HOT_KEYS).select(key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return left.join(few, key).unionByName(rest)

@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import append_from_text, checkpointed, quoted
+from waymark.llm.common import append_from_text, checkpointed, join_hot, quoted
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 _BITS = 31
+#: Fingerprints of an anchor that one task compares; the home side of a larger one is dealt to so many tasks.
+_AT_HOME, _PARTS = 1 << 14, 64
 #: Shingle hashes whose bits are counted at once.
 _AT_ONCE = 1 << 15
 
@@ -125,50 +127,77 @@ def _spanning(home: np.ndarray, others: np.ndarray, threshold: int) -> list[tupl
     return links
 
 
+def _compare(threshold: int, most: int | None):
+    """Batches (key columns, guest, fp), sorted, to links (a, b); the rows of keys with over ``most`` members come back instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, size, whole = None, [], 0, False
+
+        def rows(a=(), b=(), back: list | None = None) -> pa.RecordBatch:
+            back = back or [np.zeros(0, np.int64)] * len(names)
+            n = len(back[0])
+            links = [pa.array(np.concatenate([np.array(x, np.int64), np.zeros(n, np.int64)]), mask=np.r_[np.zeros(len(x), bool), np.ones(n, bool)]) for x in (a, b)]
+            rest = [pa.array(np.r_[np.zeros(len(a), np.int64), c.astype(np.int64)], mask=np.r_[np.ones(len(a), bool), np.zeros(n, bool)]) for c in back]
+            return pa.RecordBatch.from_arrays([*links, *rest], names=["a", "b", *names])
+
+        def compared() -> pa.RecordBatch:
+            guest, fp = (np.concatenate([h[k] for h in held]) for k in (-2, -1))
+            home = len(guest) - int(guest.sum())
+            found = _spanning(fp[:home], fp[home:], threshold) if home and len(fp) > 1 else []
+            return rows(*zip(*found, strict=True)) if found else rows()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            keys = np.stack(columns[:-2])
+            ends = np.r_[np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+            start, found = 0, []
+            for end in ends.tolist():
+                part = [c[start:end] for c in columns]
+                if held and any(h[0] != p[0] for h, p in zip(held[-1][:-2], part[:-2], strict=True)):
+                    if not whole:
+                        found.append(compared())
+                    held, size, whole = [], 0, False
+                size += end - start
+                if most is not None and size > most:  # from here on only handed back
+                    for h in held if not whole else ():
+                        found.append(rows(back=h))
+                    found.append(rows(back=part))
+                    held, whole = [part], True
+                else:
+                    held.append(part)
+                start = end
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(f.num_rows for f in found) else rows()
+        if held and not whole:
+            yield compared()
+
+    return run
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that have the same connected components as all pairs within ``threshold`` (at most 3).
 
     Each anchor's rows come sorted, those at home first; an anchor gives at most
-    one link less than it holds fingerprints, never all pairs.
+    one link less than it holds fingerprints, never all pairs. Anchors with very
+    many fingerprints are compared in a second step by many tasks, each with a
+    part of those at home against all.
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the anchors reach fingerprints that differ in at most 3 bits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def compare(half, anchor, guest, fp) -> list[tuple[int, int]]:
-            starts = np.flatnonzero(np.r_[True, (half[1:] != half[:-1]) | (anchor[1:] != anchor[:-1])])
-            ends = np.r_[starts[1:], len(fp)]
-            homes = np.add.reduceat(1 - guest, starts)
-            found = []
-            for i in np.flatnonzero((homes > 0) & (ends - starts > 1)):
-                s, m, e = starts[i], starts[i] + homes[i], ends[i]
-                found += _spanning(fp[s:m], fp[m:e], threshold)
-            return found
-
-        def out(found: list) -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            half, anchor = columns[0], columns[1]
-            changes = np.flatnonzero((half != half[-1]) | (anchor != anchor[-1]))
-            cut = changes[-1] + 1 if len(changes) else 0  # the last anchor may go on in the next batch
-            same = bool(held) and held[0][0][0] == half[-1] and held[0][1][0] == anchor[-1]
-            if cut or held and not same:
-                whole = [*held, tuple(c[:cut] for c in columns)] if cut else held
-                yield out(compare(*(np.concatenate(x) for x in zip(*whole, strict=True))))
-                held = []
-            held.append(tuple(c[cut:] for c in columns))
-        if held:
-            yield out(compare(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-    rows = replicated(fps).repartition("half", "anchor").sortWithinPartitions("half", "anchor", "guest")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = replicated(fps).select(F.col("half").cast("long").alias("half"), "anchor", F.col("guest").cast("long").alias("guest"), "fp")
+    rows = rows.repartition("half", "anchor").sortWithinPartitions("half", "anchor", "guest")
+    first = checkpointed(rows.mapInArrow(_compare(threshold, _AT_HOME), "a long, b long, half long, anchor long, guest long, fp long"))
+    found, crowded = first.where("a is not null").select("a", "b"), first.where("fp is not null").select("half", "anchor", "guest", "fp")
+    if crowded.isEmpty():
+        return found
+    home = crowded.where("guest = 0").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(_PARTS)).cast("long"))
+    others = crowded.select("half", "anchor", F.lit(1).cast("long").alias("guest"), "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))).alias("part"))
+    dealt = home.unionByName(others).select("half", "anchor", "part", "guest", "fp").repartition("half", "anchor", "part").sortWithinPartitions("half", "anchor", "part", "guest")
+    more = dealt.mapInArrow(_compare(threshold, None), "a long, b long, half long, anchor long, part long, guest long, fp long")
+    return found.unionByName(more.where("a <> b").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,39 +226,51 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def _rooted(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, first_id, root, component_id) of each distinct fingerprint of (doc_id, fp)."""
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(classes.select("fp"), threshold))
+    rooted = checkpointed(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    smallest = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return checkpointed(join_hot(rooted, smallest, "root"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
     Equal fingerprints are collapsed first, so exact copies never multiply.
     Documents without words share the fingerprint zero and are linked like any
-    other. Rows with a null id get the smallest id of their component, null if
-    it has none. Repeated rows stay repeated.
+    other; very long texts are read whole. Rows with a null id get the smallest
+    id of their component, null if it has none. Repeated rows stay repeated.
     """
     ids = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     prints = checkpointed(fingerprints(ids, "text", keep=["doc_id"]))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(classes.select("fp"), threshold))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    by_print = _rooted(prints, threshold).select("fp", "component_id")
+    return join_hot(prints, by_print, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Documents without the near-duplicates of another: of each component the row of smallest doc_id stays, once.
+    """Documents without the near-duplicates of another: of each component one row of its smallest doc_id stays.
 
-    Rows with a null id stay only where no member of their component has an id.
+    Rows are told apart by id and fingerprint: unrelated texts under one id are
+    documents of their own. A component without any id keeps one row too. Of
+    rows with equal id and fingerprint the one with the first text stays.
     """
-    found = checkpointed(near_duplicates(docs, doc_id, text, threshold))
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    key = docs[quoted(doc_id)]
-    repeated = winners.where("rows > 1 or doc_id is null")
-    once = docs.join(winners.where("rows = 1 and doc_id is not null"), key == winners.doc_id, "left_semi")
+    key = F.col(quoted(doc_id))
+    ids = docs.select(key.alias("doc_id"), F.col(quoted(text)).alias("text"))
+    prints = checkpointed(fingerprints(ids, "text", keep=["doc_id"]))
+    rooted = _rooted(prints, threshold)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("w"))
+    winners = checkpointed(first.select(F.col("w.first_id").alias("\u0001id"), F.col("w.fp").alias("\u0001fp")))
+    rows_of = prints.groupBy(F.col("doc_id").alias("\u0001id")).agg(F.count("*").alias("\u0001rows"))
+    alone = winners.join(rows_of.where("`\u0001rows` = 1"), "\u0001id").select("\u0001id")
+    once = docs.join(alone, key == F.col("\u0001id"), "left_semi")
+    repeated = checkpointed(winners.join(alone, "\u0001id", "left_anti"))
     if repeated.isEmpty():
         return once
-    # copies of a row under one id, or rows without one: any of those with equal fingerprints
-    named = fingerprints(docs.join(repeated, key.eqNullSafe(repeated.doc_id), "left_semi"), text, column="\u0001fp")
-    without = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("\u0001f")).distinct()
-    some = named.where(F.col(quoted(doc_id)).isNotNull()).dropDuplicates([doc_id])
-    none = named.where(F.col(quoted(doc_id)).isNull()).join(without, hex_of(F.col("\u0001fp")) == F.col("\u0001f"), "left_semi").dropDuplicates(["\u0001fp"])
-    return once.unionByName(some.drop("\u0001fp")).unionByName(none.drop("\u0001fp"))
+    # an id of several rows, or none: the rows of the winning fingerprint
+    some = docs.join(repeated.where("`\u0001id` is not null").select("\u0001id").distinct(), key == F.col("\u0001id"), "left_semi")
+    named = fingerprints(some.unionByName(docs.where(key.isNull())), text, column="\u0001f")
+    wanted = named.join(repeated, key.eqNullSafe(F.col("\u0001id")) & (F.col("\u0001f") == F.col("\u0001fp")), "left_semi")
+    best = wanted.groupBy(key.alias("\u0001id"), "\u0001f").agg(F.min_by(F.struct(*[F.col(quoted(c)) for c in docs.columns]), F.coalesce(F.col(quoted(text)), F.lit(""))).alias("\u0001row"))
+    return once.unionByName(best.select("\u0001row.*"))
