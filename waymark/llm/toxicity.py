@@ -9,6 +9,7 @@ normalised by length before a logistic function turns it into a score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -25,13 +26,15 @@ from pyspark.sql import types as T
 
 from waymark.llm.common import append_from_text, checkpointed, quoted, share
 
-#: Training rows of each class at most, terms kept at most; both bound what reaches the driver.
-TRAIN_ROWS, MAX_TERMS = 10_000, 5_000
+#: Training rows of each class at most. With MIN_SHARE this bounds the terms too: a term needs so many of the rows, and a row has only so many words.
+TRAIN_ROWS = 10_000
 #: Lengths of the word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6)
 #: A term needs this share of the toxic training texts (and 5 of them) and this log-odds.
 MIN_SHARE, MIN_WEIGHT = 0.01, 3.0
-#: Harmless phrases around words that a lexicon may hold.
+#: A phrase of a term's word and a neighbour is an exception if so many clean training texts have it, and toxic ones hardly do.
+MIN_CLEAN, MAX_EXCEPTION_WEIGHT = 3, -1.0
+#: Harmless phrases around words that a lexicon may hold, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "stupid simple")
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 #: Letters of other scripts that look like Latin ones.
@@ -81,6 +84,24 @@ class Lexicon:
             self.automaton = a
         return self.automaton
 
+    def n_bytes(self) -> int:
+        """Bound of what a broadcast of it takes; the automaton is built by the workers."""
+        return 1000 + sum(4 * len(t) + 60 for t in (*self.weights, *self.exceptions))
+
+    def phrases(self, text: str | None) -> set[str]:
+        """Each word with a hit, with the word before and with the word after it."""
+        words = folded_words(text or "")
+        automaton = self.ready()
+        if not words or not len(automaton):
+            return set()
+        line, found = f" {' '.join(words)} ", set()
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()  # of the blank before each word
+        for end, (length, weight) in automaton.iter(line):
+            k = bisect.bisect_right(starts, end - length + 1) - 1
+            if weight is not None:
+                found.update(" ".join(words[i : i + 2]) for i in (k - 1, k) if i >= 0 and i + 2 <= len(words))
+        return found
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Any hit; logarithms of the summed weight and of the weight per 100 words."""
         words = folded_words(text or "")
@@ -124,7 +145,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     # about 2 * rows ids: a bound of under 1 MB
     found = texts.join(F.broadcast(chosen), "doc_id")
-    return checkpointed(found.select("toxic", "text").dropDuplicates(["text"]))
+    # equal texts with both labels count as toxic, as equal ids do
+    return checkpointed(found.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).select("toxic", "text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
@@ -158,13 +180,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     terms = (
         counted.withColumn("weight", weight)
         .where((F.col("bad") >= max(5, MIN_SHARE * n_toxic)) & (F.col("weight") >= MIN_WEIGHT))
-        .orderBy(F.desc("bad"), "term")
-        .limit(MAX_TERMS)
         .select("term", "weight", "bad", "good")
         .collect()
     )
     lexicon = Lexicon(_without_spans({r["term"]: (r["weight"], r["bad"]) for r in terms}), exceptions)
-    shared = share(docs.sparkSession, lexicon, 200 * len(terms) + 1000)
+    lexicon.exceptions = (*exceptions, *learned_exceptions(train, lexicon, n_toxic, n_clean))
+    shared = share(docs.sparkSession, lexicon, lexicon.n_bytes())
     fields = T.StructType([T.StructField(f"x{i}", T.DoubleType()) for i in range(3)])
 
     def make():
@@ -176,6 +197,21 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     return lexicon
 
 
+def learned_exceptions(train: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) -> list[str]:
+    """Two-word phrases around hits of the lexicon that are a mark of clean texts."""
+    shared = share(train.sparkSession, lexicon, lexicon.n_bytes())
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value.phrases
+        for batch in batches:
+            rows = [(toxic, p) for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in sorted(find(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.string())], names=["toxic", "phrase"])
+
+    counts = train.mapInArrow(phrases, "toxic int, phrase string").groupBy("phrase").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+    weight = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("good") + 0.5) / (n_clean + 1))
+    return sorted(r["phrase"] for r in counts.where((F.col("good") >= MIN_CLEAN) & (weight <= MAX_EXCEPTION_WEIGHT)).select("phrase").collect())
+
+
 def _without_spans(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Leave out whole words and longer beginnings that a shorter beginning covers as purely."""
     kept: dict[str, tuple[float, int]] = {}
@@ -209,7 +245,7 @@ def score_texts(df: DataFrame, lexicon: Lexicon, text: str = "text", column: str
     Null and empty texts get the score of a text without hits; long texts are
     matched whole.
     """
-    shared = share(df.sparkSession, lexicon, 200 * len(lexicon.weights) + 1000)
+    shared = share(df.sparkSession, lexicon, lexicon.n_bytes())
     fields = T.StructType([T.StructField(column, T.DoubleType())])
 
     def make():
@@ -220,7 +256,13 @@ def score_texts(df: DataFrame, lexicon: Lexicon, text: str = "text", column: str
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from ``threshold`` on) of each document."""
+    """doc_id, held_out, score, predicted (1 from ``threshold`` on) of each document.
+
+    Null and empty texts score as texts without hits, very long ones are matched
+    whole; repeated rows stay and score alike; rows without an id aren't held
+    out and are never learned from. Without labels of both classes nothing is
+    toxic.
+    """
     scored = score_texts(docs.select("doc_id", "text"), learn(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
