@@ -3,12 +3,16 @@
 A rule is a host and the beginning of a path; it fits its host and all
 subdomains, and the longest fitting rule decides. Where none fits, the names in
 the host are split into words by unigram Viterbi over word counts of the corpus,
-and multinomial naive Bayes scores the words of host and path.
+and multinomial naive Bayes scores the words of host and path. The classifier is
+fitted on labelled example names, a parameter; words that no example has tell
+nothing.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -16,16 +20,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import checkpointed, quoted, share
+from waymark.llm.common import checkpointed, join_hot, quoted
 
-#: Letters in a word of the dictionary at most; a name is cut into words of up to this length.
-LONGEST_WORD = 20
-#: Labelled URLs of each class at most from which the classifier is fitted.
-TRAIN_URLS = 20_000
+#: Parts of a name of up to so many letters meet the dictionary whole, longer words by their first so many letters.
+PART = 16
 #: Host keys are spread over so many salts where pages meet their hosts.
 SALTS = 16
-#: Words in a host that mark unwanted sites; pages with one are the classifier's examples to block.
-UNWANTED = frozenset("ad ads adult bet bets betting casino escort farm gamble gambling jackpot loans pill pills poker porn slots spam track tracker tracking viagra xxx".split())
+#: Labelled examples: names of sites and pages as words, made up for this purpose; none is a host of a known corpus.
+BLOCKED = """
+best-casino-bonus lucky-casino-slots casino-royal-games online-poker-bonus poker-bets-live sports-bets-today free-bets-tips betting-odds-win
+slots-jackpot-win jackpot-lottery-bonus gamble-online-free roulette-casino-win bingo-bonus-slots
+cheap-pills-online buy-viagra-cheap pills-without-prescription diet-pills-cheap cialis-viagra-shop pharmacy-pills-discount weight-loss-pills
+adult-video-tube adult-dating-cams xxx-adult-movies porn-video-free sex-cams-live hot-escort-girls escort-dating-adult nude-cams-xxx
+ads-server-click click-track-ads ads-banner-network track-pixel-ads popup-ads-tracker tracking-ads-click adserver-track-redirect
+spam-links-farm link-farm-seo spam-mail-offer content-farm-clicks fake-followers-spam seo-spam-links
+payday-loans-fast quick-loans-cash free-ringtones-download warez-crack-keygen replica-watches-cheap crypto-doubler-win
+"""
+ALLOWED = """
+city-news-daily morning-news-report local-weather-news world-news-today science-daily-report history-of-art museum-of-history national-library-archive
+open-source-code python-code-blog web-design-blog travel-blog-europe food-blog-recipes mountain-travel-guide hiking-trail-maps river-trail-guide
+family-recipes-kitchen garden-plants-guide bird-watching-club football-club-news chess-club-online music-school-concert piano-lessons-home
+university-research-lab school-of-medicine health-care-guide city-hospital-clinic doctor-advice-health math-lessons-school physics-research-journal
+book-reviews-club poetry-and-prose film-festival-reviews theatre-tickets-city photo-gallery-nature animal-rescue-home dog-training-school
+small-business-advice tax-law-guide public-transport-maps train-timetable-city used-car-reviews house-and-home furniture-shop-online bicycle-repair-shop
+climate-change-facts space-telescope-images energy-policy-review farm-fresh-food organic-farm-shop track-and-field win-win-negotiation free-software-download
+about-us contact-page help-forum-questions community-wiki-index privacy-policy terms-of-service product-manual-support download-page user-guide-online
+"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NAMES = r"[^\p{L}\p{N}]+"
 
@@ -56,7 +76,7 @@ def word_counts(*texts: DataFrame) -> DataFrame:
     for df in texts:
         one = df.select(F.explode(F.split(F.lower(F.coalesce(df[0], F.lit(""))), r"[^\p{L}]+")).alias("word"))
         words = one if words is None else words.unionByName(one)
-    return words.where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(name: str, candidates: Sequence[tuple[int, str, float]], total: float) -> list[str]:
@@ -83,20 +103,21 @@ def viterbi(name: str, candidates: Sequence[tuple[int, str, float]], total: floa
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) of each distinct name: its substrings meet the dictionary in a join, so neither side is gathered."""
     names = names.select("name").where(F.length("name") > 0).distinct()
-    # a name as a whole, and every substring of up to LONGEST_WORD letters
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    parts = starts.select(
-        "name",
-        (F.col("at") - 1).alias("start"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("at") + 1)),
-                lambda n: F.substr(F.col("name"), F.col("at"), n),
-            )
-        ).alias("word"),
+    lengths = F.sequence(F.lit(1), F.least(F.lit(PART), F.length("name") - F.col("at") + 1))
+    parts = checkpointed(
+        starts.select("name", (F.col("at") - 1).alias("start"), F.explode(F.transform(lengths, lambda n: F.substr(F.col("name"), F.col("at"), n))).alias("word"))
     )
+    counts = counts.withColumn("n", F.col("n").cast("double"))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "word", F.col("n").cast("double").alias("n"))).alias("known"))
+    short = join_hot(parts, counts.where(F.length("word") <= PART), "word").select("name", "start", "word", "n")
+    # words longer than a part meet it by their beginning; all that begin alike stand in one row
+    first = F.substr("word", F.lit(1), F.lit(PART))
+    longer = counts.where(F.length("word") > PART).groupBy(first.alias("first")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    tails = parts.where(F.length("word") == PART).withColumnRenamed("word", "first").join(longer, "first")
+    tails = tails.select("name", "start", F.explode("words").alias("w")).where(F.substr("name", F.col("start") + 1, F.length("w.word")) == F.col("w.word"))
+    known = short.unionByName(tails.select("name", "start", "w.word", "w.n"))
+    known = known.groupBy("name").agg(F.collect_list(F.struct("start", "word", "n")).alias("known"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(name: pd.Series, known: pd.Series) -> pd.Series:
@@ -127,29 +148,27 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes with Laplace smoothing; weights are log-odds of blocking."""
+    """Multinomial naive Bayes with Laplace smoothing; weights are log-odds of blocking, words without an example weigh nothing."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], rows: tuple[int, int]):
-        totals = [sum(c[k] for c in counts.values()) + len(counts) + 1 for k in (0, 1)]
+        totals = [sum(c[k] for c in counts.values()) + len(counts) for k in (0, 1)]
         self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
         self.weights = {w: math.log((b + 1) / totals[1]) - math.log((a + 1) / totals[0]) for w, (a, b) in counts.items()}
-        self.unseen = math.log(1 / totals[1]) - math.log(1 / totals[0])
 
     def score(self, words: Sequence[str]) -> float:
-        z = self.prior + sum(self.weights.get(w, self.unseen) for w in words)
+        z = self.prior + sum(self.weights.get(w, 0.0) for w in words)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_URLS) -> NaiveBayes:
-    """From (words, block) rows; about ``rows`` rows a class at most, chosen by a hash of the words."""
-    sizes = {bool(r["block"]): r["n"] for r in labelled.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("words"), F.lit(1 << 20)) / float(1 << 20)
-    share_of = F.when(F.col("block"), F.lit(min(1.0, rows / max(1, sizes.get(True, 0))))).otherwise(F.lit(min(1.0, rows / max(1, sizes.get(False, 0)))))
-    # the sample bounds the vocabulary that comes to the driver
-    counted = labelled.where(place < share_of).select("block", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if(~F.col("block")).alias("good"), F.count_if("block").alias("bad")
-    )
-    return NaiveBayes({r["word"]: (r["good"], r["bad"]) for r in counted.collect()}, (sizes.get(False, 0), sizes.get(True, 0)))
+def example_words(names: str) -> list[list[str]]:
+    """The words of each example of a list."""
+    return [re.split("[^a-z]+", name) for name in names.split()]
+
+
+def fit(allowed: Sequence[Sequence[str]], blocked: Sequence[Sequence[str]]) -> NaiveBayes:
+    """From the words of labelled examples."""
+    good, bad = (Counter(w for words in group for w in words) for group in (allowed, blocked))
+    return NaiveBayes({w: (good[w], bad[w]) for w in good | bad}, (len(allowed), len(blocked)))
 
 
 def judge(
@@ -158,41 +177,40 @@ def judge(
     page_id: str = "page_id",
     url: str = "url",
     html: str | None = "html",
-    unwanted: frozenset[str] = UNWANTED,
+    allowed: str = ALLOWED,
+    blocked: str = BLOCKED,
     threshold: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score of each page.
 
     Word counts come from the paths and page titles of all pages. A null URL or
-    one without :// has an empty host and path, fits no rule and is allowed
-    unless the classifier's prior says otherwise. Repeated rows stay repeated.
+    one without :// has an empty host and path, fits no rule and is allowed, as
+    are URLs whose words no example has. URLs of any length are judged whole.
+    Repeated rows, and rows without an id, stay and are judged alike. A score of
+    the threshold blocks. ``allowed`` and ``blocked`` are example names of
+    words, short lists.
     """
     title = F.regexp_extract(F.coalesce(F.col(quoted(html)), F.lit("")), "(?is)<title[^>]*>([^<]*)", 1) if html else F.lit("")
     parsed = pages.select(F.col(quoted(page_id)).alias("page_id"), F.col(quoted(url)).alias("url"), title.alias("title"))
     parsed = parsed.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "title")
+    examples = example_words(allowed), example_words(blocked)
+    model = fit(*examples)
+    weights, prior = model.weights, model.prior
     counts = checkpointed(word_counts(parsed.select("title"), parsed.select("path")))
-    # words that the rules of thumb look for must be words to the segmenter, however rare in titles
+    # words of the examples must be words to the segmenter, however rare in titles
     listed = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) / 10_000 + 1).cast("long").alias("n"))
-    listed = listed.select(F.explode(F.array(*map(F.lit, sorted(unwanted)))).alias("word"), "n")
-    counts = counts.unionByName(listed).groupBy("word").agg(F.sum("n").alias("n"))
+    listed = listed.select(F.explode(F.array(*map(F.lit, sorted(weights)))).alias("word"), "n")
+    counts = checkpointed(counts.unionByName(listed).groupBy("word").agg(F.sum("n").alias("n")))
     hosts = checkpointed(host_words(parsed, counts))
-    marked = hosts.select("host", "words", F.arrays_overlap("words", F.array(*map(F.lit, sorted(unwanted)))).alias("block"))
-    # examples are distinct (host, path words) pairs, so a site with many pages isn't many examples
-    shapes = parsed.select("host", path_words(F.col("path")).alias("tail")).distinct()
-    model = fit(shapes.join(marked, "host").select(F.concat("words", "tail").alias("words"), "block"))
-    shared = share(pages.sparkSession, model, 100 * len(model.weights) + 1000)
-
-    @F.pandas_udf("double")
-    def score(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: shared.value.score([] if w is None else list(w)))
 
+    # a few hundred weights as a literal map: the score stays a column expression
+    weight_of = F.create_map(*[x for w, v in sorted(weights.items()) for x in (F.lit(w), F.lit(v))])
+    z = F.lit(prior) + F.aggregate("words", F.lit(0.0), lambda acc, w: acc + F.coalesce(weight_of[w], F.lit(0.0)))
     salted = parsed.select("page_id", "host", "path", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))
     known = hosts.select("host", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = salted.join(known, ["host", "salt"], "left").withColumn(
         "words", F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words(F.col("path")))
     )
-    scored = joined.withColumn("score", score("words")).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    scored = joined.withColumn("score", F.round(1.0 / (1.0 + F.exp(-z)), 6)).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.select(
-        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_method).alias("verdict"), "words", F.round("score", 6).alias("score")
-    )
+    return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_method).alias("verdict"), "words", "score")
