@@ -3,17 +3,19 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 
-from waymark.llm import byte_bpe, decontaminate, html_text, licenses, media, pii, queries, simhash, token_counts, toxicity, url_filter
+from waymark.llm import byte_bpe, common, decontaminate, html_text, licenses, media, pii, queries, simhash, token_counts, toxicity, url_filter
 
 ODD = [None, "", " ", "  a  b ", " ▁ ▁▁x", "a\x00b\n\n\nc\r\n", "x" * 3000, "ab" * 300 + " " * 200 + "yz", "<s></s> <unk> <0x41> <|endoftext|>", "日本語 テキスト　\u200b", "é́ 🎉🎉 don't we'll   \n\n  x"]
 #: Names that operators use themselves or produce.
@@ -98,6 +100,9 @@ def test_byte_bpe_forgets(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHED_MATCHES", 1)
     monkeypatch.setattr(byte_bpe, "CHARS_AT_ONCE", 8)
     assert list(byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encode_all(texts)) == want
+    monkeypatch.setattr(byte_bpe, "CACHED_MATCHES", 4)
+    codec = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    assert list(codec.encode_all(texts * 2)) == want * 2 and codec.older
 
 
 def test_decontamination_seeds_and_alignment():
@@ -190,14 +195,69 @@ def test_viterbi_and_bayes():
     assert url_filter.viterbi("thecasinowin", candidates, 78) == ["the", "casino", "win"]
     assert "".join(url_filter.viterbi("zzq", [], 78)) == "zzq"
     model = url_filter.NaiveBayes({"casino": (0, 9), "news": (9, 0)}, (9, 9))
-    assert model.score(["casino"]) > 0.8 > 0.2 > model.score(["news"])
-
-
-def test_url_method_blocks_unwanted_hosts(spark, data):
-    out = queries.op4_url_filter(spark, data).where("rule is null")
-    bad = out.where("host rlike '(casino|bets|pills|spam|adult|ads)'").groupBy("verdict").count().collect()
-    good = out.where("not host rlike '(casino|bets|pills|spam|adult|ads)'").groupBy("verdict").count().collect()
-    assert {r.verdict for r in bad} <= {"block"} and {r.verdict: r["count"] for r in good}.get("allow", 0) >= sum(r["count"] for r in good) * 0.9
+    assert model.score(["casino"]) > 0.8 > 0.2 > model.score(["news"]) and model.score(["other"]) == 0.5
+
+
+def test_segmenter_against_brute_force(spark):
+    """Names split by the joins as by trying every split; words of any length, and frequent short ones."""
+    rng = random.Random(4)
+    words = {"a": 900, "ab": 40, "the": 500, "her": 30, "there": 60, "in": 300, "ring": 20, "news": 9, "x" * 15: 3, "x" * 16: 3, "pneumonoultramicroscopic": 4, "pneumonoultramicrofilm": 2, "z": 1}
+    names = ["".join(rng.choices(list(words), k=3)) for _ in range(40)] + ["pneumonoultramicroscopicnews", "pneumonoultramicrofil", "qqq", "x" * 33, "\u00e9news"]
+    total = sum(words.values())
+    unknown = math.log(1 / total) - 5.0
+
+    def best(name):
+        scores = [0.0] + [-math.inf] * len(name)
+        for j in range(1, len(name) + 1):
+            for i in range(j):
+                p = math.log(words[name[i:j]] / total) if name[i:j] in words else unknown if j == i + 1 else None
+                if p is not None:
+                    scores[j] = max(scores[j], scores[i] + p, scores[i] + unknown if j == i + 1 else -math.inf)
+        return scores[-1]
+
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = {r.name: r.words for r in url_filter.segmented(spark.createDataFrame([(n,) for n in names], "name string"), counts).collect()}
+    assert set(got) == set(names)
+    for name, split in got.items():
+        assert "".join(split) == name
+        score = sum(max(math.log(words[w] / total) if w in words else -math.inf, unknown if len(w) == 1 else -math.inf) for w in split)
+        assert score == pytest.approx(best(name)), (name, split)
+
+
+def test_url_examples_held_out():
+    """Each example judged by a classifier that hasn't seen it."""
+    groups = url_filter.example_words(url_filter.ALLOWED), url_filter.example_words(url_filter.BLOCKED)
+    right = [0, 0]
+    for k, group in enumerate(groups):
+        for i, words in enumerate(group):
+            rest = [g if j != k else group[:i] + group[i + 1 :] for j, g in enumerate(groups)]
+            right[k] += (url_filter.fit(*rest).score(words) >= 0.5) == bool(k)
+    assert right[0] >= 0.9 * len(groups[0]) and right[1] >= 0.9 * len(groups[1]), (right, list(map(len, groups)))
+
+
+def test_url_method_on_pages(spark, data):
+    out = queries.op4_url_filter(spark, data.replace("sf0.001", "sf0.01"))
+    plain = [r for r in out.collect() if r.rule is None]
+    bad = [r for r in plain if re.search("casino|bets|pills|spam|adult|ads-", r.host)]
+    assert all((r.verdict == "block") == (r in bad) for r in plain) and len(plain) > len(bad)
+
+
+def test_url_parts_and_rules_against_sql(spark, data):
+    """Host, path and rule of every page, and of odd URLs, as DuckDB finds them."""
+    odd = ["HTTP://A.Com/x", "a://b://c/d", "x://NET/es/?q", "x://net/es", "x://www.example.com/en/#f", "://?", "x://m.example.com/en/", "none", None, "x://\u0130.net/fr/"]
+    rows = [(i, u, "") for i, u in enumerate(odd)] + [(3, odd[3], ""), (None, odd[0], "")]
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").union(spark.createDataFrame([(None if i is None else i + 10**6, u, h) for i, u, h in rows], "page_id long, url string, html string"))
+    got = sorted((-1 if r.page_id is None else r.page_id, r.host, r.path, r.rule or "") for r in url_filter.judge(pages, queries.URL_RULES).collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", [(r.page_id, r.url) for r in pages.select("page_id", "url").collect()])
+    con.execute("create table rules (rule varchar)")
+    con.executemany("insert into rules values (?)", [(r,) for _, r in queries.URL_RULES])
+    want = con.execute("""
+with p as (select rowid as id, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+f as (select id, rule from p join rules on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) qualify row_number() over (partition by id order by length(rule) desc) = 1)
+select coalesce(page_id, -1), host, path, coalesce(rule, '') from p left join f using (id) order by all""").fetchall()
+    assert got == want
 
 
 def test_licenses(spark):
@@ -434,6 +494,84 @@ def test_near_duplicate_stage(spark, odd):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_id_with_unrelated_texts(spark):
+    """Rows are told apart by id and text: unrelated texts under one id are both kept, near ones aren't."""
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(7, "the first text of seven"), (7, "another one, quite unlike it"), (8, "eight stands alone here"), (7, long), (7, long + " tail"), (9, long), (None, "no id at all"), (None, "No id at all"), (6, "eight stands alone here")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, first_id string")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or -1, r.text) for r in kept.collect())
+    assert got == sorted([(7, rows[0][1]), (7, rows[1][1]), (6, rows[2][1]), (7, long), (-1, "No id at all")])
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    """Anchors with more fingerprints than a task takes give the same components."""
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    fps = {}
+    for _ in range(300):
+        v = centre if rng.random() < 0.3 else rng.choice(list(fps.values()) or [centre])
+        for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+            v ^= 1 << b
+        fps[len(fps)] = v
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in set(fps.values())], "fp long")
+    monkeypatch.setattr(simhash, "_AT_HOME", 4)
+    monkeypatch.setattr(simhash, "_PARTS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, group = components_of(fps), {}
+    for i, v in fps.items():
+        group.setdefault(want[i], set()).add(roots.get(signed(v), signed(v)))
+    assert all(len(g) == 1 for g in group.values()) and len(set.union(*group.values())) == len(group)
+
+
+def test_join_with_hot_keys(spark, monkeypatch):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(2, 30)] + [(None, 5)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(1, 25)], "k long, w long")
+    for keys in (1, 4, 1000):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        got = sorted(tuple(r) for r in common.join_hot(left, right, "k").collect())
+        assert got == sorted((k, v, k * 10) for k, v in [(1, i) for i in range(50)] + [(i, i) for i in range(2, 25)])
+    assert common.join_hot(left.limit(0), right, "k").count() == 0
+
+
+def test_toxic_labels_of_equal_texts_and_learned_exceptions(spark):
+    """Equal texts with both labels are toxic wherever they lie; phrases of clean texts around a term spare it; no number of terms is too many."""
+    def used(i):
+        return zlib.crc32(str(i).encode()) % 3 != 1
+
+    ids = iter(i for i in range(10**6) if used(i))
+    rows, labels = [], []
+    for k in range(60):
+        for toxic, text in ((1, f"you blockhead number {k} go away"), (0, f"a calm remark number {k} on things"), (1, f"same text {k}"), (0, f"same text {k}")):
+            i = next(ids)
+            rows.append((i, text))
+            labels.append((i, 1, toxic))
+    for k in range(200):
+        i = next(ids)
+        rows.append((i, f"one more calm remark, {k}"))
+        labels.append((i, 1, 0))
+    for k in range(3):
+        i = next(ids)
+        rows.append((i, f"the blockhead tool is in box {k}"))
+        labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = toxicity.training_rows(docs, marks).collect()
+    assert len(train) == len({t for _, t in rows}) and {r.toxic for r in train if r.text.startswith("same")} == {1}
+    lexicon = toxicity.learn(docs, marks)
+    assert "blockhead tool" in lexicon.exceptions and "you blockhead" not in lexicon.exceptions
+    assert lexicon.score("you blockhead") > lexicon.score("the blockhead tool") == lexicon.score("hello")
+    word = lambda i: "k" + str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    many = toxicity.Lexicon({f" {word(i)} ": 4.0 for i in range(60_000)})
+    assert many.n_bytes() < common.BROADCAST_LIMIT and many.score(word(59_999)) > many.score("k")
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies on this site, and you can read about them here at length.</div>
 <article><h2>Head&amp;line</h2><p>First   part with <b>bold</b> words&nbsp;and a long enough line of text to be dense.</p><script>var x = "</p>";</script>
@@ -457,6 +595,7 @@ def test_html(spark, odd):
 
 def test_surge_and_dive():
     assert html_text.surge_and_dive([5, 0, 100, 120, 8, 0, 4]) == (2, 5)
+    assert html_text.surge_and_dive([5, 0, 7, 3, 2, 120, 8, 0, 4]) == (2, 7)  # short lines that touch the surge from above
     assert html_text.surge_and_dive([5, 6, 0, 3]) == (0, 2)
 
 
@@ -471,6 +610,26 @@ def test_html_pages(spark, data):
         assert r.text == plain and r.n_chars == len(plain)
 
 
+def test_html_pages_without_marks(spark, data):
+    """The sums alone find the same texts: articles that aren't marked, and the surge and dive points as they are."""
+    pages = [r.html for r in spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()]
+    for page in pages:
+        loose = re.sub(r"</?article\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+        lines = html_text.lines_of(loose)
+        start, end = html_text.surge_and_dive(html_text.plain_sizes(lines))
+        assert not any(mark for _, mark, _ in lines)
+        assert " ".join(x[0] for x in lines[start:end] if x[0]) == html_text.main_text(loose) == html_text.main_text(page) != ""
+
+
+def test_html_ties_and_odd_pages():
+    same = "x" * 100
+    assert html_text.surge_and_dive([100, 0, 0, 100]) == (0, 1) and html_text.surge_and_dive([3, 0, 3]) == (0, 1)
+    assert html_text.main_text(f"<div>a {same}</div><nav>n</nav><nav>n</nav><p>b</p><nav>n</nav><div>b {same}</div>") == f"a {same}"
+    long = " ".join(f"word{i}" for i in range(200_000))
+    assert html_text.main_text(f"<p>{long}</p>") == long
+    assert html_text.main_text("<p>" * 3000 + "deep") == "deep" and html_text.main_text("a < b <c") == "a < b"
+
+
 def test_html_marks_bound_but_never_displace_a_denser_stretch():
     story = [f"Paragraph {i} of the story with quite enough words in it to be dense by itself, whatever stands beside." for i in range(8)]
     body = "".join(f"<p>{x}</p>" for x in story)
