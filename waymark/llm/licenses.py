@@ -1,8 +1,10 @@
 """License scans, with DataFrame functions only.
 
-Headers and licence files are compared with templates by the cosine of sparse
-TF-IDF vectors. Files without a licence of their own take that of the nearest
-ancestor directory with a licence file, found by joins on paths.
+A file is cut into units: the whole file, its header (the comment lines it begins
+with), its paragraphs, lines and sentences. Each unit is compared with templates,
+licence texts and notices, by the cosine of sparse TF-IDF vectors, and the best
+one gives the file its licence. Files without a licence of their own take that of
+the nearest ancestor directory with a licence file, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -14,64 +16,40 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import checkpointed, quoted
-
-#: Notices by licence. Common short forms of each, in the words projects use.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "This software is licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "ISC": ("Released under the ISC License.",),
-}
-#: A notice needs this cosine to a template.
+from waymark.llm.common import BROADCAST_LIMIT, checkpointed, join_hot, quoted
+from waymark.llm.license_texts import TEMPLATES
+
+#: A unit needs this cosine to a template.
 MIN_COSINE = 0.8
+#: A file speaks for its directory if this share of its text is the notice, or if its name says so.
+MIN_SHARE = 0.5
+NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 #: Directory keys are spread over so many salts where files meet their directories.
 SALTS = 16
 _TERMS = r"[^\p{L}\p{N}]+"
+#: What begins a comment line, and what may end one.
+_COMMENT = r"^\s*(?:[#;%*]+|//+|/\*+|--+|<!--|\(\*|\.\.\s)"
+_MARKS = rf"{_COMMENT}|(?:\*+/|-->|\*\))\s*$"
 
 
 def _terms(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line): the header lines and licence lines are those that resemble a template, so every line is one to compare."""
-    return files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("line_no", "line"))
+def terms_of(text: Column) -> Column:
+    """Lower-cased words in order; the first or last may be empty."""
+    return F.split(F.lower(text), _TERMS)
 
 
-def document_frequencies(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of files, and in how many of them each template word is; over all files."""
-    hits = [F.count_if(F.array_contains("terms", w)).alias(f"w{i}") for i, w in enumerate(words)]
-    wanted = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")(?![\\p{L}\\p{N}])"
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(wanted), F.lit(0)))
-    row = files.select(terms.alias("terms")).agg(F.count("*").alias("n"), *hits).first()
-    return row["n"], {w: row[f"w{i}"] or 0 for i, w in enumerate(words)}
+def _known(values: list) -> Column:
+    return F.array(*map(F.lit, values))
 
 
-def _weights(n: int, df: dict[str, int]) -> dict[str, float]:
-    return {w: math.log((n + 1) / (c + 1)) + 1 for w, c in df.items()}
+def document_frequencies(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
+    """Number of files, and in how many of them each template word is; over all files."""
+    hits = F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), _known(words))
+    counts = files.select(F.explode(hits).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return files.count(), {r["term"]: r["n"] for r in counts.collect()}  # as many rows as template words
 
 
 def _distinctive(vectors: list[dict[str, float]], threshold: float) -> set[str]:
@@ -91,44 +69,80 @@ def _distinctive(vectors: list[dict[str, float]], threshold: float) -> set[str]:
     return kept
 
 
+def _may_reach(terms: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
+    """False only for texts whose cosine to every template stays under ``threshold``, by the same inequality.
+
+    The template words in a text must hold threshold² of some template's squared norm.
+    """
+    squares = [{w: x * x / sum(y * y for y in v.values()) for w, x in v.items()} for v in vectors]
+    templates = F.array(*[F.create_map(*[c for w, x in sorted(v.items()) for c in (F.lit(w), F.lit(x))]) for v in squares])
+    words = sorted({w for v in vectors for w in v})
+    some = F.arrays_overlap(terms, _known(sorted(_distinctive(vectors, threshold))))
+    hits = F.array_intersect(terms, _known(words))
+    enough = F.exists(templates, lambda t: F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(t, w), F.lit(0.0))) >= threshold * threshold - 1e-9)
+    return F.when(some, enough).otherwise(False)
+
+
+def units_of(text: Column) -> Column:
+    """array<struct<kind, nth, unit>> of a text: file, header, paragraphs, lines and sentences, without the marks of comments."""
+    raw = F.split(text, r"\r\n|\r|\n")
+    lines = F.transform(raw, lambda x: F.regexp_replace(x, _MARKS, ""))
+    whole = F.array_join(lines, "\n")
+    paragraphs = F.split(whole, r"\n\s*\n")
+    # a header ends before the first line that is neither a comment nor blank
+    code = F.array_position(F.transform(raw, lambda x: ~(x.rlike(_COMMENT) | (F.trim(x) == ""))), F.lit(True)).cast("int")
+    header = F.array_join(F.slice(lines, F.lit(1), F.when(code > 0, code - 1).otherwise(F.size(lines))), "\n")
+    sentences = F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(r"[.;!?]\s")), lambda x: F.split(x, r"(?<=[.;!?])\s+")))
+
+    def numbered(kind: str, parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("nth"), x.alias("unit")))
+
+    inner = F.filter(numbered("paragraph", paragraphs), lambda p: F.contains(p.unit, F.lit("\n")))  # of one line: the line
+    return F.concat(numbered("file", F.array(whole)), numbered("header", F.array(header)), inner, numbered("line", lines), numbered("sentence", sentences))
+
+
+def _small(df: DataFrame, n_bytes: int) -> DataFrame:
+    """A table of measured size, broadcast where that is bounded."""
+    return F.broadcast(df) if n_bytes <= BROADCAST_LIMIT else df
+
+
 def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = MIN_COSINE) -> DataFrame:
-    """(path, line_no, license, cosine): lines whose best template reaches ``threshold``.
+    """(path, kind, nth, license, cosine, share): units whose best template reaches ``threshold``; share is their part of the text.
 
-    A line's vector has TF-IDF weights; document frequencies of the template
+    A unit's vector has TF-IDF weights; document frequencies of the template
     words are counted over all files, words of no template weigh as the rarest.
-    Ties go to the licence that is first by name.
+    Ties go to the licence that is first by name. Null and empty texts have no
+    units that match; texts and lines of any length are compared whole; rows of
+    one path are one file whose terms are added up.
     """
     templates = TEMPLATES if templates is None else templates
     flat = [(name, Counter(_terms(t))) for name, notes in sorted(templates.items()) for t in notes]
     words = sorted({w for _, tf in flat for w in tf})
     n, df = document_frequencies(files, words)
-    idf, rare = _weights(n, df), math.log(n + 1) + 1
+    rare = math.log(n + 1) + 1
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in words}
     vectors = [{w: c * idf[w] for w, c in tf.items()} for _, tf in flat]
-    first = _distinctive(vectors, threshold)
-    any_of = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, sorted(first, key=len, reverse=True))) + ")(?![\\p{L}\\p{N}])"
-    near = _lines(files).where(F.col("line").rlike(any_of))
+
+    text = F.coalesce("text", F.lit(""))
+    near = files.select("path", text.alias("text")).where(_may_reach(terms_of(F.col("text")), vectors, threshold))
+    units = near.select("path", F.length("text").alias("size"), F.explode(units_of(F.col("text"))).alias("u"))
+    units = units.select("path", "size", "u.kind", "u.nth", F.length("u.unit").alias("chars"), terms_of(F.col("u.unit")).alias("terms"))
+    units = units.where(_may_reach(F.col("terms"), vectors, threshold))
 
     spark = files.sparkSession
-    weights = [(w, float(x)) for w, x in idf.items()]
-    weights = F.broadcast(spark.createDataFrame(weights, "term string, idf double"))  # the template words: a fixed, small set
+    weights = _small(spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "term string, idf double"), 100 * len(idf))
     entries = [(k, name, w, x / math.sqrt(sum(y * y for y in v.values()))) for k, ((name, _), v) in enumerate(zip(flat, vectors, strict=True)) for w, x in v.items()]
-    entries = F.broadcast(spark.createDataFrame(entries, "template int, license string, term string, part double"))
+    entries = _small(spark.createDataFrame(entries, "template int, license string, term string, part double"), 120 * len(entries))
 
-    counted = (
-        near.select("path", "line_no", F.explode(F.split(F.lower("line"), _TERMS)).alias("term"))
-        .where("term <> ''")
-        .groupBy("path", "line_no", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    weighed = counted.join(weights, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("path", "line_no").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(entries, "term").groupBy("path", "line_no", "template", "license").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
-    best = dots.join(norms, ["path", "line_no"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
-    return (
-        best.groupBy("path", "line_no")
-        .agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), "license")).alias("b"))
-        .select("path", "line_no", "b.license", "b.cosine")
-    )
+    key = ["path", "kind", "nth"]
+    counted = units.select(*key, (F.col("chars") / F.col("size")).alias("share"), F.explode("terms").alias("term")).where("term <> ''")
+    counted = counted.groupBy(*key, "term").agg(F.count("*").alias("tf"), F.max("share").alias("share"))
+    weighed = checkpointed(counted.join(weights, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(rare))))
+    norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.max("share").alias("share"))
+    dots = weighed.join(entries, "term").groupBy(*key, "template", "license").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
+    best = dots.join(norms, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    first = F.min_by(F.struct("license", "cosine", "share"), F.struct(-F.col("cosine"), "license")).alias("b")
+    return best.groupBy(*key).agg(first).select(*key, "b.license", "b.cosine", "b.share")
 
 
 def ancestors(path: Column) -> Column:
@@ -140,39 +154,44 @@ def ancestors(path: Column) -> Column:
 
 def scan(
     files: DataFrame,
-    is_license_file: Column,
+    is_license_file: Column | None = None,
     path: str = "path",
     text: str = "text",
     templates: dict[str, tuple[str, ...]] | None = None,
     threshold: float = MIN_COSINE,
+    min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """path, license, cosine, origin (header, inherited or none), from_dir of each file.
 
-    A file's own licence is its best notice. ``is_license_file`` says which
-    files speak for their directory; of several in one directory the best notice
-    counts, then the licence first by name. Null texts have no notice; files
-    with a null path have neither directory nor inheritance; repeated paths
-    count as one file whose notices are pooled, and give a row each.
+    A file's own licence is its best notice, of equally good ones the licence
+    first by name. A file with a notice speaks for its directory if
+    ``is_license_file`` says so, by default if it is named like one or the
+    notice is ``min_share`` of its text; of several in one directory the best
+    notice counts, then the licence first by name. Null texts have no notice;
+    files with a null path have neither directory nor inheritance; repeated
+    paths count as one file whose notices are pooled, and give a row each.
     """
+    named = F.col(quoted(path)).rlike(NAMED) if is_license_file is None else is_license_file
     # a column called path in the input is replaced by the one named
-    files = files.select(F.col(quoted(path)).alias("path"), F.col(quoted(text)).alias("text"), F.coalesce(is_license_file, F.lit(False)).alias("speaks"))
+    files = files.select(F.col(quoted(path)).alias("path"), F.col(quoted(text)).alias("text"), F.coalesce(named, F.lit(False)).alias("speaks"))
     found = notices(files.where("path is not null").select("path", "text"), templates, threshold)
-    own = checkpointed(
-        found.groupBy("path").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), "license")).alias("own"))
-    )
+    # of one notice that several units hold, the largest unit
+    order = F.struct(-F.col("cosine"), "license", -F.col("share"))
+    own = checkpointed(found.groupBy("path").agg(F.min_by(F.struct("license", "cosine", "share"), order).alias("own")))
     rows = files.select("path", "speaks")
     directory = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), "/")
     holders = (
-        rows.where("speaks and path is not null")
+        rows.where("path is not null")
         .join(own, "path")
+        .where(F.col("speaks") | (F.lit(is_license_file is None) & (F.col("own.share") >= min_share)))
         .groupBy(directory.alias("dir"))
         .agg(F.min_by("own", F.struct(-F.col("own.cosine"), F.col("own.license"))).alias("given"))
     )
-    # directories are far fewer than files: each is resolved once, then files meet their own directory
+    # directories are far fewer than files: each is resolved once, then files meet their own directory; all of them share the topmost ones
     dirs = rows.where("path is not null").select(directory.alias("dir")).distinct()
-    above = dirs.select("dir", F.posexplode(ancestors(F.concat("dir", F.lit("/")))).alias("up", "ancestor"))
+    above = checkpointed(dirs.select("dir", F.posexplode(ancestors(F.concat("dir", F.lit("/")))).alias("up", "ancestor")))
     resolved = (
-        above.join(holders.withColumnRenamed("dir", "ancestor"), "ancestor")
+        join_hot(above, checkpointed(holders.withColumnRenamed("dir", "ancestor")), "ancestor")
         .groupBy("dir")
         .agg(F.min_by(F.struct("ancestor", "given"), "up").alias("near"))
     )

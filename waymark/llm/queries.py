@@ -19,6 +19,10 @@ URL_RULES = (
 )
 
 
+#: Documents aren't repositories: few are licence files as a whole, so less of a text is enough for it to speak for its directory.
+NOTICE_SHARE = 0.1
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
@@ -45,7 +49,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files /source/lang/hundred/doc_id; a short document with a notice speaks for its directory."""
+    """Documents as files /source/lang/hundred/doc_id; one of which a notice is a tenth or more speaks for its directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     path = F.concat_ws(
         "/",
@@ -56,7 +60,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string"),
     )
     files = docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
-    found = licenses.scan(files, F.length("text") <= 1000)
+    found = licenses.scan(files, min_share=NOTICE_SHARE)
     doc_id = F.element_at(F.split("path", "/"), -1).cast("long")
     return found.select(doc_id.alias("doc_id"), "path", "license", "cosine", "origin", "from_dir")
 
