@@ -90,18 +90,15 @@ def _item_seeds(items: DataFrame, min_tokens: int, min_equal: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
-            for item, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
+            all_tokens, all_seeds = [], []
+            for text in texts.to_pylist():
                 tokens = tokens_of(text)
                 masks = MASKS if len(tokens) >= min_tokens else short_masks(len(tokens), min_equal) if len(tokens) else ()
                 seeds = [(int(h), i) for m in masks for i, h in enumerate(seed_hashes(tokens, m)[: None if masks is MASKS else 1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([item], ids.type),
-                        pa.array([tokens.view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([[{"hash": h, "at": i} for h, i in seeds]], pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))),
-                    ],
-                    names=["item_id", "tokens", "seeds"],
-                )
+                all_tokens.append(tokens.view(np.int64))
+                all_seeds.append([{"hash": h, "at": i} for h, i in seeds])
+            seed_type = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(all_tokens, pa.list_(pa.int64())), pa.array(all_seeds, seed_type)], names=["item_id", "tokens", "seeds"])
 
     kind = items.schema["item_id"].dataType.simpleString()
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, tokens array<long>, seeds array<struct<hash:long,at:int>>")
@@ -233,27 +230,40 @@ def overlaps(
             masks[mask] = masks.get(mask, True) and len(mask) == n
     bits = _bitmap(seeds)
     assert bits.nbytes <= BROADCAST_LIMIT
-    regions = checkpointed(_hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context, masks)).withColumn("region", F.monotonically_increasing_id())
-    salt = F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int").alias("salt")
+    regions = checkpointed(_hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context, masks))
+    # copies have equal regions: each kind is compared once
+    same = [F.xxhash64("tokens", "seeds").alias("k1"), F.xxhash64(F.lit(1), "tokens", "seeds").alias("k2")]
+    kinds = checkpointed(regions.groupBy(*same).agg(F.first("tokens").alias("tokens"), F.first("seeds").alias("seeds"))).withColumn("region", F.monotonically_increasing_id())
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hits = regions.select("region", salt, F.explode("seeds").alias("s")).select("region", "salt", "s.hash", F.col("s.at").alias("at"))
+    salt = F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int").alias("salt")
+    hits = kinds.select("region", salt, F.explode("seeds").alias("s")).select("region", "salt", "s.hash", F.col("s.at").alias("at"))
     places = (
         hits.join(seeds.select("*", salts), ["hash", "salt"])
         .select("region", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     both = (
-        places.join(regions.select("region", salt, "doc_id", "first", F.col("tokens").alias("theirs")), "region")
+        places.join(kinds.select("region", "k1", "k2", salt, F.col("tokens").alias("theirs")), "region")
         .join(items.select("item", "item_id", F.col("tokens").alias("ours"), salts), ["item", "salt"])
+        .select(F.struct("k1", "k2").alias("doc_id"), "item_id", F.lit(0).alias("first"), "shift", "theirs", "ours")
     )
-    found = _measured(both, min_tokens, min_equal)
+    found = checkpointed(_measured(both, min_tokens, min_equal)).withColumnRenamed("doc_id", "kind")
+    here = regions.select("doc_id", "first", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int").alias("salt"), *same)
+    there = found.select("kind.k1", "kind.k2", "item_id", "doc_at", "item_at", "n_tokens", "n_equal", salts)
+    pairs = here.join(there, ["k1", "k2", "salt"]).withColumn("doc_at", F.col("first") + F.col("doc_at"))
     best = F.max(F.struct("n_tokens", "n_equal", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"))).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
+    return pairs.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.d")).alias("doc_at"), (-F.col("b.i")).alias("item_at"), "b.n_tokens", "b.n_equal"
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that overlap no benchmark item; rows without an id can't be told apart and stay."""
-    leaked = overlaps(docs, benchmark, doc_id, text=text).select(F.col("doc_id").alias("\u0001leaked")).distinct()
-    return docs.join(leaked, docs[quoted(doc_id)] == F.col("\u0001leaked"), "left_anti")
+    """Documents whose text overlaps no benchmark item, with the columns they had.
+
+    Rows are told apart by their texts, so rows without an id are judged as any
+    other, and of unrelated rows under one id (``doc_id`` isn't read) only those
+    with a leak go. Null and empty texts stay.
+    """
+    key = F.unhex(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary"), 256))
+    leaked = overlaps(docs.select(key.alias("key"), F.col(quoted(text)).alias("text")), benchmark, "key")
+    return docs.join(leaked.select(F.col("doc_id").alias("\u0001leaked")).distinct(), key == F.col("\u0001leaked"), "left_anti")
