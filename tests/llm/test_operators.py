@@ -7,7 +7,9 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -159,6 +161,52 @@ def test_decontamination_of_short_items_and_items_without_id(spark):
     assert [(r.item_id, r.doc_at, r.n_tokens) for r in one] == [(7, 1, 2)]
 
 
+def plain_overlaps(docs, items, min_tokens=13, min_equal=0.8):
+    """Every alignment of every document and item that could have enough equal tokens, its best stretch by trying all."""
+    out = {}
+    for item, text in items:
+        b = decontaminate.tokens_of(text)
+        need = min(min_tokens, len(b))
+        for doc, other in docs:
+            a = decontaminate.tokens_of(other)
+            if not need or not len(a):
+                continue
+            alike = np.zeros(len(a) + len(b), int)  # by shift + len(b)
+            for j, t in enumerate(b):
+                alike[np.flatnonzero(a == t) - j + len(b)] += 1
+            for shift in np.flatnonzero(alike >= 0.8 * need - 1e-9) - len(b):
+                start, stop = max(0, shift), min(len(a), shift + len(b))
+                equal = a[start:stop] == b[start - shift : stop - shift]
+                sums = np.r_[0, np.cumsum(equal)]
+                for n in range(len(equal), need - 1, -1):
+                    good = np.flatnonzero(sums[n:] - sums[: len(sums) - n] >= min_equal * n - 1e-9)
+                    if len(good):
+                        s = good[0]
+                        found = (n, int(sums[s + n] - sums[s]), -int(start + s), -int(start - shift + s))
+                        out[doc, item] = max(out.get((doc, item), found), found)
+                        break
+    return {k: (n, e, -d, -i) for k, (n, e, d, i) in out.items()}
+
+
+def test_decontamination_of_documents_against_brute_force(spark, data):
+    """The registered query, and copies, ties and passages that several items share."""
+    data = data.replace("sf0.001", "sf0.01")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal, r.doc_at, r.item_at) for r in queries.op2_decontamination(spark, data).collect()}
+    want = plain_overlaps(docs, items)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert got == want
+    shared = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    more = [(1, f"{shared} x {shared}"), (2, f"a b {shared}"), (3, f"a b {shared}"), (3, f"a b {shared}"), (4, shared.replace("five", "5").replace("ten", "10")), (5, "nothing")]
+    bench = [(10, shared), (11, f"start {shared} end"), (12, shared)]
+    df, bd = spark.createDataFrame(more, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal, r.doc_at, r.item_at) for r in decontaminate.overlaps(df, bd).collect()}
+    assert got == plain_overlaps(more, bench) and len(got) == 12
+    rows = spark.createDataFrame([(None, f"a b {shared}"), (None, "clean"), (7, "clean as well"), (7, f"b {shared}"), (8, None)], "doc_id long, text string")
+    assert sorted((r.text or "") for r in decontaminate.without_leaks(rows, bd).collect()) == ["", "clean", "clean as well"]
+
+
 def test_decontamination(spark, odd):
     words = [f"w{i}" for i in range(400)]
     rng = random.Random(3)
@@ -290,6 +338,93 @@ def test_licenses_of_documents_against_brute_force(spark, data, texts):
         assert (got[i].license if got[i].origin == "header" else None) == want
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def plain_scan(files, templates, threshold, min_share):
+    """License, cosine, origin and from_dir of each file: every unit against every template, every parent looked through."""
+    terms = lambda x: [w for w in re.split(r"[\W_]+", x.lower()) if w]
+    flat = [(name, Counter(terms(x))) for name, notes in sorted(templates.items()) for x in notes]
+    n = len(files)
+    words = {w for _, tf in flat for w in tf}
+    df = {w: sum(w in set(terms(x or "")) for _, x in files) for w in words}
+    weight = lambda w: math.log((n + 1) / (df[w] + 1)) + 1 if w in words else math.log(n + 1) + 1
+    comment = re.compile(r"^\s*(?:[#;%*]+|//+|/\*+|--+|<!--|\(\*|\.\.\s)")
+    marks = re.compile(rf"{comment.pattern}|(?:\*+/|-->|\*\))\s*$")
+
+    def best(text):
+        raw = re.split(r"\r\n|\r|\n", text or "")
+        lines = [marks.sub("", x) for x in raw]
+        head = next((i for i, x in enumerate(raw) if not comment.match(x) and x.strip(" ")), len(raw))
+        whole = "\n".join(lines)
+        units = [whole, "\n".join(lines[:head]), *[p for p in re.split(r"\n\s*\n", whole) if "\n" in p], *lines, *[y for x in lines if re.search(r"[.;!?]\s", x) for y in re.split(r"(?<=[.;!?])\s+", x)]]
+        found = []
+        for unit in units:
+            u = {w: c * weight(w) for w, c in Counter(terms(unit)).items()}
+            for name, tf in flat:
+                v = {w: c * weight(w) for w, c in tf.items()}
+                dot = sum(u.get(w, 0) * x for w, x in v.items())
+                if dot:
+                    cosine = round(dot / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values())), 6)
+                    if cosine >= threshold:
+                        found.append((-cosine, name, -len(unit) / len(text)))
+        return min(found, default=None)
+
+    own = {p: best(x) for p, x in files}
+    folder = lambda p: p.rpartition("/")[0]
+    given = {}
+    for p, b in own.items():
+        if b and (re.search(licenses.NAMED, p) or -b[2] >= min_share):
+            given[folder(p)] = min(given.get(folder(p), b), b, key=lambda x: x[:2])
+    out = {}
+    for p, b in own.items():
+        at = folder(p)
+        while not b and at not in given and at:
+            at = folder(at)
+        near = given.get(at) if not b else None
+        out[p] = (b[1], -b[0], "header", None) if b else (near[1], -near[0], "inherited", at) if near else (None, None, "none", None)
+    return out
+
+
+def test_license_texts_headers_and_files(spark):
+    """Licence texts wrapped and behind comment marks, their heads, and notices within prose, as in repositories."""
+    texts_of = licenses.TEMPLATES
+    prose = "Some words of a program that says nothing on its terms and goes on for a while with names like parser and buffer."
+    longest = {k: max(v, key=len) for k, v in texts_of.items()}
+    files = [(f"/lib/{k}/LICENSE", f"Copyright (c) 2020 Jane Doe\n\n{wrapped(x, 70)}\n") for k, x in longest.items()]
+    files += [(f"/lib/{k}/src/main.c", f"/*\n{wrapped(x, 60, ' * ')}\n */\n\nint main(void) {{ return 0; }}\n{prose}\n" + (prose + chr(10)) * 30) for k, x in longest.items()]
+    files += [(f"/lib/{k}/src/util.c", prose) for k in longest]
+    files += [(f"/spdx/{i}.py", f"# SPDX-License-Identifier: {i}\n{prose}") for i in ("LGPL-3.0-only", "BSD-3-Clause", "MIT", "GPL-2.0-or-later")]
+    files += [
+        ("/doc/a.md", f"{prose} This software is licensed under the MIT License. {prose}"),
+        ("/doc/GPL.txt", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\n" + wrapped(prose, 70)),
+        ("/doc/deep/er/x.md", prose),
+        ("/tie/one", "Released under the ISC License."),
+        ("/tie/two", "Released under the zlib License."),
+        ("/tie/three", prose + " x" * 50_000),
+        ("COPYING", longest["Zlib"]),
+        ("/empty", ""),
+        ("/null", None),
+    ]
+    df = spark.createDataFrame([(p, x, "c") for p, x in files], "path string, text string, cosine string")
+    got = {r.path: (r.license, r.cosine, r.origin, r.from_dir) for r in licenses.scan(df).collect()}
+    want = plain_scan(files, texts_of, licenses.MIN_COSINE, licenses.MIN_SHARE)
+    for p, w in want.items():
+        assert got[p][0] == w[0] and got[p][2:] == w[2:] and (w[1] is None or got[p][1] == pytest.approx(w[1], abs=2e-6)), (p, got[p], w)
+    for k in longest:
+        assert got[f"/lib/{k}/LICENSE"][0] == got[f"/lib/{k}/src/main.c"][0] == k and got[f"/lib/{k}/src/util.c"][::3] == (k, f"/lib/{k}")
+    assert [got[f"/spdx/{i}.py"][0] for i in ("LGPL-3.0-only", "BSD-3-Clause", "MIT", "GPL-2.0-or-later")] == ["LGPL-3.0", "BSD-3-Clause", "MIT", "GPL-2.0"]
+    assert got["/doc/a.md"][0] == "MIT" and got["/doc/GPL.txt"][0] == "GPL-3.0"
+    assert len(licenses.scan(df.unionByName(df)).collect()) == 2 * len(files)
+
+
+def test_licenses_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("/a", "Released under the MIT License.")], "path string, text string")
+    plan = licenses.scan(df)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
 def png_with_filters(rows, kinds):
     """A plain encoder for all five row filters."""
     lines = bytearray()
