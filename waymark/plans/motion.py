@@ -80,7 +80,7 @@ def _(spark, d):
 @register("w14_rezeroed", f"{_G} SELECT track_id, channel, seg_no, count(*) AS n, count(*) FILTER (y = 0) AS zeros, round(sum(y), 3) AS total, round(sum(y * (g_no + 1)), 2) AS placed FROM g WHERE channel IN ('speed', 'reported_speed', 'cadence', 'power') GROUP BY 1, 2, 3")
 def _(spark, d):
     g = graph(spark, d, ["speed", "reported_speed", "cadence", "power"])
-    sums = F.count("*").alias("n"), F.count_if("y = 0").alias("zeros"), F.round(F.sum("y"), 3).alias("total"), F.round(F.sum(F.expr("y * (g_no + 1)")), 2).alias("placed")
+    sums = F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("zeros"), F.round(F.sum("y"), 3).alias("total"), F.round(F.sum(F.expr("y * (g_no + 1)")), 2).alias("placed")
     return g.groupBy("track_id", "channel", "seg_no").agg(*sums)
 
 
