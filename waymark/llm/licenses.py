@@ -69,10 +69,12 @@ def _distinctive(vectors: list[dict[str, float]], threshold: float) -> set[str]:
     return kept
 
 
-def _may_reach(terms: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
+def _may_reach(terms: Column, vectors: list[dict[str, float]], threshold: float, idf: dict[str, float] | None = None, rare: float = 0.0) -> Column:
     """False only for texts whose cosine to every template stays under ``threshold``, by the same inequality.
 
-    The template words in a text must hold threshold² of some template's squared norm.
+    The template words in a text must hold threshold² of some template's squared
+    norm. With ``idf``, they must also hold threshold² of the text's own, where
+    every other word counts as one of weight ``rare``.
     """
     squares = [{w: x * x / sum(y * y for y in v.values()) for w, x in v.items()} for v in vectors]
     templates = F.array(*[F.create_map(*[c for w, x in sorted(v.items()) for c in (F.lit(w), F.lit(x))]) for v in squares])
@@ -80,7 +82,14 @@ def _may_reach(terms: Column, vectors: list[dict[str, float]], threshold: float)
     some = F.arrays_overlap(terms, _known(sorted(_distinctive(vectors, threshold))))
     hits = F.array_intersect(terms, _known(words))
     enough = F.exists(templates, lambda t: F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(t, w), F.lit(0.0))) >= threshold * threshold - 1e-9)
-    return F.when(some, enough).otherwise(False)
+    if idf is None:
+        return F.when(some, enough).otherwise(False)
+    weight = F.create_map(*[c for w in words for c in (F.lit(w), F.lit(idf[w]))])
+    # how often a template word occurs: what its removal leaves out
+    squared = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.pow((F.size(terms) - F.size(F.array_remove(terms, w))) * F.try_element_at(weight, w), F.lit(2.0)))
+    others = F.size(F.array_distinct(terms)) - F.size(hits) - F.array_contains(terms, "").cast("int")
+    fits = squared * (1 - threshold * threshold) + 1e-6 >= threshold * threshold * rare * rare * others
+    return F.when(some, F.when(enough, fits).otherwise(False)).otherwise(False)
 
 
 def units_of(text: Column) -> Column:
@@ -127,7 +136,7 @@ def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = Non
     near = files.select("path", text.alias("text")).where(_may_reach(terms_of(F.col("text")), vectors, threshold))
     units = near.select("path", F.length("text").alias("size"), F.explode(units_of(F.col("text"))).alias("u"))
     units = units.select("path", "size", "u.kind", "u.nth", F.length("u.unit").alias("chars"), terms_of(F.col("u.unit")).alias("terms"))
-    units = units.where(_may_reach(F.col("terms"), vectors, threshold))
+    units = units.where(_may_reach(F.col("terms"), vectors, threshold, idf, rare))
 
     spark = files.sparkSession
     weights = _small(spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "term string, idf double"), 100 * len(idf))
