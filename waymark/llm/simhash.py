@@ -131,48 +131,63 @@ def _compare(threshold: int, most: int | None):
     """Batches (key columns, guest, fp), sorted, to links (a, b); the rows of keys with over ``most`` members come back instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size, whole = None, [], 0, False
-
-        def rows(a=(), b=(), back: list | None = None) -> pa.RecordBatch:
-            back = back or [np.zeros(0, np.int64)] * len(names)
-            n = len(back[0])
-            links = [pa.array(np.concatenate([np.array(x, np.int64), np.zeros(n, np.int64)]), mask=np.r_[np.zeros(len(x), bool), np.ones(n, bool)]) for x in (a, b)]
-            rest = [pa.array(np.r_[np.zeros(len(a), np.int64), c.astype(np.int64)], mask=np.r_[np.ones(len(a), bool), np.zeros(n, bool)]) for c in back]
-            return pa.RecordBatch.from_arrays([*links, *rest], names=["a", "b", *names])
-
-        def compared() -> pa.RecordBatch:
-            guest, fp = (np.concatenate([h[k] for h in held]) for k in (-2, -1))
-            home = len(guest) - int(guest.sum())
-            found = _spanning(fp[:home], fp[home:], threshold) if home and len(fp) > 1 else []
-            return rows(*zip(*found, strict=True)) if found else rows()
+        names: list[str] = []
+        held: list[list[np.ndarray]] = []  # rows of the key that may go on in the next batch
+        size, crowded = 0, None
+
+        def starts_of(columns: list[np.ndarray]) -> np.ndarray:
+            new = np.zeros(len(columns[0]) - 1, bool)
+            for c in columns[:-2]:
+                new |= c[1:] != c[:-1]
+            return np.flatnonzero(np.r_[True, new])
+
+        def out(found: list[tuple[int, int]], back: list[list[np.ndarray]]) -> pa.RecordBatch:
+            links = np.array(found, np.int64).reshape(-1, 2)
+            rest = [np.concatenate(c) for c in zip(*back, strict=True)] if back else [np.zeros(0, np.int64)] * len(names)
+            n, m = len(links), len(rest[0])
+            no_link, no_row = np.r_[np.zeros(n, bool), np.ones(m, bool)], np.r_[np.ones(n, bool), np.zeros(m, bool)]
+            columns = [pa.array(np.r_[links[:, k], np.zeros(m, np.int64)], mask=no_link) for k in (0, 1)]
+            columns += [pa.array(np.r_[np.zeros(n, np.int64), c], mask=no_row) for c in rest]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", *names])
+
+        def compared(columns: list[np.ndarray]) -> pa.RecordBatch:
+            *_, guest, fp = columns
+            starts = starts_of(columns)
+            ends, homes = np.r_[starts[1:], len(fp)], np.add.reduceat(1 - guest, starts)
+            found, back = [], []
+            for i in np.flatnonzero((homes > 0) & (ends - starts > 1)).tolist():
+                s, m, e = starts[i], starts[i] + homes[i], ends[i]
+                if most is not None and e - s > most:
+                    back.append([c[s:e] for c in columns])
+                else:
+                    found += _spanning(fp[s:m], fp[m:e], threshold)
+            return out(found, back)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             names = batch.schema.names
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            keys = np.stack(columns[:-2])
-            ends = np.r_[np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
-            start, found = 0, []
-            for end in ends.tolist():
-                part = [c[start:end] for c in columns]
-                if held and any(h[0] != p[0] for h, p in zip(held[-1][:-2], part[:-2], strict=True)):
-                    if not whole:
-                        found.append(compared())
-                    held, size, whole = [], 0, False
-                size += end - start
-                if most is not None and size > most:  # from here on only handed back
-                    for h in held if not whole else ():
-                        found.append(rows(back=h))
-                    found.append(rows(back=part))
-                    held, whole = [part], True
-                else:
-                    held.append(part)
-                start = end
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(f.num_rows for f in found) else rows()
-        if held and not whole:
-            yield compared()
+            if crowded is not None and batch.num_rows:
+                alike = np.all([c == k for c, k in zip(columns[:-2], crowded, strict=True)], axis=0)
+                lead = batch.num_rows if alike.all() else int(np.argmin(alike))
+                if lead:
+                    yield out([], [[c[:lead] for c in columns]])
+                columns = [c[lead:] for c in columns]
+                crowded = crowded if lead == batch.num_rows else None
+            if not len(columns[0]):
+                continue
+            cut = int(starts_of(columns)[-1])
+            goes_on = bool(held) and all(h[0] == c[-1] for h, c in zip(held[0][:-2], columns[:-2], strict=True))
+            if cut or held and not goes_on:
+                whole = [*held, [c[:cut] for c in columns]] if cut else held
+                yield compared([np.concatenate(c) for c in zip(*whole, strict=True)])
+                held, size = [], 0
+            held.append([c[cut:] for c in columns])
+            size += len(columns[0]) - cut
+            if most is not None and size > most:  # too many to hold: given back as they come
+                yield out([], held)
+                crowded, held, size = [c[0] for c in held[0][:-2]], [], 0
+        if held:
+            yield compared([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
