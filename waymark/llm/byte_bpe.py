@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from waymark.llm.common import append_from_text, share
 
 #: Matches whose ids a Python worker remembers, besides those of the texts at hand and as many older ones.
-CACHED_MATCHES = 200_000
+CACHED_MATCHES = 120_000
 #: Characters of texts whose matches are merged together; a longer text is on its own.
 CHARS_AT_ONCE = 1 << 20
 #: Leaves of the trees that are merged together, by the size of match they are for; longer matches are merged alone.
