@@ -122,3 +122,44 @@ def test_halo_gives_rims_their_neighbours(spark):
     rim = {(r.tile_lon, r.row, r.col): r.z for r in terrain.with_halo(dem).collect()}
     assert rim[(14, 1, 3)] == 1500 + 11 and rim[(15, 2, -1)] == 1400 + 21
     assert terrain.box_sizes(3) == [5, 5, 7]
+
+
+def test_next_sample_is_linear_in_a_long_track(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from waymark.operators import lookup
+
+    points = spark.range(40_000).select(F.lit(1).alias("k"), (F.col("id") * 2).alias("ts"), "id")
+    samples = spark.range(40_000).select(F.lit(1).alias("k"), (F.col("id") * 2 + 1).alias("ts"), F.col("id").alias("nth"), (F.col("id") * 10).alias("v"))
+    start = time.time()
+    found = lookup.next_sample(points, samples, ["k"], "ts", ["v"])
+    assert found.where("v <> id * 10 or v is null").count() == 0 and time.time() - start < 30
+
+
+def test_tiles_and_boxes_over_the_date_line(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.functions import tiles
+    from waymark.operators import spatial
+
+    box = spark.createDataFrame([(1, 179.5, 10.2, -179.5, 10.4)], "area long, west double, south double, east double, north double")
+    cover = tiles.degree_tiles(*map(F.col, ("west", "south", "east", "north")))
+    assert sorted(tuple(t) for t in box.select(F.explode(cover).alias("t")).select("t.*").collect()) == [(-180, 10), (179, 10)]
+    others = spark.createDataFrame([(1, 179.9, 10.0, 180.0, 10.3), (2, -180.0, 10.3, -179.9, 10.9), (3, 0.0, 10.0, 1.0, 11.0), (4, 179.0, -80.0, -179.0, 80.0), (5, -180.0, -90.0, 180.0, 90.0)], "id long, west double, south double, east double, north double")
+    assert sorted(r.id for r in spatial.boxes_with_boxes(box, others).select("id").distinct().collect()) == [1, 2, 4, 5]
+    points = spark.createDataFrame([(1, 179.9, 10.3), (2, -179.9, 10.3), (3, 0.0, 10.3), (4, 180.0, 10.3)], "id long, lon double, lat double")
+    assert sorted(r.id for r in spatial.boxes_with_points(box, points).collect()) == [1, 2, 4]
+    everywhere = others.where("id = 5").select(F.lit(9).alias("area"), "west", "south", "east", "north")
+    assert spatial.boxes_with_points(everywhere, points).count() == 4
+
+
+def test_directory_runs_and_leaves(spark):
+    from waymark.operators import tiles
+
+    entries = spark.createDataFrame([(5, 3, 50), (1 << 20, 0, 60), (1 << 45, 1 << 30, 70)], "tile_id long, run_length long, offset long")
+    ids = [0, 5, 7, 8, (1 << 20) - 1, 1 << 20, (1 << 33) + 5, (1 << 45) - 1, (1 << 45) + 12345, (1 << 45) + (1 << 30), 1 << 60]
+    want = [None, 50, 50, None, None, 60, 60, 60, 70, None, None]
+    got = {r.id: r.offset for r in tiles.directory_lookup(spark.createDataFrame([(i,) for i in ids], "id long"), entries).collect()}
+    assert [got[i] for i in ids] == want

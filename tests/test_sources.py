@@ -168,3 +168,18 @@ def test_dispatch(spark, tmp_path):
     write(tmp_path, "c.unknown", "?")
     out = files.read(spark, str(tmp_path))
     assert sorted(r[0] for r in rows(out.waypoints, "name")) == ["A", "Hut"] and out.trackpoints.count() == 6
+    assert [(f.rpartition("/")[2], m) for f, m in rows(out.errors, "file", "msg") if m == "unknown format"] == [("c.unknown", "unknown format")]
+
+
+def test_dialects_of_one_extension(spark, tmp_path):
+    write(tmp_path, "dump.wpt", "$FormatGEO\nA  N 50 30.0  E 14 30.0  200\n")
+    write(tmp_path, "nav.wpt", "B UTF-8\nG WGS 84\nU 1\nW P A 50.6N 14.6W 01-JAN-24 10:00:00 5 text\n")
+    write(tmp_path, "ozi.wpt", "OziExplorer Waypoint File Version 1.1\nWGS 84\nReserved 2\nReserved 3\n1,Q,50.1,14.1,45000.5,0,1,3,0,65535,text,0,0,0,-777\n")
+    write(tmp_path, "bad.wpt", "nothing that anyone knows\n")
+    write(tmp_path, "nav.rte", "B UTF-8\nG WGS 84\nU 1\nR 255,r\nW S A 50.6N 14.6E 01-JAN-24 10:00:00 5 text\n")
+    write(tmp_path, "ozi.rte", "OziExplorer Route File Version 1.0\nWGS 84\nReserved 1\nReserved 2\nR,0,r,d,255\nW,0,1,1,T,50.2,14.2,45000.5,0,1,3,0,65535,,0,0\n")
+    write(tmp_path, "map.json", '{"type":"Point","coordinates":[14,50]}')
+    out = files.read(spark, str(tmp_path))
+    assert sorted(r[0] or "" for r in rows(out.waypoints, "name")) == ["", "A", "P", "Q"]
+    assert sorted(r[0] for r in rows(out.routepoints, "name")) == ["S", "T"]
+    assert [(f.rpartition("/")[2], m) for f, m in rows(out.errors, "file", "msg")] == [("bad.wpt", "not a wpt file")]
