@@ -546,6 +546,18 @@ def test_toxic_folding_and_exceptions():
     assert lexicon.score(None) == lexicon.score("") == lexicon.score("idiotic is another word")
 
 
+def test_toxic_exceptions_against_brute_force():
+    """Exceptions that overlap or follow each other spare what starts inside one of them, in texts of any length."""
+    lexicon = toxicity.Lexicon({" idi": 3.0, " scum ": 4.0, " trash ": 2.0, " fool ": 1.5}, ("trash can", "pond scum", "idiom of", "of fool"), (0.0, 1.0, 1.0, 1.0))
+    choose = random.Random(5)
+    for _ in range(500):
+        words = choose.choices("idiom of fool trash can pond scum idiot x y".split(), k=choose.randint(1, 30))
+        line = f" {' '.join(words)} "
+        spared = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {p} )", line)]
+        total = sum(max(w for t, w in lexicon.weights.items() if line.startswith(t, at)) for at in range(len(line)) if any(line.startswith(t, at) for t in lexicon.weights) and not any(s <= at < e for s, e in spared))
+        assert lexicon.features(" ".join(words)) == pytest.approx((float(total > 0), math.log1p(total), math.log1p(100 * total / len(words))))
+
+
 def test_toxicity_held_out(spark, data):
     big = data.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet")

@@ -116,7 +116,13 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-        total = sum(w for at, w in hits.items() if not any(s <= at < e for s, e in spared))
+        total, reach, k = 0.0, 0, 0  # reach: end of the exceptions that start up to here
+        spared.sort()
+        for at, weight in sorted(hits.items()):
+            while k < len(spared) and spared[k][0] <= at:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if at >= reach:
+                total += weight
         return float(total > 0), math.log1p(total), math.log1p(100 * total / len(words))
 
     def score(self, text: str | None) -> float:
