@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, decontaminate, html_text, licenses, media, pii, simhash, token_counts, toxicity, url_filter
+from waymark.llm import byte_bpe, decontaminate, html_text, licenses, media, packing, pii, simhash, token_counts, toxicity, url_filter
 from waymark.llm.common import table
 
 #: Site rules of the URL filter: verdict and host/path.
@@ -86,6 +86,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +104,7 @@ QUERIES = {
         op8_toxicity,
         op9_simhash,
         op10_html_text,
+        op11_packing,
     )
 }
 
