@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, decontaminate, html_text, licenses, media, negatives, packing, pii, simhash, token_counts, toxicity, url_filter
+from waymark.llm import byte_bpe, conversations, decontaminate, html_text, licenses, media, negatives, packing, pii, simhash, token_counts, toxicity, url_filter
 from waymark.llm.common import table
 
 #: Site rules of the URL filter: verdict and host/path.
@@ -91,6 +91,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(given), given)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -112,6 +117,7 @@ QUERIES = {
         op9_simhash,
         op10_html_text,
         op11_packing,
+        op12_conversation_repair,
         op13_hard_negatives,
     )
 }
