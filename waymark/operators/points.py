@@ -127,7 +127,11 @@ def outliers(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataF
         return moving.withColumn("is_outlier", F.lit(False))
     out = upper_median(moving, "acceleration", "median")
     out = out.withColumn("deviation", F.abs(F.col("acceleration") - F.col("median")))
-    out = upper_median(out, "deviation", "mad")
+    return far_out(upper_median(out, "deviation", "mad"), options)
+
+
+def far_out(out: DataFrame, options: TrackOptions) -> DataFrame:
+    """Add is_outlier to points with the deviation of their acceleration and its median, mad."""
     score = F.when(F.col("mad") == 0, F.col("deviation") > 0).otherwise(0.6745 * F.col("deviation") / F.nullif(F.col("mad"), F.lit(0.0)) > options.outlier_score)
     far = F.coalesce(F.col("own_times") & score & ~F.col("is_stop"), F.lit(False))
     return out.withColumn("is_outlier", far)

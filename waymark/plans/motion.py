@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import channels, points, routes, sessions, stats, thinning
+from waymark.operators import channels, points, ranges, routes, sessions, stats, thinning
 from waymark.plans import checks
 from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
@@ -54,6 +54,24 @@ _point_query("w12_timeless_chain", {"dist": 2, "is_outlier": None}, "timeless")
 _point_query("a22_a24_medians", {"median": 6, "mad": 6})
 
 
+def _ranged_query(name: str, source: str) -> None:
+    """Everything that is derived of a point, long tracks cut into ranges; the SQL knows no ranges."""
+    columns = {"ds": 3, "dt": 6, "seg_dist": 2, "raw_speed": 4, "acceleration": 5, "median": 6, "mad": 6, "pause": 6, "raw_dist": 2, "dist": 2, "t": 6, "v": 4}
+    flags = ["own_times", "timed", "is_stop", "is_outlier", "is_inner_stop"]
+    sql = ", ".join([*flags, *(f"round({c}, {n}) AS {c}" for c, n in columns.items())])
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        # bounds far below the usual ones, so that the given tracks are cut too
+        out = ranges.enrich_points(fixture(spark, d, source), longest=50, size=25)
+        return out.select(*_KEYS, *flags, *[r(c, n) for c, n in columns.items()])
+
+    register(name, f"{checks.enriched(source)} SELECT track_id, seg_no, pt_no, {sql} FROM e")(run)
+
+
+_ranged_query("w02_w10_in_ranges", "trackpoints")
+_ranged_query("w04_w12_in_ranges", "timeless")
+
+
 @register("w11_path", f"{_E} SELECT track_id, seg_no, pt_no, lon, lat, round(dist, 2) AS dist FROM e WHERE NOT is_outlier AND NOT is_inner_stop")
 def _(spark, d):
     return points.path(tracks(spark, d)).withColumn("dist", F.round("dist", 2))
