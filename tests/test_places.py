@@ -163,3 +163,45 @@ def test_directory_runs_and_leaves(spark):
     want = [None, 50, 50, None, None, 60, 60, 60, 70, None, None]
     got = {r.id: r.offset for r in tiles.directory_lookup(spark.createDataFrame([(i,) for i in ids], "id long"), entries).collect()}
     assert [got[i] for i in ids] == want
+
+
+def test_interpolation_without_bins(spark):
+    """An interval of 10^15, ends that touch, repeated distances, probes outside and in gaps; no interval is spread."""
+    points = [(1, 0, 0, 0.0, 0.0), (1, 0, 1, 1e15, 10.0), (1, 1, 0, 1e15, 50.0), (1, 1, 1, 1e15, 60.0), (1, 1, 2, 2e15, 70.0), (1, 2, 0, 3e15, 0.0), (1, 3, 0, 4e15, 1.0), (1, 3, 1, 5e15, 2.0), (2, 0, 0, 1.0, 8.0), (2, 0, 1, 1.0, 6.0), (2, 0, 2, 3.0, 10.0)]
+    series = spark.createDataFrame(points, "track_id long, seg_no int, g_no int, x double, y double")
+    asked = [(1, -1.0), (1, 0.0), (1, 5e14), (1, 1e15), (1, 1.5e15), (1, 2.5e15), (1, 3e15), (1, 4.5e15), (1, 6e15), (2, 1.0), (2, 2.0), (3, 1.0), (1, 5e14), (1, None)]
+    probes = spark.createDataFrame([(*a, i) for i, a in enumerate(asked)], "track_id long, at double, n int")
+    out = lookup.interpolated(probes, series, ["track_id"], "x", "y", with_segment=True)
+    got = {r.n: (r.y, r.seg_no) for r in out.collect()}
+    none = (None, None)
+    assert got == {0: none, 1: (0, 0), 2: (5, 0), 3: (10, 0), 4: (65, 1), 5: none, 6: none, 7: (1.5, 3), 8: none, 9: (6, 0), 10: (8, 0), 11: none, 12: (5, 0), 13: none}
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interpolation_against_all_intervals(spark):
+    rng = random.Random(6)
+    points = []
+    for track in range(8):
+        x = 0.0
+        for seg in range(3):
+            for g in range(rng.randrange(1, 8)):
+                x += rng.choice([0.0, 0.0, 1.0, 2.5, 1e6])
+                points.append((track, seg, g, x, float(rng.randrange(5))))
+    series = spark.createDataFrame(points, "track_id long, seg_no int, g_no int, x double, y double")
+    asked = sorted({(t, x + d) for t, _, _, x, _ in points for d in (-0.5, 0.0, 0.25)})
+    got = {(r.track_id, r.at): r.y for r in lookup.interpolated(spark.createDataFrame(asked, "track_id long, at double"), series, ["track_id"], "x", "y").collect()}
+    for track, at in asked:
+        spans = [(a[1], a[3], a[4] + ((at - a[3]) / (b[3] - a[3]) if b[3] > a[3] else 0.0) * (b[4] - a[4])) for a, b in zip(points, points[1:]) if a[0] == b[0] == track and a[1] == b[1] and a[3] <= at <= b[3]]
+        assert got[track, at] == (min(spans)[2] if spans else None)
+
+
+def test_positions_are_those_of_markers(spark):
+    rows = [(1, 0, 0, 14.0, 50.0, 0.0), (1, 0, 1, 14.1, 50.0, 7000.0), (1, 0, 2, 14.1, 50.001, 7100.0), (1, 1, 0, 14.2, 50.1, 7100.0), (1, 1, 1, 14.21, 50.1, 7900.0)]
+    path = spark.createDataFrame(rows, "track_id long, seg_no int, pt_no int, lon double, lat double, dist double")
+    want = {r.at: (r.lon, r.lat) for r in lookup.distance_markers(path, 500.0).collect()}
+    probes = spark.createDataFrame([(1, 500.0 * k) for k in range(1, 16)] + [(1, 1e9), (9, 1.0)], "track_id long, at double")
+    out = lookup.position_at(probes, path)
+    got = {(r.track_id, r.at): (r.lon, r.lat) for r in out.collect()}
+    assert got.pop((1, 1e9)) == got.pop((9, 1.0)) == (None, None)
+    assert {at: p for (_, at), p in got.items()} == want and len(want) == 15
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()

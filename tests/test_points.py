@@ -129,3 +129,25 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     e = points.enrich_points(empty)
     assert e.count() == 0 and channels.graph(e).count() == 0 and stats.track_totals(e).count() == 0
+
+
+def test_thinning_goes_on_from_batch_to_batch(spark):
+    rng = random.Random(9)
+    rows = [(t, c, s, g, g * 40.0, rng.uniform(0, 4)) for t in range(5) for c in ("a", "b") for s in range(2) for g in range(rng.choice([1, 2, 3, 40]))]
+    graph = spark.createDataFrame(rng.sample(rows, len(rows)), "track_id long, channel string, seg_no int, g_no int, s double, y double")
+    want = set()
+    for key in {r[:3] for r in rows}:
+        series = sorted(r for r in rows if r[:3] == key)
+        kept = series[0]
+        for r in series:
+            if r in (series[0], series[-1]) or abs(r[4] * 0.01 - kept[4] * 0.01) >= 1 or abs(r[5] * 0.5 - kept[5] * 0.5) >= 1:
+                want.add(r)
+                kept = r
+    for batch in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = [tuple(r) for r in thinning.thinned(graph, 0.01, 0.5).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(set(got)) and set(got) == want
+    assert thinning.thinned(graph.limit(0), 1.0, 1.0).count() == 0

@@ -30,22 +30,44 @@ def intervals(series: DataFrame, keys: list[str], x: str, y: list[str]) -> DataF
     return rows.select(*keys, "seg_no", F.col(x).alias("x0"), F.col(f"nxt.{x}").alias("x1"), *[c for v in y for c in (F.col(v).alias(f"{v}0"), F.col(f"nxt.{v}").alias(f"{v}1"))])
 
 
-def interpolated(probes: DataFrame, series: DataFrame, keys: list[str], x: str, y: str, bin_width: float, with_segment: bool = False) -> DataFrame:
+def _span_at(probes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Probes with ``span``, the interval (x0, x1, ...) of their keys that holds ``at``, or null.
+
+    Along (seg_no, x0) the intervals of a key mustn't go back, as distances and
+    times don't. Then an interval can only be the one that was begun last, or one
+    that touches ``at`` itself; so each end of an interval becomes a knot, and one
+    running window over knots and probes finds both. Of intervals that touch
+    ``at`` the one of the lower segment, then of the lower x0 counts.
+    """
+    fields = [c for c in spans.columns if c not in keys]
+    # in the order of preference
+    span = F.struct("seg_no", "x0", *[c for c in fields if c not in ("seg_no", "x0")])
+    ends = F.array(F.struct(F.col("x0").alias("at"), F.lit(True).alias("begins")), F.struct(F.col("x1").alias("at"), F.lit(False).alias("begins")))
+    knots = spans.select(*keys, span.alias("span"), F.explode(ends).alias("k")).select(*keys, "span", "k.at", "k.begins")
+    onward = F.min(F.when(F.col("begins") & (F.col("span.x1") > F.col("at")), F.col("span")))
+    knots = knots.groupBy(*keys, "at").agg(F.struct(F.col("at"), F.min("span").alias("touching"), onward.alias("onward")).alias("\u0001knot"))
+    asked = probes.select(*keys, "at", F.struct(*probes.columns).alias("\u0001probe"))
+    rows = knots.unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("at", F.col("\u0001probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("\u0001knot", F.last("\u0001knot", True).over(upto)).where(F.col("\u0001probe").isNotNull())
+    k = F.col("\u0001knot")
+    hit = F.when(k["at"] == F.col("at"), k["touching"]).when(F.col("at") < k["onward"]["x1"], k["onward"])
+    return found.select("\u0001probe.*", hit.alias("span"))
+
+
+def interpolated(probes: DataFrame, series: DataFrame, keys: list[str], x: str, y: str, with_segment: bool = False) -> DataFrame:
     """(probe columns, y, seg_no on request): value of a series at each probe's ``at``, linear between points; null outside.
 
-    Intervals are spread over bins of ``bin_width`` and meet the probes in an
-    equi-join. Where an interval end is hit by two intervals, the one of lower
-    segment, then lower x counts.
+    ``x`` mustn't fall along a key's segments and points. Where an interval end
+    is hit by two intervals, the one of lower segment, then lower x counts.
     """
     spans = intervals(series, keys, x, [y])
-    binned = spans.select("*", F.explode(F.sequence(F.floor(F.col("x0") / bin_width), F.floor(F.col("x1") / bin_width))).alias("bin"))
-    wanted = probes.withColumn("bin", F.floor(F.col("at") / bin_width))
-    inside = (F.col("at") >= F.col("x0")) & (F.col("at") <= F.col("x1"))
-    part = F.when(F.col("x1") > F.col("x0"), (F.col("at") - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))).otherwise(0.0)
-    value = F.col(f"{y}0") + part * (F.col(f"{y}1") - F.col(f"{y}0"))
-    hit = wanted.join(binned, [*keys, "bin"]).where(inside).select(*probes.columns, F.struct("seg_no", "x0", value.alias("value")).alias("h"))
-    best = hit.groupBy(*probes.columns).agg(F.min("h").alias("h"))
-    return probes.join(best, probes.columns, "left").select(*probes.columns, F.col("h.value").alias(y), *["h.seg_no"] * with_segment)
+    spans = spans.select(*keys, "seg_no", "x0", F.col(f"{y}0").alias("y0"), "x1", F.col(f"{y}1").alias("y1"))
+    found = _span_at(probes, spans, keys)
+    h = F.col("span")
+    part = F.when(h["x1"] > h["x0"], (F.col("at") - h["x0"]) / F.nullif(h["x1"] - h["x0"], F.lit(0.0))).otherwise(0.0)
+    value = h["y0"] + part * (h["y1"] - h["y0"])
+    return found.select(*probes.columns, value.alias(y), *[h["seg_no"].alias("seg_no")] * with_segment)
 
 
 def _steps_of(path: DataFrame) -> DataFrame:
@@ -69,19 +91,15 @@ def _placed(on_step: DataFrame) -> DataFrame:
     return arcs.placed(on_step.withColumn("part", part)).withColumn("h", F.when(F.col("inside"), F.struct("seg_no", "x0", "lon", "lat")))
 
 
-def position_at(probes: DataFrame, path: DataFrame, bin_width: float = 1000.0) -> DataFrame:
+def position_at(probes: DataFrame, path: DataFrame) -> DataFrame:
     """(track_id, at, lon, lat): place on each path at a distance.
 
     Long steps are followed along the great circle, others straight; null
     outside the path. Where two steps meet, that of the lower segment, then of
     the lower distance counts.
     """
-    steps = _steps_of(path).where("inside")
-    binned = steps.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x0") / bin_width), F.floor(F.col("x1") / bin_width))))
-    wanted = probes.select("track_id", "at", F.floor(F.col("at") / bin_width).alias("bin"))
-    hit = wanted.join(binned, ["track_id", "bin"]).where("at >= x0 and at <= x1")
-    best = _placed(hit).groupBy("track_id", "at").agg(F.min("h").alias("h"))
-    return probes.join(best, ["track_id", "at"], "left").select("track_id", "at", "h.lon", "h.lat")
+    found = _span_at(probes.select("track_id", "at"), _steps_of(path).where("inside"), ["track_id"])
+    return _placed(found.select("track_id", "at", "span.*")).select("track_id", "at", "h.lon", "h.lat")
 
 
 def distance_markers(path: DataFrame, every: float = 1000.0) -> DataFrame:

@@ -22,7 +22,7 @@ from waymark.operators import arcs
 #: Default distance in metres in which points of interest are looked for.
 RADIUS = 1000.0
 #: Cell sizes in degrees from fine to coarse, salts of a cell of each, and cells that a box may touch before it goes to the next.
-_GRIDS = (0.02, 1.0, 30.0)
+GRIDS = (0.02, 1.0, 30.0)
 _SALTS = (1, 16, 64)
 _MOST_CELLS = 64
 _SIDES = ("west", "south", "east", "north")
@@ -37,9 +37,9 @@ def _cells(west: Column, south: Column, east: Column, north: Column, size: float
 
 def _grid_of(west: Column, south: Column, east: Column, north: Column) -> Column:
     """Number of the finest grid on which a box touches few cells."""
-    level = F.lit(len(_GRIDS) - 1)
-    for k in range(len(_GRIDS) - 2, -1, -1):
-        n = (F.floor(east / _GRIDS[k]) - F.floor(west / _GRIDS[k]) + 1) * (F.floor(north / _GRIDS[k]) - F.floor(south / _GRIDS[k]) + 1)
+    level = F.lit(len(GRIDS) - 1)
+    for k in range(len(GRIDS) - 2, -1, -1):
+        n = (F.floor(east / GRIDS[k]) - F.floor(west / GRIDS[k]) + 1) * (F.floor(north / GRIDS[k]) - F.floor(south / GRIDS[k]) + 1)
         level = F.when(n <= _MOST_CELLS, k).otherwise(level)
     return level
 
@@ -69,14 +69,14 @@ def boxes_with_points(boxes: DataFrame, points: DataFrame, lon: str = "lon", lat
     sides = [F.col(f"b.{c}") for c in _SIDES]
     cells, salts = F.lit(None), F.lit(1)
     for k in grids:
-        cells = F.when(F.col("grid") == k, _cells(*sides, _GRIDS[k])).otherwise(cells)
+        cells = F.when(F.col("grid") == k, _cells(*sides, GRIDS[k])).otherwise(cells)
         salts = F.when(F.col("grid") == k, _SALTS[k]).otherwise(salts)
     if not grids:
         return level.select(*names).limit(0).crossJoin(points.limit(0))
     spread = level.select(*names, "b", "grid", F.explode(cells).alias("cell"), salts.alias("salts")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
 
     def place(k: int) -> Column:
-        cell = F.struct(F.floor(F.col(lon) / _GRIDS[k]).cast("int").alias("x"), F.floor(F.col(lat) / _GRIDS[k]).cast("int").alias("y"))
+        cell = F.struct(F.floor(F.col(lon) / GRIDS[k]).cast("int").alias("x"), F.floor(F.col(lat) / GRIDS[k]).cast("int").alias("y"))
         salt = F.pmod(F.xxhash64(lon, lat), F.lit(_SALTS[k])).cast("int") if _SALTS[k] > 1 else F.lit(0)
         return F.struct(F.lit(k).alias("grid"), cell.alias("cell"), salt.alias("salt"))
 
@@ -100,15 +100,15 @@ def boxes_with_boxes(boxes: DataFrame, others: DataFrame) -> DataFrame:
         sides = [F.col(f"{box}.{c}") for c in _SIDES]
 
         def on_grid(k: int) -> Column:
-            cells = F.transform(_cells(*sides, _GRIDS[k]), lambda c: F.struct(F.lit(k).alias("on"), c.alias("cell")))
+            cells = F.transform(_cells(*sides, GRIDS[k]), lambda c: F.struct(F.lit(k).alias("on"), c.alias("cell")))
             return F.when(F.col("grid") <= k, cells).otherwise(F.array().cast("array<struct<on:int,cell:struct<x:int,y:int>>>"))
 
-        return df.select("*", F.explode(F.concat(*map(on_grid, range(len(_GRIDS))))).alias("at")).select("*", "at.on", "at.cell").drop("at")
+        return df.select("*", F.explode(F.concat(*map(on_grid, range(len(GRIDS))))).alias("at")).select("*", "at.on", "at.cell").drop("at")
 
     left, right = spread(a, "a").withColumnRenamed("grid", "grid_a"), spread(b, "b").withColumnRenamed("grid", "grid_b")
     one, two = ({c: F.col(f"{n}.{c}") for c in _SIDES} for n in ("a", "b"))
     begins = {"x": F.greatest(one["west"], two["west"]), "y": F.greatest(one["south"], two["south"])}
-    size = F.element_at(F.array(*map(F.lit, _GRIDS)), F.col("on") + 1)
+    size = F.element_at(F.array(*map(F.lit, GRIDS)), F.col("on") + 1)
     here = (F.floor(begins["x"] / size) == F.col("cell.x")) & (F.floor(begins["y"] / size) == F.col("cell.y"))
     met = left.join(right, ["on", "cell"]).where((F.col("on") == F.greatest("grid_a", "grid_b")) & here & geo.meets(one, two))
     return met.drop("on", "cell", "grid_a", "grid_b", "a", "b")
@@ -126,10 +126,11 @@ def densified(path: DataFrame, radius: float = RADIUS) -> DataFrame:
 
 
 def near_paths(path: DataFrame, pois: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """(track_id, poi columns): points of interest in a box of ``radius`` around any place of a path, once each."""
+    """(track_id, poi columns): points of interest in a box of ``radius`` around any place of a path, once each; ``wpt_id`` tells them apart if there is one."""
     places = densified(path, radius)
     boxes = places.select("track_id", *[c.alias(k) for k, c in geo.box_around(F.col("lon"), F.col("lat"), radius).items()]).distinct()
-    return boxes_with_points(boxes, pois).dropDuplicates()
+    hits = boxes_with_points(boxes, pois)
+    return hits.dropDuplicates(["track_id", "wpt_id"] if "wpt_id" in hits.columns else None)
 
 
 def near_points(places: DataFrame, pois: DataFrame, keys: list[str], radius: float = RADIUS) -> DataFrame:

@@ -181,13 +181,13 @@ def _probes(rows):
 @register("j07_interpolated", f"{checks.graphs()}, q AS (SELECT * FROM g WHERE channel = 'heart_rate'), {_probe_sql('y', 's', 'q')} SELECT pr.track_id, pr.pos AS \"at\", round(y, 4) AS y FROM pr LEFT JOIN ht ON pr.track_id = ht.track_id AND pr.pos = ht.pos")
 def _(spark, d):
     g = graph(spark, d, ["heart_rate"])
-    return lookup.interpolated(_probes(g), g, ["track_id"], "s", "y", 50_000.0).select("track_id", "at", r("y", 4))
+    return lookup.interpolated(_probes(g), g, ["track_id"], "s", "y").select("track_id", "at", r("y", 4))
 
 
 @register("j07b_distance_at_time", f"{checks.graphs()}, q AS (SELECT * FROM g WHERE channel = 'heart_rate'), {_probe_sql('s', 't', 'q')} SELECT pr.track_id, pr.pos AS \"at\", round(y, 3) AS s FROM pr LEFT JOIN ht ON pr.track_id = ht.track_id AND pr.pos = ht.pos")
 def _(spark, d):
     g = graph(spark, d, ["heart_rate"])
-    return lookup.interpolated(_probes(g), g, ["track_id"], "t", "s", 50_000.0).select("track_id", "at", r("s", 3))
+    return lookup.interpolated(_probes(g), g, ["track_id"], "t", "s").select("track_id", "at", r("s", 3))
 
 
 _POS = f"""{_PATH},
@@ -204,12 +204,20 @@ def _(spark, d):
     return lookup.distance_markers(spatial_path(spark, d), 100_000.0).select("track_id", "at", r("lon", 5), r("lat", 5))
 
 
+@register("j07c_position_at", f"{_POS}, z AS (SELECT * FROM mk) SELECT z.track_id, z.pos AS \"at\", round(lon, 5) AS lon, round(lat, 5) AS lat FROM z LEFT JOIN i5 ON z.track_id = i5.track_id AND z.pos = i5.pos")
+def _(spark, d):
+    path = spatial_path(spark, d)
+    ends = path.groupBy("track_id").agg(F.floor(F.max("dist") / 100_000.0).alias("k")).where("k >= 1")
+    probes = ends.select("track_id", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k")).select("track_id", (F.col("k") * 100_000.0).alias("at"))
+    return lookup.position_at(probes, path).select("track_id", "at", r("lon", 5), r("lat", 5))
+
+
 @register("j07d_wall_clock", f"{checks.graphs()}, q AS (SELECT * FROM g WHERE channel = 'heart_rate'), {_probe_sql('t', 's', 'q').replace('(seg_no, x0)) AS y', '(seg_no, x0)) AS y, min(seg_no) AS seg_no')}, f AS (SELECT track_id, seg_no, min_by(ts, pt_no) AS seg_start, min_by(t, pt_no) AS t0 FROM e GROUP BY 1, 2) SELECT ht.track_id, ht.pos AS \"at\", ht.seg_no, epoch_us(seg_start) + CAST(round((y - t0) * 1e6) AS BIGINT) AS clock_us FROM ht JOIN f ON f.track_id = ht.track_id AND f.seg_no = ht.seg_no")
 def _(spark, d):
     points = tracks(spark, d)
     series = channels.graph(points, ["heart_rate"])
     first = points.groupBy("track_id", "seg_no").agg(F.min_by("ts", "pt_no").alias("seg_start"), F.min_by("t", "pt_no").alias("t0"))
-    found = lookup.interpolated(_probes(series), series, ["track_id"], "s", "t", 50_000.0, with_segment=True).join(first, ["track_id", "seg_no"])
+    found = lookup.interpolated(_probes(series), series, ["track_id"], "s", "t", with_segment=True).join(first, ["track_id", "seg_no"])
     clock = lookup.wall_clock(F.col("t"), F.col("seg_start"), F.col("t0"))
     return found.select("track_id", "at", "seg_no", F.unix_micros(clock).alias("clock_us"))
 
