@@ -1,10 +1,11 @@
 """Golden files of each format: valid rows, a truncated or wrong one, one out of range."""
 
+import random
 import struct
 
 import pytest
 
-from waymark.sources import files, geojson, nmea, terrain, text, xml
+from waymark.sources import common, files, geojson, nmea, terrain, text, xml
 
 GPX = """<?xml version="1.0"?><gpx xmlns:gpxtpx="urn:x"><wpt lat="50.1" lon="14.2"><ele>200</ele><name>Hut</name><link href="http://a"><text>A</text></link></wpt>
 <wpt lat="95" lon="14.2"><name>bad</name></wpt>
@@ -183,3 +184,48 @@ def test_dialects_of_one_extension(spark, tmp_path):
     assert sorted(r[0] or "" for r in rows(out.waypoints, "name")) == ["", "A", "P", "Q"]
     assert sorted(r[0] for r in rows(out.routepoints, "name")) == ["S", "T"]
     assert [(f.rpartition("/")[2], m) for f, m in rows(out.errors, "file", "msg")] == [("bad.wpt", "not a wpt file")]
+
+
+def _rows(df):
+    return sorted(tuple(str(v) for v in r) for r in df.collect())
+
+
+def test_a_file_in_many_splits(spark, tmp_path):
+    """Dates, GGA seen, midnights, datums and track numbers go on from split to split."""
+    rng = random.Random(5)
+    nmea_lines, igc, cam, plt = [], ["AXXX", "HFDTE311223"], [], ["OziExplorer Track Point File Version 2.1", "WGS 84", "x", "x", "x", "x"]
+    for i in range(120):
+        tod, at = (86_000 + 37 * i) % 86_400, f"{5000 + i * 0.01:07.2f},N,01400.00,E"
+        clock = f"{tod // 3600:02d}{tod // 60 % 60:02d}{tod % 60:02d}"
+        if i % 40 == 3:
+            nmea_lines.append(f"$GPRMC,{clock},A,{at},0,0,{27 + i // 40:02d}1223,,*00")
+        nmea_lines.append(f"$GPGGA,{clock},{at},1,8,1,{200 + i},M,45,M,,*00" if i > 20 else rng.choice(["$GPGSV,1", "", f"$GPRMC,{clock},A,{at},0,0,,,*00"]))
+        igc.append(f"B{clock}50{i:05d}N014{i:05d}EA0010000{i:03d}")
+        cam.append("$V02" if i % 30 == 0 else f"{1700000000 + i},A,50.{i:03d},14.0,100,0,{i},0,0,0,0,0,0")
+        plt.append(f" 50.{i:03d}, 14.0,{int(i % 25 == 0)}, 300, 45000.{i:03d}, , ")
+    files = {"nmea": nmea_lines, "igc": igc, "txt": cam, "plt": plt}
+    readers = {"nmea": nmea.read_nmea, "igc": text.read_igc, "txt": text.read_dashcam, "plt": lambda s, p: text.read_ozi(s, p, "plt")}
+    for kind, lines in files.items():
+        for k, end in enumerate(["\n", "\r\n"]):
+            (tmp_path / f"{k}.{kind}").write_bytes(end.join(lines).encode() + end.encode() * k)
+    for kind, read in readers.items():
+        whole = _rows(read(spark, str(tmp_path)).trackpoints)
+        assert len(whole) >= 200
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            numbered = common.lines(spark, str(tmp_path), f"*.{kind}")
+            assert numbered.select("file", "split").distinct().count() > 6
+            got = {r.line_no: r.line for r in numbered.collect() if r.file.endswith(f"0.{kind}")}
+            assert [got[n] for n in sorted(got)] == files[kind]
+            parts = _rows(read(spark, str(tmp_path)).trackpoints)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert parts == whole
+
+
+def test_lines_and_encodings(spark, tmp_path):
+    (tmp_path / "latin.txt").write_bytes("é\nß".encode("latin-1"))
+    got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in common.lines(spark, str(tmp_path), "*.txt", "ISO-8859-1").collect()}
+    assert got == {("latin.txt", 1): "é", ("latin.txt", 2): "ß"}

@@ -1,15 +1,9 @@
 """Motion along tracks of any length: the rules of ``points`` as a scan of two levels.
 
-A segment is cut into ranges of points, each of which is one window partition,
-so a single track is the work of many tasks. What a range needs of the ranges
-before or after it is a carry: each range is reduced to a row (its sums, last
-values, ends), a window over these rows adds them up along the segment, and the
-result is joined to the range's points. Only the rows of ranges, one for
-``size`` points, are ever together by segment or track.
-
-    reduced(points)  ->  carries by range  ->  window over ranges  ->  joined
-
-Medians come from ``selection``. Keys and numbers of points mustn't be null here.
+A segment is cut into ranges of points (``scan``): what a range needs of the
+ranges before or after it is carried along one row a range, so a single track is
+the work of many tasks. Only the rows of ranges, one for ``size`` points, are ever
+together by segment or track. Medians come from ``selection``. Keys and numbers of points mustn't be null here.
 """
 
 from __future__ import annotations
@@ -23,13 +17,14 @@ from waymark.functions import geo
 from waymark.operators import points as plain
 from waymark.operators import selection
 from waymark.operators.points import SHORTEST_STEP, TrackOptions, micros
+from waymark.operators.scan import Scan, of_part, plus
 
 #: Points of a range, if points are numbered without gaps.
 SIZE = 1 << 18
 #: Points of a track from which on it is cut into ranges.
 LONGEST = 1 << 22
 _SEGMENT = ("track_id", "seg_no")
-_RANGE = (*_SEGMENT, "range_no")
+SCAN = Scan(_SEGMENT, "range_no", "pt_no")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,80 +38,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _inside():
-    return Window.partitionBy(*_RANGE).orderBy("pt_no")
-
-
-def _so_far():
-    return _inside().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _along():
-    """Over the rows of ranges, along a segment."""
-    return Window.partitionBy(*_SEGMENT).orderBy("range_no")
-
-
-def _before():
-    return _along().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _after():
-    return _along().rowsBetween(1, Window.unboundedFollowing)
-
-
 def in_ranges(points: DataFrame, size: int = SIZE) -> DataFrame:
     """Add range_no; ranges go by the number of a point, so they are known without counting."""
     return points.withColumn("range_no", F.floor(F.col("pt_no") / size).cast("long"))
 
 
-def carried(points: DataFrame, reduced: dict[str, Column], *stages: dict[str, Column]) -> DataFrame:
-    """Add to each point what the last of ``stages``, windows over the rows of ranges, makes of ``reduced``, aggregates of each range.
-
-    Stages before the last add to the rows; ``_r`` names what a row has.
-    """
-    rows = points.groupBy(*_RANGE).agg(*[c.alias(f"\u0001{k}") for k, c in reduced.items()])
-    for stage in stages[:-1]:
-        rows = rows.withColumns({f"\u0001{k}": c for k, c in stage.items()})
-    return points.join(rows.select(*_RANGE, *[c.alias(k) for k, c in stages[-1].items()]), list(_RANGE))
-
-
-def _r(name: str) -> Column:
-    return F.col(f"\u0001{name}")
-
-
-def _last(value: Column) -> Column:
-    """Last value of a range that isn't null."""
-    return F.max_by(value, F.when(value.isNotNull(), F.col("pt_no")))
-
-
-def _plus(carry: Column, own: Column) -> Column:
-    """Sum of what is there, as a running sum has it: null only if both are."""
-    return F.coalesce(carry + own, carry, own)
-
-
 def _previous(value: Column, carry: str) -> Column:
     """Value of the point before, which may lie in the range before."""
-    return F.when(F.col("opens"), F.col(carry)).otherwise(F.lag(value).over(_inside()))
-
-
-def running_sum(points: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the sum of a column so far in its segment."""
-    sums = carried(points, {"sum": F.sum(value)}, {"\u0002base": F.sum(_r("sum")).over(_before())})
-    return sums.withColumn(out, _plus(F.col("\u0002base"), F.sum(value).over(_so_far()))).drop("\u0002base")
-
-
-def filled_forward(points: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the last known value so far in its segment."""
-    known = carried(points, {"last": _last(F.col(value))}, {"\u0002base": F.last(_r("last"), True).over(_before())})
-    return known.withColumn(out, F.coalesce(F.last(value, True).over(_so_far()), F.col("\u0002base"))).drop("\u0002base")
+    return F.when(F.col("opens"), F.col(carry)).otherwise(F.lag(value).over(SCAN.inside()))
 
 
 def flattened(points: DataFrame) -> DataFrame:
     """All segments of a track as one, numbered on from 1; points come in ranges."""
-    counts = points.groupBy(*_RANGE).agg(F.count("*").alias("n"))
+    counts = points.groupBy(*SCAN.keys).agg(F.count("*").alias("n"))
     before = Window.partitionBy("track_id").orderBy("seg_no", "range_no").rowsBetween(Window.unboundedPreceding, -1)
-    based = points.join(counts.select(*_RANGE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("\u0002base")), list(_RANGE))
-    number = (F.col("\u0002base") + F.row_number().over(_inside())).cast("int")
+    based = points.join(counts.select(*SCAN.keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("\u0002base")), SCAN.keys)
+    number = (F.col("\u0002base") + F.row_number().over(SCAN.inside())).cast("int")
     return based.withColumn("pt", number).withColumns({"seg_no": F.lit(0), "pt_no": F.col("pt")}).drop("pt", "\u0002base", "range_no")
 
 
@@ -125,16 +62,16 @@ def raw_motion(points: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("lon", "lat", "ts"), "pt_no")
     by_segment = Window.partitionBy(*_SEGMENT)
     upto = Window.partitionBy("track_id").orderBy("seg_no").rangeBetween(Window.unboundedPreceding, 0)
-    out = carried(
+    out = SCAN.carried(
         points,
         {"last": last, "complete": F.min(F.col("ts").isNotNull())},
         {
-            "before": F.lag(_r("last")).over(_along()),
-            "own_times": F.min(_r("complete")).over(by_segment),
-            "timed": F.min(_r("complete")).over(upto),
+            "before": F.lag(of_part("last")).over(SCAN.along()),
+            "own_times": F.min(of_part("complete")).over(by_segment),
+            "timed": F.min(of_part("complete")).over(upto),
         },
     )
-    out = out.withColumn("opens", F.row_number().over(_inside()) == 1)
+    out = out.withColumn("opens", F.row_number().over(SCAN.inside()) == 1)
     out = out.withColumn("\u0002p", _previous(F.struct("lon", "lat", "ts"), "before"))
     p = F.col("\u0002p")
     passed = F.when(F.col("ts") > p["ts"], (micros(F.col("ts")) - micros(p["ts"])) / 1e6).otherwise(0.0)
@@ -145,26 +82,26 @@ def raw_motion(points: DataFrame) -> DataFrame:
     moves = F.col("dt") >= SHORTEST_STEP
     out = out.drop("before", "\u0002p").withColumn("own_speed", F.when(moves, F.col("ds") / F.col("dt")))
 
-    sums = {"ds": F.sum("ds"), "dt": F.sum("dt"), "speed": _last(F.col("own_speed"))}
-    base = {"ds0": F.sum(_r("ds")).over(_before()), "dt0": F.sum(_r("dt")).over(_before())}
-    out = carried(out, sums, {**base, "speed0": F.coalesce(F.last(_r("speed"), True).over(_before()), F.lit(0.0))})
-    speed = F.coalesce(F.last("own_speed", True).over(_so_far()), F.col("speed0"))
+    sums = {"ds": F.sum("ds"), "dt": F.sum("dt"), "speed": SCAN.last(F.col("own_speed"))}
+    base = {"ds0": F.sum(of_part("ds")).over(SCAN.before()), "dt0": F.sum(of_part("dt")).over(SCAN.before())}
+    out = SCAN.carried(out, sums, {**base, "speed0": F.coalesce(F.last(of_part("speed"), True).over(SCAN.before()), F.lit(0.0))})
+    speed = F.coalesce(F.last("own_speed", True).over(SCAN.so_far()), F.col("speed0"))
     out = out.withColumns(
         {
-            "seg_dist": _plus(F.col("ds0"), F.sum("ds").over(_so_far())),
-            "seg_time": _plus(F.col("dt0"), F.sum("dt").over(_so_far())),
+            "seg_dist": plus(F.col("ds0"), F.sum("ds").over(SCAN.so_far())),
+            "seg_time": plus(F.col("dt0"), F.sum("dt").over(SCAN.so_far())),
             "raw_speed": F.when(F.col("own_times"), speed),
         }
     )
     slower = _previous(F.col("raw_speed"), "speed0")
     out = out.withColumn("change", F.when(moves & ~F.col("is_first"), (F.col("raw_speed") - slower) / F.col("dt")))
-    mean = F.sum(_r("sum")).over(by_segment) / F.sum(_r("n")).over(by_segment)
-    out = carried(
+    mean = F.sum(of_part("sum")).over(by_segment) / F.sum(of_part("n")).over(by_segment)
+    out = SCAN.carried(
         out,
-        {"change": _last(F.col("change")), "sum": F.sum("raw_speed"), "n": F.count("raw_speed")},
-        {"change0": F.coalesce(F.last(_r("change"), True).over(_before()), F.lit(0.0)), "mean_speed": mean},
+        {"change": SCAN.last(F.col("change")), "sum": F.sum("raw_speed"), "n": F.count("raw_speed")},
+        {"change0": F.coalesce(F.last(of_part("change"), True).over(SCAN.before()), F.lit(0.0)), "mean_speed": mean},
     )
-    acceleration = F.coalesce(F.last("change", True).over(_so_far()), F.col("change0"))
+    acceleration = F.coalesce(F.last("change", True).over(SCAN.so_far()), F.col("change0"))
     return out.withColumn("acceleration", F.when(F.col("own_times"), acceleration)).drop("own_speed", "change", "ds0", "dt0", "speed0", "change0")
 
 
@@ -179,7 +116,7 @@ def pauses(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataFra
     limit = F.when(F.col("mean_speed") > 2.8, 0.40).otherwise(0.15) if options.automatic_pause else F.lit(options.pause_speed)
     interval = 10.0 if options.automatic_pause else options.pause_interval
     out = moving.withColumn("fast", F.coalesce(F.col("raw_speed") > limit, F.lit(True)) & ~F.col("is_first"))
-    out = out.withColumn("nth", F.sum(F.col("fast").cast("long")).over(_so_far()))
+    out = out.withColumn("nth", F.sum(F.col("fast").cast("long")).over(SCAN.so_far()))
     slow_head = F.max(F.when(F.col("nth") == 0, F.col("seg_time")))
     reduced = {
         "fast": F.max("nth"),
@@ -189,24 +126,24 @@ def pauses(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataFra
         "first_fast": F.min_by("fast", "pt_no"),
     }
     # where the first range with a fast point lets an earlier run end: before that point, which may be in the range before
-    over_at = F.when(_r("fast") > 0, F.when(_r("first_fast"), F.lag(_r("end")).over(_along())).otherwise(_r("head")))
-    out = carried(
+    over_at = F.when(of_part("fast") > 0, F.when(of_part("first_fast"), F.lag(of_part("end")).over(SCAN.along())).otherwise(of_part("head")))
+    out = SCAN.carried(
         out,
         reduced,
         {"over_at": over_at},
         {
-            "began0": F.coalesce(F.last(_r("began"), True).over(_before()), F.lit(0.0)),
-            "runs": _r("fast"),
-            "over0": F.coalesce(F.first(_r("over_at"), True).over(_after()), F.last(_r("end")).over(_along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
-            "next_fast": F.lead(_r("first_fast")).over(_along()),
+            "began0": F.coalesce(F.last(of_part("began"), True).over(SCAN.before()), F.lit(0.0)),
+            "runs": of_part("fast"),
+            "over0": F.coalesce(F.first(of_part("over_at"), True).over(SCAN.after()), F.last(of_part("end")).over(SCAN.whole())),
+            "next_fast": F.lead(of_part("first_fast")).over(SCAN.along()),
         },
     )
-    began = F.coalesce(F.last(F.when(F.col("fast"), F.col("seg_time")), True).over(_so_far()), F.col("began0"))
-    run = Window.partitionBy(*_RANGE, "nth")
+    began = F.coalesce(F.last(F.when(F.col("fast"), F.col("seg_time")), True).over(SCAN.so_far()), F.col("began0"))
+    run = Window.partitionBy(*SCAN.keys, "nth")
     over = F.when(F.col("nth") == F.col("runs"), F.col("over0")).otherwise(F.max("seg_time").over(run))
     out = out.withColumn("lasts", over - began)
     out = out.withColumn("is_stop", F.coalesce(F.col("own_times") & (F.col("lasts") > interval), F.lit(False)))
-    in_range = F.lead("fast").over(_inside())
+    in_range = F.lead("fast").over(SCAN.inside())
     at_end = F.coalesce(in_range, F.col("next_fast"), F.lit(True))
     return out.withColumn("pause", F.when(F.col("is_stop") & at_end, F.col("lasts")).otherwise(0.0)).drop(
         "fast", "nth", "began0", "runs", "next_fast", "over0", "lasts", "mean_speed"
@@ -230,18 +167,18 @@ def cleaned(flagged: DataFrame) -> DataFrame:
     """As ``points.cleaned``: the last kept point, distance and speed are carried from range to range, ends from segment to segment."""
     kept = ~F.col("is_outlier")
     place = F.when(kept, F.struct("lon", "lat", "seg_time"))
-    out = carried(
+    out = SCAN.carried(
         flagged,
-        {"kept": _last(place), "first_stop": F.min_by("is_stop", "pt_no"), "last_stop": F.max_by("is_stop", "pt_no")},
+        {"kept": SCAN.last(place), "first_stop": F.min_by("is_stop", "pt_no"), "last_stop": F.max_by("is_stop", "pt_no")},
         {
-            "kept0": F.last(_r("kept"), True).over(_before()),
-            "stop0": F.lag(_r("last_stop")).over(_along()),
-            "stop1": F.lead(_r("first_stop")).over(_along()),
+            "kept0": F.last(of_part("kept"), True).over(SCAN.before()),
+            "stop0": F.lag(of_part("last_stop")).over(SCAN.along()),
+            "stop1": F.lead(of_part("first_stop")).over(SCAN.along()),
         },
     )
-    ahead = F.coalesce(F.lead("is_stop").over(_inside()), F.col("stop1"))
+    ahead = F.coalesce(F.lead("is_stop").over(SCAN.inside()), F.col("stop1"))
     inner = F.coalesce(F.col("is_stop") & _previous(F.col("is_stop"), "stop0") & ahead, F.lit(False))
-    earlier = F.coalesce(F.last(place, True).over(_inside().rowsBetween(Window.unboundedPreceding, -1)), F.col("kept0"))
+    earlier = F.coalesce(F.last(place, True).over(SCAN.inside().rowsBetween(Window.unboundedPreceding, -1)), F.col("kept0"))
     out = out.withColumns({"is_inner_stop": inner, "\u0002b": earlier})
     b = F.col("\u0002b")
     step = geo.distance(b["lon"], b["lat"], F.col("lon"), F.col("lat"))
@@ -249,14 +186,14 @@ def cleaned(flagged: DataFrame) -> DataFrame:
     ds = F.when(b.isNull(), F.col("seg_dist")).when(F.col("is_inner_stop"), 0.0).otherwise(step)
     own = F.when(b.isNull(), F.col("raw_speed")).when(F.col("is_inner_stop"), 0.0).when(dt >= SHORTEST_STEP, step / dt)
     out = out.withColumns({"kept_ds": F.when(kept, ds), "kept_speed": F.when(kept, own)}).drop("\u0002b", "kept0", "stop0", "stop1")
-    out = carried(
+    out = SCAN.carried(
         out,
-        {"sum": F.sum("kept_ds"), "speed": _last(F.col("kept_speed"))},
-        {"sum0": F.sum(_r("sum")).over(_before()), "v0": F.last(_r("speed"), True).over(_before())},
+        {"sum": F.sum("kept_ds"), "speed": SCAN.last(F.col("kept_speed"))},
+        {"sum0": F.sum(of_part("sum")).over(SCAN.before()), "v0": F.last(of_part("speed"), True).over(SCAN.before())},
     )
     raw = F.col("is_outlier") | ~F.col("own_times")
-    clean = F.when(raw, F.col("seg_dist")).otherwise(_plus(F.col("sum0"), F.sum("kept_ds").over(_so_far())))
-    speed = F.when(raw, F.col("raw_speed")).otherwise(F.coalesce(F.last("kept_speed", True).over(_so_far()), F.col("v0")))
+    clean = F.when(raw, F.col("seg_dist")).otherwise(plus(F.col("sum0"), F.sum("kept_ds").over(SCAN.so_far())))
+    speed = F.when(raw, F.col("raw_speed")).otherwise(F.coalesce(F.last("kept_speed", True).over(SCAN.so_far()), F.col("v0")))
     out = out.withColumns({"clean_dist": clean, "clean_speed": speed}).drop("kept_ds", "kept_speed", "sum0", "v0")
     ends = out.groupBy(*_SEGMENT).agg(F.max_by(F.struct("clean_dist", "seg_time"), "pt_no").alias("end"))
     segments_before = Window.partitionBy("track_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -283,7 +220,7 @@ def enrich_ranges(points: DataFrame, options: TrackOptions = TrackOptions(), siz
     if not options.use_segments:
         ranged = in_ranges(flattened(ranged), size)
     # medians read the points nine times, so they go on from a written table
-    moving = checkpointed(pauses(raw_motion(ranged.repartition(*_RANGE)), options))
+    moving = checkpointed(pauses(raw_motion(ranged.repartition(*SCAN.keys)), options))
     out = cleaned(outliers(moving, options))
     return out.select(*wanted, *[c for c in out.columns if c not in wanted and c not in ("range_no", "opens")])
 

@@ -105,7 +105,7 @@ def _(spark, d):
 
 @register("s03_folders", f"{_R} SELECT file, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS ids FROM r GROUP BY 1")
 def _(spark, d):
-    lines = common.whole_lines(spark, log(spark, d, "CAST(event_id AS STRING)"), _ANY).where("line <> ''")
+    lines = common.lines(spark, log(spark, d, "CAST(event_id AS STRING)"), _ANY).where("line <> ''")
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.col("line").cast("long")).alias("ids")).select(user(), "lines", "ids")
 
 

@@ -1,4 +1,4 @@
-"""What readers share: whole files as lines, and the tables that a reader gives."""
+"""What readers share: the lines of files, and the tables that a reader gives."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators.scan import Scan, of_part
 
 TRACKPOINTS = (
     "file string, track_no int, seg_no int, pt_no int, ts timestamp, lon double, lat double, ele double, speed double, "
@@ -48,12 +49,27 @@ def conformed(spark: SparkSession, df: DataFrame | None, schema: str) -> DataFra
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
 
 
-def whole_lines(spark: SparkSession, path: str, glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
-    """(file, line_no, line) of each text file under a path, folders included; line numbers from 1."""
+#: Lines of a file that is read in splits, each by a task of its own.
+IN_FILE = Scan(("file",), "split", "line_no")
+
+
+def lines(spark: SparkSession, path: str, glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
+    """(file, split, line_no, line) of each text file under a path, folders included; line numbers from 1.
+
+    A file is read in splits, whose first bytes are their numbers. A line's number
+    is its place in the split and the lines of all splits before it. Spark doesn't
+    list files without a byte. ``encoding``: one in which a line break is a byte of
+    its own.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    raw = reader.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("value"))
-    parts = raw.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("nth", "line"))
-    return parts.select("file", (F.col("nth") + 1).alias("line_no"), "line")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    # rows of a split follow each other in one partition, so these numbers are without gaps within it
+    read = reader.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("nth"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    rows = read.select("at.file", "at.split", "nth", "line")
+    placed = IN_FILE.carried(
+        rows, {"n": F.count("*"), "first": F.min("nth")}, {"upto": F.coalesce(F.sum(of_part("n")).over(IN_FILE.before()), F.lit(0)), "first": of_part("first")}
+    )
+    return placed.select("file", "split", (F.col("upto") + F.col("nth") - F.col("first") + 1).cast("int").alias("line_no"), "line")
 
 
 def in_file(order: str = "line_no") -> Window:

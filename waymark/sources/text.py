@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, projection, texts
-from waymark.sources.common import Loaded, first_error, in_file, number, split_valid, whole_lines, without_failed
-
-
-def _lines():
-    return Window.partitionBy("file").orderBy("line_no")
+from waymark.operators.scan import Scan
+from waymark.sources.common import IN_FILE, Loaded, first_error, in_file, lines, number, numbered, split_valid, without_failed
 
 
 def _part(parts: str, i: int) -> Column:
@@ -18,7 +15,7 @@ def _part(parts: str, i: int) -> Column:
 
 
 def _ranked(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1)
+    return Scan(tuple(keys), "split", "line_no").numbered(df, name)
 
 
 def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> Loaded:
@@ -37,14 +34,15 @@ def read_cup(spark: SparkSession, path: str, glob: str = "*.cup") -> Loaded:
     """Waypoints, then tasks whose turnpoints are looked up by name; elevations in m or ft."""
     from waymark.operators.lookup import named_turnpoints
 
-    rows = whole_lines(spark, path, glob).where("trim(line) <> ''")
+    rows = lines(spark, path, glob).where("trim(line) <> ''")
     marker = F.lower("line").rlike("^-+related tasks-+").cast("int")
-    rows = rows.withColumn("in_tasks", F.max(marker).over(_lines())).where(~F.lower("line").rlike("^-+related tasks-+"))
+    rows = IN_FILE.summed(rows, tasks_begun=marker)
+    rows = rows.withColumn("in_tasks", F.least("tasks_begun", F.lit(1))).where(~F.lower("line").rlike("^-+related tasks-+"))
     fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(20))), {"quote": '"'})
     rows = rows.withColumn("c", fields)
     metres = F.when(F.col("c.c5").rlike("(?i)ft$"), 0.3048).otherwise(1.0)
     ele = F.regexp_extract("c.c5", r"^(-?[0-9.]+)", 1).try_cast("double") * metres
-    way = rows.where("in_tasks = 0 and c.c0 <> 'name'").select("file", "line_no", F.col("c.c0").alias("name"), texts.cup_angle(F.col("c.c4")).alias("lon"), texts.cup_angle(F.col("c.c3")).alias("lat"), ele.alias("ele"), F.col("c.c10").alias("description"))
+    way = rows.where("in_tasks = 0 and c.c0 <> 'name'").select("file", "split", "line_no", F.col("c.c0").alias("name"), texts.cup_angle(F.col("c.c4")).alias("lon"), texts.cup_angle(F.col("c.c3")).alias("lat"), ele.alias("ele"), F.col("c.c10").alias("description"))
     good, errors = split_valid(way, "invalid coordinates")
     good = good.withColumn("wpt_no", F.col("line_no"))
     is_task = "in_tasks = 1 and not (line like 'Options%') and not (line like 'ObsZone%')"
@@ -57,11 +55,12 @@ def read_cup(spark: SparkSession, path: str, glob: str = "*.cup") -> Loaded:
 
 def read_dashcam(spark: SparkSession, path: str, glob: str = "*.txt") -> Loaded:
     """A $V02 line starts a track; rows of 13 fields with status A; times in epoch seconds, speeds in hundredths."""
-    rows = whole_lines(spark, path, glob)
-    rows = rows.withColumn("track_no", F.sum(F.startswith("line", F.lit("$V02")).cast("int")).over(_lines()) - 1).withColumn("f", F.split("line", ","))
+    rows = lines(spark, path, glob)
+    rows = IN_FILE.summed(rows, begun=F.startswith("line", F.lit("$V02")).cast("int"))
+    rows = rows.withColumns({"track_no": F.col("begun") - 1, "f": F.split("line", ",")})
     fixes = rows.where((F.size("f") == 13) & (_part("f", 1) == "A") & (F.col("track_no") >= 0))
     pts = fixes.select(
-        "file", "line_no", "track_no", F.lit(0).alias("seg_no"), F.timestamp_seconds(_part("f", 0).try_cast("long")).alias("ts"), number(_part("f", 2)).alias("lat"), number(_part("f", 3)).alias("lon"), (number(_part("f", 4)) * 0.01).alias("speed"), number(_part("f", 6)).alias("ele")
+        "file", "split", "line_no", "track_no", F.lit(0).alias("seg_no"), F.timestamp_seconds(_part("f", 0).try_cast("long")).alias("ts"), number(_part("f", 2)).alias("lat"), number(_part("f", 3)).alias("lon"), (number(_part("f", 4)) * 0.01).alias("speed"), number(_part("f", 6)).alias("ele")
     ).where("not (lon = 0 and lat = 0)")
     good, errors = split_valid(pts, "invalid coordinates")
     return Loaded(trackpoints=_ranked(good, "pt_no", ["file", "track_no"]), errors=errors).completed(spark)
@@ -69,16 +68,15 @@ def read_dashcam(spark: SparkSession, path: str, glob: str = "*.txt") -> Loaded:
 
 def read_itn(spark: SparkSession, path: str, glob: str = "*.itn") -> Loaded:
     """A route a file: lon, lat in hundred-thousandths of degrees, name; fields end with a bar."""
-    rows = whole_lines(spark, path, glob, "ISO-8859-1").where("trim(line) <> ''").withColumn("f", F.split("line", r"\|"))
-    pts = rows.select("file", "line_no", F.lit(0).alias("route_no"), (number(_part("f", 0)) / 1e5).alias("lon"), (number(_part("f", 1)) / 1e5).alias("lat"), _part("f", 2).alias("name"))
+    rows = lines(spark, path, glob, "ISO-8859-1").where("trim(line) <> ''").withColumn("f", F.split("line", r"\|"))
+    pts = rows.select("file", "split", "line_no", F.lit(0).alias("route_no"), (number(_part("f", 0)) / 1e5).alias("lon"), (number(_part("f", 1)) / 1e5).alias("lat"), _part("f", 2).alias("name"))
     good, errors = split_valid(pts, "invalid line")
     return Loaded(routepoints=_ranked(good, "pt_no", ["file"]), errors=errors).completed(spark)
 
 
 def _titled(rows: DataFrame, title: Column, message: str) -> tuple[DataFrame, DataFrame]:
     """Lines of files whose first line is a title of the format; and an error for each other file."""
-    good = F.max(F.when(F.col("line_no") == 1, title)).over(Window.partitionBy("file"))
-    marked = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    marked = IN_FILE.told(rows, good=F.when(F.col("line_no") == 1, title)).withColumn("good", F.coalesce("good", F.lit(False)))
     return marked.where("good").drop("good"), marked.where("not good and line_no = 1").select("file", F.col("line_no").alias("line"), F.lit(message).alias("msg"))
 
 
@@ -93,22 +91,22 @@ def _shifted(points: DataFrame, datums: DataFrame | None) -> tuple[DataFrame, Da
 
 def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None, glob: str | None = None) -> Loaded:
     """Track (plt), route (rte) and waypoint (wpt) files: datum in line 2, elevations in feet (-777: none), times as day numbers."""
-    rows = whole_lines(spark, path, glob or f"*.{kind}", "ISO-8859-1")
+    rows = lines(spark, path, glob or f"*.{kind}", "ISO-8859-1")
     titles = {"plt": "OziExplorer Track Point File", "rte": "OziExplorer Route File", "wpt": "OziExplorer Waypoint File"}
     rows, foreign = _titled(rows, F.startswith(F.trim("line"), F.lit(titles[kind])), f"not a {kind} file")
-    rows = rows.withColumn("datum", F.max(F.when(F.col("line_no") == 2, F.trim("line"))).over(Window.partitionBy("file"))).withColumn("f", F.split("line", ","))
+    rows = IN_FILE.told(rows, datum=F.when(F.col("line_no") == 2, F.trim("line"))).withColumn("f", F.split("line", ","))
     feet = lambda i: F.when(number(_part("f", i)) != -777, number(_part("f", i)) * 0.3048)
     if kind == "plt":
         body = rows.where("line_no > 6 and trim(line) <> ''")
         new = (_part("f", 2) == "1").cast("int")
-        pts = body.select("file", "line_no", "datum", F.lit(0).alias("track_no"), number(_part("f", 1)).alias("lon"), number(_part("f", 0)).alias("lat"), feet(3).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), new.alias("new"))
-        pts = pts.withColumn("seg_no", F.greatest(F.sum("new").over(_lines()) - 1, F.lit(0))).drop("new")
+        pts = body.select("file", "split", "line_no", "datum", F.lit(0).alias("track_no"), number(_part("f", 1)).alias("lon"), number(_part("f", 0)).alias("lat"), feet(3).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), new.alias("new"))
+        pts = IN_FILE.summed(pts, begun=F.col("new")).withColumn("seg_no", F.greatest(F.col("begun") - 1, F.lit(0))).drop("new", "begun")
     elif kind == "rte":
         body = rows.where(_part("f", 0) == "W")
-        pts = body.select("file", "line_no", "datum", number(_part("f", 1)).cast("int").alias("route_no"), number(_part("f", 6)).alias("lon"), number(_part("f", 5)).alias("lat"), _part("f", 4).alias("name"))
+        pts = body.select("file", "split", "line_no", "datum", number(_part("f", 1)).cast("int").alias("route_no"), number(_part("f", 6)).alias("lon"), number(_part("f", 5)).alias("lat"), _part("f", 4).alias("name"))
     else:
         body = rows.where("line_no > 4 and trim(line) <> ''")
-        pts = body.select("file", "line_no", "datum", number(_part("f", 3)).alias("lon"), number(_part("f", 2)).alias("lat"), _part("f", 1).alias("name"), _part("f", 10).alias("description"), feet(14).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), F.col("line_no").alias("wpt_no"))
+        pts = body.select("file", "split", "line_no", "datum", number(_part("f", 3)).alias("lon"), number(_part("f", 2)).alias("lat"), _part("f", 1).alias("name"), _part("f", 10).alias("description"), feet(14).alias("ele"), texts.day_number_time(number(_part("f", 4))).alias("ts"), F.col("line_no").alias("wpt_no"))
     good, errors = split_valid(pts, "invalid coordinates")
     good, unknown = _shifted(good, datums)
     errors = foreign.unionByName(errors if unknown is None else errors.unionByName(unknown))
@@ -124,12 +122,11 @@ def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataF
 
     A file without such records is an error.
     """
-    rows = whole_lines(spark, path, glob or f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
-    datum = F.last(F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))), True).over(_lines())
-    rows = rows.withColumns({"datum": F.coalesce(datum, F.lit("WGS 84")), "letter": F.left(F.trim("line"), F.lit(1))})
-    rows = rows.withColumn("route_no", F.sum((F.col("letter") == "R").cast("int")).over(_lines()) - 1)
-    known = F.max(F.col("letter").isin("T", "W", "R")).over(Window.partitionBy("file"))
-    nothing = rows.withColumn("known", F.coalesce(known, F.lit(False))).where("not known and line_no = 1").select("file", F.col("line_no").alias("line"), F.lit("no valid data found").alias("msg"))
+    rows = lines(spark, path, glob or f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
+    rows = IN_FILE.filled(rows, datum=F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))))
+    rows = rows.withColumns({"datum": F.coalesce("datum", F.lit("WGS 84")), "letter": F.left(F.trim("line"), F.lit(1))})
+    rows = IN_FILE.summed(rows, routes=(F.col("letter") == "R").cast("int")).withColumn("route_no", F.col("routes") - 1)
+    nothing = IN_FILE.told(rows, known=F.col("letter").isin("T", "W", "R")).withColumn("known", F.coalesce("known", F.lit(False))).where("not known and line_no = 1").select("file", F.col("line_no").alias("line"), F.lit("no valid data found").alias("msg"))
     at = F.when(F.col("letter") == "T", 2).otherwise(3)
     rows = rows.where("letter in ('T', 'W')").withColumns(
         {"lat": texts.marked_angle(F.get("f", at), "N", "S"), "lon": texts.marked_angle(F.get("f", at + 1), "E", "W"), "at": at}
@@ -148,10 +145,10 @@ def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataF
 
 def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
     """Waypoint lists: the header says whether places are geographic or UTM; fields are two blanks or more apart."""
-    rows = whole_lines(spark, path, glob)
+    rows = lines(spark, path, glob)
     rows, foreign = _titled(rows, F.trim("line").isin("$FormatGEO", "$FormatUTM"), "not a waypoint list")
-    grammar = F.max(F.when(F.col("line_no") == 1, F.right(F.trim("line"), F.lit(3)))).over(Window.partitionBy("file"))
-    rows = rows.withColumns({"grammar": grammar, "f": F.split(F.trim("line"), r" {2,}")}).where("line_no > 1 and trim(line) <> ''")
+    rows = IN_FILE.told(rows, grammar=F.when(F.col("line_no") == 1, F.right(F.trim("line"), F.lit(3))))
+    rows = rows.withColumn("f", F.split(F.trim("line"), r" {2,}")).where("line_no > 1 and trim(line) <> ''")
 
     def angle(text: Column) -> Column:
         part = F.split(F.trim(text), r"[\s°']+")
@@ -164,7 +161,7 @@ def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
     rows = rows.withColumns({"zone": F.when(is_utm, zone), "x": F.when(is_utm, number(_part("f", 2))), "y": F.when(is_utm, number(_part("f", 3)))})
     u_lon, u_lat = projection.from_utm(F.col("zone"), F.col("x"), F.col("y"))
     pts = rows.select(
-        "file", "line_no", F.col("line_no").alias("wpt_no"), _part("f", 0).alias("name"),
+        "file", "split", "line_no", F.col("line_no").alias("wpt_no"), _part("f", 0).alias("name"),
         # from a generator: filters on the places, which name them several times, stay above these long expressions
         F.inline(F.array(F.struct(F.when(is_utm, u_lon).otherwise(angle(F.get("f", F.lit(2)))).alias("lon"), F.when(is_utm, u_lat).otherwise(angle(F.get("f", F.lit(1)))).alias("lat")))),
         F.when(is_utm, number(_part("f", 4))).otherwise(number(_part("f", 3))).alias("ele"), F.when(is_utm, _part("f", 5)).otherwise(_part("f", 4)).alias("description"),
@@ -175,21 +172,21 @@ def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
 
 def read_igc(spark: SparkSession, path: str, glob: str = "*.igc") -> Loaded:
     """B records with validity A; the date of the H record, or 1970-01-01, goes on a day where the time goes back; C records are the task."""
-    rows = whole_lines(spark, path, glob)
+    rows = lines(spark, path, glob)
     date_text = F.regexp_extract("line", r"^HFDTE(?:DATE:)?\s*(\d{6})", 1)
     year = F.substr(date_text, F.lit(5), F.lit(2)).try_cast("int")
     date = F.when(date_text != "", F.make_date(F.when(year < 80, year + 2000).otherwise(year + 1900), F.substr(date_text, F.lit(3), F.lit(2)).try_cast("int"), F.substr(date_text, F.lit(1), F.lit(2)).try_cast("int")))
-    rows = rows.withColumn("day", F.coalesce(F.last(date, True).over(_lines()), F.lit("1970-01-01").cast("date")))
+    rows = IN_FILE.filled(rows, day=date).withColumn("day", F.coalesce("day", F.lit("1970-01-01").cast("date")))
     cut = lambda at, n: F.substr("line", F.lit(at), F.lit(n))
     fixes = rows.where(F.col("line").rlike(r"^B\d{6}\d{7}[NS]\d{8}[EW]A")).withColumn("tod", cut(2, 2).cast("int") * 3600 + cut(4, 2).cast("int") * 60 + cut(6, 2).cast("int"))
-    back = F.coalesce(F.col("tod") < F.lag("tod").over(_lines()), F.lit(False)).cast("int")
-    fixes = fixes.withColumn("back", back).withColumn("days", F.sum("back").over(_lines()))
+    fixes = IN_FILE.previous(fixes, "earlier", F.col("tod"))
+    fixes = IN_FILE.summed(fixes, days=F.coalesce(F.col("tod") < F.col("earlier"), F.lit(False)).cast("int"))
     pts = fixes.select(
-        "file", "line_no", F.lit(0).alias("track_no"), F.lit(0).alias("seg_no"), texts.igc_angle(cut(16, 9)).alias("lon"), texts.igc_angle(cut(8, 8)).alias("lat"), cut(31, 5).try_cast("double").alias("ele"),
+        "file", "split", "line_no", F.lit(0).alias("track_no"), F.lit(0).alias("seg_no"), texts.igc_angle(cut(16, 9)).alias("lon"), texts.igc_angle(cut(8, 8)).alias("lat"), cut(31, 5).try_cast("double").alias("ele"),
         F.timestamp_seconds(F.unix_seconds(F.date_add("day", F.col("days").cast("int")).cast("timestamp")) + F.col("tod")).alias("ts"),
     )
     good, errors = split_valid(pts, "invalid coordinates")
-    task = rows.where(F.col("line").rlike(r"^C\d{7}[NS]\d{8}[EW]")).select("file", "line_no", F.lit(0).alias("route_no"), texts.igc_angle(cut(10, 9)).alias("lon"), texts.igc_angle(cut(2, 8)).alias("lat"), F.trim(F.substr("line", F.lit(19))).alias("name"))
+    task = rows.where(F.col("line").rlike(r"^C\d{7}[NS]\d{8}[EW]")).select("file", "split", "line_no", F.lit(0).alias("route_no"), texts.igc_angle(cut(10, 9)).alias("lon"), texts.igc_angle(cut(2, 8)).alias("lat"), F.trim(F.substr("line", F.lit(19))).alias("name"))
     task = task.where("not (lon = 0 and lat = 0)")
     return Loaded(trackpoints=_ranked(good, "pt_no", ["file"]), routepoints=_ranked(task, "pt_no", ["file"]), errors=errors).completed(spark)
 
@@ -210,7 +207,7 @@ def read_srt(spark: SparkSession, path: str, glob: str = "*.srt") -> Loaded:
     before = F.lag(F.struct("lon", "lat")).over(in_file())
     same = F.coalesce(F.col("newer") & (before["lon"] == F.col("lon")) & (before["lat"] == F.col("lat")), F.lit(False))
     kept = pts.withColumn("same", same).where("not same").drop("same", "newer")
-    return Loaded(trackpoints=_ranked(kept, "pt_no", ["file"])).completed(spark)
+    return Loaded(trackpoints=numbered(kept, "pt_no", ["file"], "line_no")).completed(spark)
 
 
 def geo_uri(column: Column) -> Column:
