@@ -229,3 +229,18 @@ def test_lines_and_encodings(spark, tmp_path):
     (tmp_path / "latin.txt").write_bytes("é\nß".encode("latin-1"))
     got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in common.lines(spark, str(tmp_path), "*.txt", "ISO-8859-1").collect()}
     assert got == {("latin.txt", 1): "é", ("latin.txt", 2): "ß"}
+
+
+def test_dialects_are_told_by_one_scan(spark, tmp_path):
+    """Files of an extension are read once; a refused one goes on, and the plans of all outputs read what was kept."""
+    ozi = "OziExplorer Waypoint File Version 1.1\nNAD27\nReserved 2\nReserved 3\n1,A,50.0,14.0,45000.5,0,1,3,0,65535,text,0,0,0,-777\n"
+    (tmp_path / "ozi.wpt").write_text(ozi)
+    (tmp_path / "list.wpt").write_text("$FormatGEO\nB  N 50 0  E 14 0  200  x\n")
+    (tmp_path / "wrong.wpt").write_text("$FormatGEO\nB  N 95 0  E 14 0  200  x\n")
+    (tmp_path / "nav.wpt").write_text("G WGS 84\nW C A 50.0N 14.0E 01-JAN-24 10:00:00 5.0 x\n")
+    (tmp_path / "none.wpt").write_text("hello\n")
+    out = files.read(spark, str(tmp_path))
+    assert sorted(r.name for r in out.waypoints.collect()) == ["A", "B", "C"]
+    assert sorted((r.file.rsplit("/", 1)[1], r.msg) for r in out.errors.collect()) == [("none.wpt", "not a wpt file"), ("wrong.wpt", "not a wpt file")]
+    for df in (out.trackpoints, out.routepoints, out.waypoints, out.areas, out.errors):
+        assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()

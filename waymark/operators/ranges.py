@@ -8,14 +8,13 @@ together by segment or track. Medians come from ``selection``. Keys and numbers
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import points as plain
 from waymark.operators import selection
+from waymark.operators.lineage import checkpointed
 from waymark.operators.points import SHORTEST_STEP, TrackOptions, micros
 from waymark.operators.scan import Scan, of_part, plus
 
@@ -27,17 +26,6 @@ _SEGMENT = ("track_id", "seg_no")
 SCAN = Scan(_SEGMENT, "range_no", "pt_no")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a local session without one takes a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def in_ranges(points: DataFrame, size: int = SIZE) -> DataFrame:
     """Add range_no; ranges go by the number of a point, so they are known without counting."""
     return points.withColumn("range_no", F.floor(F.col("pt_no") / size).cast("long"))

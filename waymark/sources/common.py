@@ -53,18 +53,27 @@ def conformed(spark: SparkSession, df: DataFrame | None, schema: str) -> DataFra
 IN_FILE = Scan(("file",), "split", "line_no")
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
+def _decoded(line: Column, encoding: str | None) -> Column:
+    return line if encoding is None else F.decode(line, encoding)
+
+
+def lines_of(spark: SparkSession, path: str, glob: str, encoding: str, rows: DataFrame | None) -> DataFrame:
+    """``rows``, lines as bytes that have been read before, as texts; or the lines under a path."""
+    return lines(spark, path, glob, encoding) if rows is None else rows.withColumn("line", _decoded(F.col("line"), encoding))
+
+
+def lines(spark: SparkSession, path: str, glob: str = "*", encoding: str | None = "UTF-8") -> DataFrame:
     """(file, split, line_no, line) of each text file under a path, folders included; line numbers from 1.
 
     A file is read in splits, whose first bytes are their numbers. A line's number
     is its place in the split and the lines of all splits before it. Spark doesn't
     list files without a byte. ``encoding``: one in which a line break is a byte of
-    its own.
+    its own; None gives lines as bytes.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     # rows of a split follow each other in one partition, so these numbers are without gaps within it
-    read = reader.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("nth"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    read = reader.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("nth"), _decoded(F.col("value").cast("binary"), encoding).alias("line"))
     rows = read.select("at.file", "at.split", "nth", "line")
     placed = IN_FILE.carried(
         rows, {"n": F.count("*"), "first": F.min("nth")}, {"upto": F.coalesce(F.sum(of_part("n")).over(IN_FILE.before()), F.lit(0)), "first": of_part("first")}

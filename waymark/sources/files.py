@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import fields
+from dataclasses import dataclass, fields
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.lineage import checkpointed
 from waymark.sources import geojson, nmea, text, xml
-from waymark.sources.common import ERRORS, Loaded, conformed
+from waymark.sources.common import ERRORS, Loaded, conformed, lines
 
-Reader = Callable[[SparkSession, str], Loaded]
+Reader = Callable[..., Loaded]
 
-#: Readers by extension, in the order in which they are tried: the first that reads a file without an error has it.
-READERS: dict[str, Sequence[Reader]] = {
+
+@dataclass(frozen=True)
+class Dialect:
+    """A reader of one of several formats with an extension, and what tells its files: how the first line begins, or a line by its first letter."""
+
+    read: Reader
+    titles: tuple[str, ...] = ()
+    letters: tuple[str, ...] = ()
+
+
+_LETTERS = ("T", "W", "R")
+#: Readers by extension, those of several dialects in the order in which they are tried.
+READERS: dict[str, Sequence[Reader | Dialect]] = {
     "gpx": (xml.read_gpx,),
     "tcx": (xml.read_tcx,),
     "kml": (xml.read_kml,),
@@ -32,21 +44,47 @@ READERS: dict[str, Sequence[Reader]] = {
     "srt": (text.read_srt,),
     "nmea": (nmea.read_nmea,),
     "plt": (partial(text.read_ozi, kind="plt"),),
-    "rte": (partial(text.read_twonav, kind="rte"), partial(text.read_ozi, kind="rte")),
-    "wpt": (text.read_gpsdump, partial(text.read_twonav, kind="wpt"), partial(text.read_ozi, kind="wpt")),
+    "rte": (Dialect(partial(text.read_twonav, kind="rte"), letters=_LETTERS), Dialect(partial(text.read_ozi, kind="rte"), ("OziExplorer Route File",))),
+    "wpt": (
+        Dialect(text.read_gpsdump, ("$FormatGEO", "$FormatUTM")),
+        Dialect(partial(text.read_twonav, kind="wpt"), letters=_LETTERS),
+        Dialect(partial(text.read_ozi, kind="wpt"), ("OziExplorer Waypoint File",)),
+    ),
     "trk": (partial(text.read_twonav, kind="trk"),),
 }
 
 
-def tried(readers: Sequence[Reader], spark: SparkSession, path: str) -> Loaded:
-    """Files with the first of the readers that has no error for them; what none reads is an error of the last."""
+def recognised(rows: DataFrame, dialects: Sequence[Dialect]) -> DataFrame:
+    """(file, dialect): number of the dialect by a file's first line, else by letters, else the last."""
+    first = F.trim(F.min_by(F.decode("line", "ISO-8859-1"), "line_no"))
+    letters = F.max(F.left(F.trim(F.decode("line", "ISO-8859-1")), F.lit(1)).isin(*[x for d in dialects for x in d.letters]))
+    known = rows.groupBy("file").agg(first.alias("title"), letters.alias("lettered"))
+    dialect = F.lit(None).cast("int")
+    for k, d in enumerate(dialects):
+        for title in d.titles:
+            dialect = F.when(F.startswith("title", F.lit(title)), k).otherwise(dialect)
+    lettered = next((k for k, d in enumerate(dialects) if d.letters), len(dialects) - 1)
+    return known.select("file", F.coalesce(dialect, F.when(F.col("lettered"), lettered), F.lit(len(dialects) - 1)).alias("dialect"))
+
+
+def tried(readers: Sequence[Reader | Dialect], spark: SparkSession, path: str, kind: str) -> Loaded:
+    """All files of an extension. Those of several dialects are read once, and the lines kept with the dialect of their file.
+
+    A file that its reader refuses goes on to the dialects after it; what none
+    reads is an error of the last.
+    """
+    if not isinstance(readers[0], Dialect):
+        return readers[0](spark, path)
+    raw = lines(spark, path, f"*.{kind}", None)
+    rows = checkpointed(raw.join(recognised(raw, readers), "file"))
     parts, refused = [], None
-    for k, read in enumerate(readers):
-        got = read(spark, path)
+    for k, d in enumerate(readers):
+        mine = rows.where(F.col("dialect") == k)
         if refused is not None:
-            got = _each(got, lambda df, files: df.join(files, "file", "left_semi"), refused)
+            mine = mine.unionByName(rows.where(F.col("dialect") < k).join(refused, "file", "left_semi"))
+        got = d.read(spark, path, rows=mine.drop("dialect"))
         if k < len(readers) - 1:
-            refused = got.errors.select("file").distinct()
+            refused = checkpointed(got.errors.select("file").distinct())
             got = _each(got, lambda df, files: df.join(files, "file", "left_anti"), refused)
         parts.append(got)
     return reduce(Loaded.union, parts)
@@ -68,7 +106,7 @@ def read(spark: SparkSession, path: str, kinds: list[str] | None = None) -> Load
         kind = F.lower(F.regexp_extract("file", "[.]([A-Za-z0-9]+)$", 1))
         kinds = sorted(r["kind"] for r in names.select(kind.alias("kind")).distinct().collect() if r["kind"] in READERS)  # a handful of extensions
         unknown = names.where(~kind.isin(list(READERS))).select("file", F.lit("unknown format").alias("msg"))
-    parts = [tried(READERS[k], spark, path) for k in kinds]
+    parts = [tried(READERS[k], spark, path, k) for k in kinds]
     if unknown is not None:
         parts.append(Loaded(errors=conformed(spark, unknown, ERRORS)).completed(spark))
     return reduce(Loaded.union, parts) if parts else Loaded().completed(spark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, projection, texts
 from waymark.operators.scan import Scan
-from waymark.sources.common import IN_FILE, Loaded, first_error, in_file, lines, number, numbered, split_valid, without_failed
+from waymark.sources.common import IN_FILE, Loaded, first_error, in_file, lines, lines_of, number, numbered, split_valid, without_failed
 
 
 def _part(parts: str, i: int) -> Column:
@@ -89,9 +89,9 @@ def _shifted(points: DataFrame, datums: DataFrame | None) -> tuple[DataFrame, Da
     return plain.unionByName(good), unknown.select("file", F.col("line_no").alias("line"), F.concat(F.col("datum"), F.lit(": unknown datum")).alias("msg"))
 
 
-def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None, glob: str | None = None) -> Loaded:
+def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None = None, glob: str | None = None, rows: DataFrame | None = None) -> Loaded:
     """Track (plt), route (rte) and waypoint (wpt) files: datum in line 2, elevations in feet (-777: none), times as day numbers."""
-    rows = lines(spark, path, glob or f"*.{kind}", "ISO-8859-1")
+    rows = lines_of(spark, path, glob or f"*.{kind}", "ISO-8859-1", rows)
     titles = {"plt": "OziExplorer Track Point File", "rte": "OziExplorer Route File", "wpt": "OziExplorer Waypoint File"}
     rows, foreign = _titled(rows, F.startswith(F.trim("line"), F.lit(titles[kind])), f"not a {kind} file")
     rows = IN_FILE.told(rows, datum=F.when(F.col("line_no") == 2, F.trim("line"))).withColumn("f", F.split("line", ","))
@@ -117,12 +117,12 @@ def read_ozi(spark: SparkSession, path: str, kind: str, datums: DataFrame | None
     return Loaded(waypoints=good, errors=errors).completed(spark)
 
 
-def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataFrame | None = None, glob: str | None = None) -> Loaded:
+def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataFrame | None = None, glob: str | None = None, rows: DataFrame | None = None) -> Loaded:
     """Records by letter: G sets the datum of later lines, U the projection, T are trackpoints, W waypoints, and R begins a route of the waypoints after it.
 
     A file without such records is an error.
     """
-    rows = lines(spark, path, glob or f"*.{kind}", "ISO-8859-1").withColumn("f", F.split(F.trim("line"), r"\s+"))
+    rows = lines_of(spark, path, glob or f"*.{kind}", "ISO-8859-1", rows).withColumn("f", F.split(F.trim("line"), r"\s+"))
     rows = IN_FILE.filled(rows, datum=F.when(F.col("line").rlike("^G "), F.trim(F.substr("line", F.lit(3)))))
     rows = rows.withColumns({"datum": F.coalesce("datum", F.lit("WGS 84")), "letter": F.left(F.trim("line"), F.lit(1))})
     rows = IN_FILE.summed(rows, routes=(F.col("letter") == "R").cast("int")).withColumn("route_no", F.col("routes") - 1)
@@ -143,9 +143,9 @@ def read_twonav(spark: SparkSession, path: str, kind: str = "trk", datums: DataF
     return Loaded(trackpoints=tracks, waypoints=way, routepoints=route, errors=errors).completed(spark)
 
 
-def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt") -> Loaded:
+def read_gpsdump(spark: SparkSession, path: str, glob: str = "*.wpt", rows: DataFrame | None = None) -> Loaded:
     """Waypoint lists: the header says whether places are geographic or UTM; fields are two blanks or more apart."""
-    rows = lines(spark, path, glob)
+    rows = lines_of(spark, path, glob, "UTF-8", rows)
     rows, foreign = _titled(rows, F.trim("line").isin("$FormatGEO", "$FormatUTM"), "not a waypoint list")
     rows = IN_FILE.told(rows, grammar=F.when(F.col("line_no") == 1, F.right(F.trim("line"), F.lit(3))))
     rows = rows.withColumn("f", F.split(F.trim("line"), r" {2,}")).where("line_no > 1 and trim(line) <> ''")
