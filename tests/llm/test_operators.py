@@ -800,3 +800,13 @@ def test_html_sections_named_by_their_topic():
         assert html_text.main_text(page.format(name, "short")) == "Start. End."
         assert html_text.main_text(page.format(name, f"<a href='/x'>{text}</a>")) == "Start. End."
     assert html_text.main_text(page.format("comments", text)) == html_text.main_text(page.format("related-comments", text)) == "Start. End."
+
+
+def test_licenses_of_a_very_long_text(spark):
+    """Megabytes of licence texts: every unit is found, in a time that grows with the text, in the JVM alone."""
+    notes = "\n\n".join(t for texts in licenses.TEMPLATES.values() for t in texts)
+    one = spark.createDataFrame([("/a", notes)], "path string, text string")
+    twice = spark.createDataFrame([("/a", (notes + "\n\n") * 100)], "path string, text string")
+    single = licenses.notices(one).where("kind = 'line'").groupBy("license").count().collect()
+    many = {r.license: r["count"] for r in licenses.notices(twice).where("kind = 'line'").groupBy("license").count().collect()}
+    assert many == {r.license: 100 * r["count"] for r in single}

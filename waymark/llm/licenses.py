@@ -9,6 +9,7 @@ the nearest ancestor directory with a licence file, found by joins on paths.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -45,6 +46,11 @@ def _known(values: list) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _constant(value: list | dict, kind: str) -> Column:
+    """A literal of a large array or map: Spark folds it into one value, where one expression an entry would burden every step of planning."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def document_frequencies(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
     """Number of files, and in how many of them each template word is; over all files."""
     hits = F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), _known(words))
@@ -77,16 +83,29 @@ def _may_reach(terms: Column, vectors: list[dict[str, float]], threshold: float,
     every other word counts as one of weight ``rare``.
     """
     squares = [{w: x * x / sum(y * y for y in v.values()) for w, x in v.items()} for v in vectors]
-    templates = F.array(*[F.create_map(*[c for w, x in sorted(v.items()) for c in (F.lit(w), F.lit(x))]) for v in squares])
     words = sorted({w for v in vectors for w in v})
     some = F.arrays_overlap(terms, _known(sorted(_distinctive(vectors, threshold))))
     hits = F.array_intersect(terms, _known(words))
-    enough = F.exists(templates, lambda t: F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(t, w), F.lit(0.0))) >= threshold * threshold - 1e-9)
+    # one look-up a word gives its part of every template
+    parts = _constant({w: [v.get(w, 0.0) for v in squares] for w in words}, "map<string,array<double>>")
+    none = _constant([0.0] * len(squares), "array<double>")
+    held = F.aggregate(hits, none, lambda acc, w: F.zip_with(acc, F.try_element_at(parts, w), lambda x, y: x + F.coalesce(y, F.lit(0.0))))
+    enough = F.exists(held, lambda x: x >= threshold * threshold - 1e-9)
     if idf is None:
         return F.when(some, enough).otherwise(False)
-    weight = F.create_map(*[c for w in words for c in (F.lit(w), F.lit(idf[w]))])
-    # how often a template word occurs: what its removal leaves out
-    squared = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.pow((F.size(terms) - F.size(F.array_remove(terms, w))) * F.try_element_at(weight, w), F.lit(2.0)))
+    weight = _constant({w: idf[w] for w in words}, "map<string,double>")
+    # template words in order, so that one pass counts each: a run of n weighs (n * weight)^2
+    runs = F.array_sort(F.filter(terms, lambda w: w.isin(words)))
+    start = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def run(acc: Column) -> Column:
+        return acc["sum"] + F.coalesce(F.pow(acc["n"] * F.try_element_at(weight, acc["word"]), F.lit(2.0)), F.lit(0.0))
+
+    def count(acc: Column, w: Column) -> Column:
+        more = F.struct(acc["word"].alias("word"), (acc["n"] + 1.0).alias("n"), acc["sum"].alias("sum"))
+        return F.when(w == acc["word"], more).otherwise(F.struct(w.alias("word"), F.lit(1.0).alias("n"), run(acc).alias("sum")))
+
+    squared = F.aggregate(runs, start, count, run)
     others = F.size(F.array_distinct(terms)) - F.size(hits) - F.array_contains(terms, "").cast("int")
     fits = squared * (1 - threshold * threshold) + 1e-6 >= threshold * threshold * rare * rare * others
     return F.when(some, F.when(enough, fits).otherwise(False)).otherwise(False)
@@ -134,7 +153,8 @@ def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = Non
 
     text = F.coalesce("text", F.lit(""))
     near = files.select("path", text.alias("text")).where(_may_reach(terms_of(F.col("text")), vectors, threshold))
-    units = near.select("path", F.length("text").alias("size"), F.explode(units_of(F.col("text"))).alias("u"))
+    # the size is a column before units are cut: what is asked of the text behind that would copy it to each unit
+    units = near.select("path", "text", F.length("text").alias("size")).select("path", "size", F.explode(units_of(F.col("text"))).alias("u"))
     units = units.select("path", "size", "u.kind", "u.nth", F.length("u.unit").alias("chars"), terms_of(F.col("u.unit")).alias("terms"))
     units = units.where(_may_reach(F.col("terms"), vectors, threshold, idf, rare))
 
