@@ -52,6 +52,21 @@ _AWAY = re.compile(
 _TOPIC = re.compile(
     r"(?<![^\s_-])(?:discussion|related|search|notice|notices|alert|recommendations|responses|navigation|advertising|promotion|social|sharing)(?![^\s_-])", re.I
 )
+#: Words beside a topic word that make a block furniture of the page: related-posts, social-buttons.
+_FURNITURE = frozenset(
+    "post posts article articles story stories link links item items list lists box bar block blocks button buttons icon icons media content contents section sections widget "
+    "widgets form forms result results wrapper wrap container inner outer area panel row col group top bottom left right header head title text more".split()
+)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Names of readers' comments that are written in one word.
+_COMPOUND = re.compile(
+    r"(?:^|[\s_-])(?:(?:users?|readers?|visitors?|guests?|post|article|page)comments?|comments?(?:section|area|box|block|thread|threads|wrapper|wrap|container|form|feed|body|text|author|meta))(?:$|[\s_-])",
+    re.I,
+)
+#: A heading over what readers wrote; the others need a number, or a place outside a marked article.
+_READERS = re.compile(r"\W*(?:\d+\s+)?(?:(?:all|latest|recent|your|reader|readers'?|reader's|user|visitor)\s+)?(?:comments?|replies)(?:\s*\(?\d+\)?)?\W*", re.I)
+_RESPONSES = re.compile(r"\W*(?:(\d+)\s+)?(?:reader\s+|user\s+)?(?:responses|reactions|thoughts)(?:\s*\(?(\d+)\)?)?\W*", re.I)
+_HEADINGS = {f"h{k}": k for k in range(1, 7)}
 #: Outside the article these head the page, inside they head the article.
 _HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Of these, the ones that stand in the middle of articles: no end of the text is near.
@@ -60,6 +75,27 @@ _KEPT = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|post-conten
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named_away(value: str) -> bool:
+    return bool(_AWAY.search(value) or _COMPOUND.search(value))
+
+
+def _may_be_topic(value: str, in_article: bool) -> bool:
+    """Whether names of furniture may name a topic. Outside a marked article only together with a word that is none of furniture."""
+    if _named_away(_TOPIC.sub(" ", value)):
+        return False
+    if in_article:
+        return True
+    return all(any(w and w not in _FURNITURE and not _TOPIC.fullmatch(w) for w in re.split(r"[_-]+", name.lower())) for name in value.split() if _TOPIC.search(name))
+
+
+def _heads_comments(text: str, in_article: bool) -> bool:
+    """Whether a heading stands over what readers wrote."""
+    if _READERS.fullmatch(text):
+        return True
+    found = _RESPONSES.fullmatch(text)
+    return bool(found and (found[1] or found[2] or not in_article))
+
+
 def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int, bool]:
     """Whether the element is never article text; how surely it marks the article (0 to 2); whether its own text is still to decide."""
     doubt = False
@@ -71,9 +107,10 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, int, boo
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
                 away = True
             elif key in ("class", "id", "role", "aria-label"):
-                if in_article and key != "role" and name not in _INLINE and _AWAY.search(value) and not _AWAY.search(_TOPIC.sub(" ", value)):
+                value = _CAMEL.sub("-", value)
+                if key != "role" and name not in _INLINE and name not in ("html", "body") and _AWAY.search(value) and _may_be_topic(value, in_article):
                     doubt = True
-                elif name not in ("html", "body") and (_AWAY.search(value) or not in_article and not mark and _HEADS.search(value)):
+                elif name not in ("html", "body") and (_named_away(value) or not in_article and not mark and _HEADS.search(value)):
                     away = True
                 elif key == "role" and value == "article":
                     mark = 2
@@ -93,6 +130,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int, int]] = []  # name, never text, surest mark around, first line if its text is to decide (or -1)
     away = links = linked = 0
+    silenced: list[tuple[int, int]] = []  # depth of an element that a heading over comments has ended, and the heading's rank
     marked = lambda: stack[-1][2] if stack else 0
 
     def flush() -> None:
@@ -108,6 +146,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if stack[-1][3] >= 0:
             flush()
         name, was_away, _, first = stack.pop()
+        if silenced and silenced[-1][0] == len(stack):
+            silenced.pop()
         if first >= 0 and max(window_sums(plain_sizes(lines[first:])), default=0) < DENSE:
             del lines[first:]
         away -= was_away
@@ -135,9 +175,19 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 while stack[-1][0] != name:
                     leave()
                 leave()
+                # what follows a heading over comments, up to the end of the element or a heading of its rank, is no text
+                if name in _HEADINGS and stack and not away and lines and _heads_comments(lines[-1][0], marked() > 0):
+                    lines[-1] = ("", marked(), 0)
+                    silenced.append((len(stack) - 1, _HEADINGS[name]))
+                    stack[-1] = (stack[-1][0], True, *stack[-1][2:])
+                    away += 1
         elif name not in _VOID and not tag[4].endswith("/"):
             while stack and stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
                 leave()
+            if silenced and silenced[-1][0] == len(stack) - 1 and _HEADINGS.get(name, 9) <= silenced[-1][1]:
+                silenced.pop()
+                stack[-1] = (stack[-1][0], False, *stack[-1][2:])
+                away -= 1
             is_away, mark, doubt = _judge(name, tag[4], marked() > 0)
             if is_away and lines and lines[-1][0] and not _WITHIN.search(" ".join(re.findall(r"[\"'=]([^\"'=]+)", tag[4]))):
                 lines.append(("", marked(), 0))
