@@ -205,3 +205,21 @@ def test_positions_are_those_of_markers(spark):
     assert got.pop((1, 1e9)) == got.pop((9, 1.0)) == (None, None)
     assert {at: p for (_, at), p in got.items()} == want and len(want) == 15
     assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("spot", [True, False])
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark, spot):
+    """Nine tenths of the points in one cell, or in one place: no part holds over a twentieth of all, and nothing is lost."""
+    n, rng = 4000, random.Random(2)
+    near = lambda: (14.005, 50.005) if spot else (14 + rng.random() * 0.02, 50 + rng.random() * 0.02)
+    rows = [(i, *(near() if i % 10 else (rng.uniform(13, 15), rng.uniform(49, 51)))) for i in range(n)]
+    points = spark.createDataFrame(rows, "wpt_id long, lon double, lat double")
+    boxes = [(k, west, south, west + w, south + w) for k, (west, south, w) in enumerate([(14.0, 50.0, 0.006), (13.99, 49.99, 0.03), (13.0, 49.0, 2.0), (-170.0, -80.0, 160.0)])]
+    crowded = spatial.crowded_cells(points, "lon", "lat", [0, 1, 2], most=100)
+    parts = spatial.in_parts(points, crowded, "lon", "lat", [0, 1, 2]).groupBy("grid", "cell", "cell_part").count()
+    assert parts.agg(F.max("count")).first()[0] < n / 20
+    frame = spark.createDataFrame(boxes, "box long, west double, south double, east double, north double")
+    got = sorted((r.box, r.wpt_id) for r in spatial.boxes_with_points(frame, points, most=100).collect())
+    want = sorted((b, i) for b, w, s, e, t in boxes for i, lon, lat in rows if w <= lon <= e and s <= lat <= t)
+    assert got == want
+    assert sorted((r.box, r.wpt_id) for r in spatial.boxes_with_points(frame, points).collect()) == want

@@ -5,8 +5,9 @@ they touch, points have one cell, and an equi-join on the cell is followed by th
 exact test. Boxes over too many cells (near the poles they span all longitudes)
 are spread over cells of a coarser grid instead, so no box is ever compared with
 all points unless it covers most of the world. Points are copied only to the
-grids that boxes use; cells of the coarser ones, which may hold a large part of
-all points, are salted.
+grids that boxes use. The points of each cell are counted first; a cell with many
+is split into as many parts as it needs, its points dealt to one of them each, its
+boxes to all. So the largest share of a task doesn't grow with a crowded cell.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.operators import arcs
+from waymark.operators.lineage import checkpointed
 
 #: Default distance in metres in which points of interest are looked for.
 RADIUS = 1000.0
-#: Cell sizes in degrees from fine to coarse, salts of a cell of each, and cells that a box may touch before it goes to the next.
+#: Cell sizes in degrees from fine to coarse, and cells that a box may touch before it goes to the next.
 GRIDS = (0.02, 1.0, 30.0)
-_SALTS = (1, 16, 64)
 _MOST_CELLS = 64
+#: Points that a part of a cell holds, and crowded cells that are broadcast at most.
+CELL_POINTS = 1 << 17
+_BROADCAST_CELLS = 100_000
 _SIDES = ("west", "south", "east", "north")
 
 
@@ -56,34 +60,59 @@ def grids_of(boxes: DataFrame) -> list[int]:
     return sorted(r["grid"] for r in _on_grids(boxes.select(*_SIDES)).select("grid").distinct().collect())  # at most three
 
 
-def boxes_with_points(boxes: DataFrame, points: DataFrame, lon: str = "lon", lat: str = "lat", grids: Sequence[int] | None = None) -> DataFrame:
+def _in_cells(points: DataFrame, lon: str, lat: str, grids: Sequence[int]) -> DataFrame:
+    """Points once for each grid, with grid and cell."""
+    def place(k: int) -> Column:
+        cell = F.struct(F.floor(F.col(lon) / GRIDS[k]).cast("int").alias("x"), F.floor(F.col(lat) / GRIDS[k]).cast("int").alias("y"))
+        return F.struct(F.lit(k).alias("grid"), cell.alias("cell"))
+
+    return points.select("*", F.explode(F.array(*map(place, grids))).alias("at")).select(*points.columns, "at.grid", "at.cell")
+
+
+def crowded_cells(points: DataFrame, lon: str, lat: str, grids: Sequence[int], most: int = CELL_POINTS) -> DataFrame:
+    """(grid, cell, parts) of the cells with more than ``most`` points, an aggregate over all points; there is at most one for ``most`` points a grid."""
+    counts = _in_cells(points.select(lon, lat), lon, lat, grids).groupBy("grid", "cell").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > most).select("grid", "cell", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def in_parts(points: DataFrame, crowded: DataFrame, lon: str, lat: str, grids: Sequence[int]) -> DataFrame:
+    """Points in their cells and in one part of each, by all their columns."""
+    names = [F.col(c) for c, kind in points.dtypes if not kind.startswith("map")]
+    known = _in_cells(points, lon, lat, grids).join(crowded, ["grid", "cell"], "left")
+    part = F.pmod(F.xxhash64(*names), F.coalesce("parts", F.lit(1))).cast("int")
+    return known.withColumn("cell_part", part).drop("parts")
+
+
+def boxes_with_points(boxes: DataFrame, points: DataFrame, lon: str = "lon", lat: str = "lat", grids: Sequence[int] | None = None, most: int = CELL_POINTS) -> DataFrame:
     """All columns of both for each point inside a closed box (west, south, east, north); boxes may cross the date line.
 
     Each row of one meets each row of the other once. ``grids``: those that the
     boxes use, by default looked up before the points are read; boxes of other
-    grids would find nothing.
+    grids would find nothing. ``most``: points that one part of a cell holds.
     """
     grids = grids_of(boxes) if grids is None else list(grids)
     names = [c for c in boxes.columns if c not in _SIDES]
     level = _on_grids(boxes)
     sides = [F.col(f"b.{c}") for c in _SIDES]
-    cells, salts = F.lit(None), F.lit(1)
+    cells = F.lit(None)
     for k in grids:
         cells = F.when(F.col("grid") == k, _cells(*sides, GRIDS[k])).otherwise(cells)
-        salts = F.when(F.col("grid") == k, _SALTS[k]).otherwise(salts)
     if not grids:
         return level.select(*names).limit(0).crossJoin(points.limit(0))
-    spread = level.select(*names, "b", "grid", F.explode(cells).alias("cell"), salts.alias("salts")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
-
-    def place(k: int) -> Column:
-        cell = F.struct(F.floor(F.col(lon) / GRIDS[k]).cast("int").alias("x"), F.floor(F.col(lat) / GRIDS[k]).cast("int").alias("y"))
-        salt = F.pmod(F.xxhash64(lon, lat), F.lit(_SALTS[k])).cast("int") if _SALTS[k] > 1 else F.lit(0)
-        return F.struct(F.lit(k).alias("grid"), cell.alias("cell"), salt.alias("salt"))
-
-    located = points.select("*", F.explode(F.array(*map(place, grids))).alias("at")).select(*[F.col(c) for c in points.columns], "at.grid", "at.cell", "at.salt")
+    crowded = checkpointed(crowded_cells(points, lon, lat, grids, most))
+    n_crowded = crowded.count()
+    crowded = F.broadcast(crowded) if n_crowded <= _BROADCAST_CELLS else crowded
+    spread = level.select(*names, "b", "grid", F.explode(cells).alias("cell"))
+    keys = ["grid", "cell"]
+    if n_crowded:
+        parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        spread = spread.join(crowded, keys, "left").withColumn("cell_part", F.explode(parts)).drop("parts")
+        located, keys = in_parts(points, crowded, lon, lat, grids), [*keys, "cell_part"]
+    else:
+        located = _in_cells(points, lon, lat, grids)
     inside = geo.holds({c: F.col(f"b.{c}") for c in _SIDES}, F.col(lon), F.col(lat))
     # a box's cells are different, a point has one cell of its grid, and halves at the date line share no point
-    return spread.join(located, ["grid", "cell", "salt"]).where(inside).drop("grid", "cell", "salt", "b")
+    return spread.join(located, keys).where(inside).drop(*keys, "b")
 
 
 def boxes_with_boxes(boxes: DataFrame, others: DataFrame) -> DataFrame:
