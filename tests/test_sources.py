@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from waymark.sources import common, files, geojson, nmea, terrain, text, xml
+from waymark.sources import common, files, geojson, nmea, pull, terrain, text, xml
 
 GPX = """<?xml version="1.0"?><gpx xmlns:gpxtpx="urn:x"><wpt lat="50.1" lon="14.2"><ele>200</ele><name>Hut</name><link href="http://a"><text>A</text></link></wpt>
 <wpt lat="95" lon="14.2"><name>bad</name></wpt>
@@ -244,3 +244,34 @@ def test_dialects_are_told_by_one_scan(spark, tmp_path):
     assert sorted((r.file.rsplit("/", 1)[1], r.msg) for r in out.errors.collect()) == [("none.wpt", "not a wpt file"), ("wrong.wpt", "not a wpt file")]
     for df in (out.trackpoints, out.routepoints, out.waypoints, out.areas, out.errors):
         assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_xml_is_parsed_once(spark, tmp_path):
+    """One pass gives the rows of all tags; the plans of all outputs read what it kept. Splits don't matter, and what isn't well-formed is an error with its line."""
+    points = "".join(f'<trkpt lat="50.{i:03d}" lon="14"><ele>{i}</ele></trkpt>\n' for i in range(200))
+    whole = f'<?xml version="1.0"?>\n<gpx xmlns:x="urn:x">\n<wpt lat="1" lon="2"><name>A &amp; "B" &lt;c&gt;</name></wpt>\n<trk><trkseg>\n{points}</trkseg><trkseg/><trkseg><trkpt lat="51" lon="14"/></trkseg></trk>\n<trk><trkseg><trkpt lat="52" lon="14"><extensions><x:hr>99</x:hr></extensions></trkpt></trkseg></trk></gpx>'
+    (tmp_path / "a.gpx").write_text(whole)
+    (tmp_path / "cut.gpx").write_text(whole[:2000])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = xml.read_gpx(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for df in (out.trackpoints, out.routepoints, out.waypoints, out.areas, out.errors):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "MapInArrow" not in plan
+    got = {(r.track_no, r.seg_no, r.pt_no): r for r in out.trackpoints.collect() if r.file.endswith("a.gpx")}
+    assert len(got) == 202 and got[0, 0, 199].ele == 199 and got[0, 2, 0].lat == 51 and got[1, 0, 0].heart_rate == 99
+    assert {r.name for r in out.waypoints.collect()} == {'A & "B" <c>'}
+    (error,) = out.errors.collect()
+    assert error.file.endswith("cut.gpx") and error.line == whole[:2000].count("\n") + 1
+
+
+def test_pulled_elements(spark, tmp_path):
+    (tmp_path / "a.xml").write_bytes('<?xml version="1.0" encoding="ISO-8859-1"?><r><b i="1">é<b i="2"/></b><g><b/><c/><b>x</b></g></r>'.encode("latin-1"))
+    (tmp_path / "b.xml").write_text("no xml")
+    found = pull.elements(spark, str(tmp_path), "*.xml", {"b": ("g",)}).collect()
+    assert sorted((r.row_no, list(r.at), r.xml) for r in found if r.tag == "b") == [(0, [0, 0], '<b i="1">é<b i="2"></b></b>'), (1, [0, 0], "<b></b>"), (2, [0, 1], "<b>x</b>")]
+    assert [r.file[-5:] for r in found if r.tag == pull.ERROR] == ["b.xml"]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.sources.common import Loaded, numbered
+from waymark.sources.common import Loaded
+from waymark.sources.pull import broken, elements, of_tag
 
 _SENSORS = "hr:double,heartrate:double,temp:double,atemp:double,wtemp:double,cad:double,cadence:double,power:double,PowerInWatts:double,speed:double"
 _POINT = (
@@ -15,14 +16,6 @@ _POINT = (
 )
 
 
-def rows(spark: SparkSession, path: str, tag: str, schema: str, glob: str) -> DataFrame:
-    """One row an element at any depth, with its file and its number in the file."""
-    reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "PERMISSIVE")
-    df = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).schema(schema).load(path)
-    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth"))
-    return numbered(df, "row_no", ["file"], "nth")
-
-
 def _time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(F.concat(text, F.lit("Z"))))
 
@@ -32,6 +25,12 @@ def _sensor(p: Column, *names: str) -> Column:
     return F.coalesce(*[x for n in names for x in (p["extensions"]["TrackPointExtension"][n], p["extensions"][n])])
 
 
+def _structs(df: DataFrame, *places: Column) -> DataFrame:
+    """File, places and the element itself as p."""
+    own = [c for c in df.columns if c not in ("file", "row_no", "at")]
+    return df.select("file", *places, F.struct(*own).alias("p"))
+
+
 def _gpx_point(p: str) -> list[Column]:
     c = F.col(p)
     return [
@@ -47,9 +46,9 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> Loaded:
 
     Points out of range are errors of their file and left out.
     """
-    trk = rows(spark, path, "trk", f"name string, trkseg array<struct<trkpt:array<struct<{_POINT}>>>>", glob)
-    seg = trk.select("file", F.col("row_no").alias("track_no"), F.posexplode("trkseg").alias("seg_no", "seg"))
-    pts = seg.select("file", "track_no", "seg_no", F.posexplode("seg.trkpt").alias("pt_no", "p"))
+    found = elements(spark, path, glob, {"trkpt": ("trk", "trkseg"), "rtept": ("rte",), "wpt": (), "area": ()})
+    place = lambda k: F.col("at")[k]
+    pts = _structs(of_tag(found, "trkpt", _columns(_POINT)), place(0).alias("track_no"), place(1).alias("seg_no"), place(2).alias("pt_no"))
     p = F.col("p")
     points = pts.select(
         "file", "track_no", "seg_no", "pt_no", *_gpx_point("p"),
@@ -59,8 +58,7 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> Loaded:
         _sensor(p, "power", "PowerInWatts").alias("power"),
         _sensor(p, "speed").alias("speed"),
     )
-    rte = rows(spark, path, "rte", f"name string, rtept array<struct<{_POINT}>>", glob)
-    rtept = rte.select("file", F.col("row_no").alias("route_no"), F.posexplode("rtept").alias("pt_no", "p"))
+    rtept = _structs(of_tag(found, "rtept", _columns(_POINT)), place(0).alias("route_no"), place(1).alias("pt_no"))
     route = rtept.select("file", "route_no", "pt_no", *_gpx_point("p"), F.col("p.name").alias("name"))
     # each route point is followed by the points that shape the way to the next one
     here = F.array(F.struct(F.col("p._lat").alias("_lat"), F.col("p._lon").alias("_lon")))
@@ -72,19 +70,19 @@ def read_gpx(spark: SparkSession, path: str, glob: str = "*.gpx") -> Loaded:
         "file", (F.col("route_no") + 1_000_000).alias("track_no"), F.lit(0).alias("seg_no"), (F.row_number().over(order) - 1).alias("pt_no"), F.col("q._lon").alias("lon"), F.col("q._lat").alias("lat")
     )
     points = points.unionByName(shaping, allowMissingColumns=True)
-    wpt = rows(spark, path, "wpt", _columns(_POINT), glob)
+    wpt = of_tag(found, "wpt", _columns(_POINT))
     way = wpt.select(
         "file", F.col("row_no").alias("wpt_no"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), (F.col("ele") - F.coalesce("geoidheight", F.lit(0.0))).alias("ele"), _time(F.col("time")).alias("ts"),
         "name", F.col("desc").alias("description"), F.col("cmt").alias("comment"), F.col("sym").alias("symbol"), F.col("extensions.address").alias("address"), F.col("extensions.phone").alias("phone"),
         F.transform("link", lambda x: F.struct(x["_href"].alias("url"), x["text"].alias("text"))).alias("links"),
     )
-    area = rows(spark, path, "area", "name string, desc string, polygon array<struct<linearRing:array<struct<point:array<struct<_lat:double,_lon:double>>>>>>", glob)
+    area = of_tag(found, "area", "name string, desc string, polygon array<struct<linearRing:array<struct<point:array<struct<_lat:double,_lon:double>>>>>>")
     areas = area.select("file", F.col("row_no").alias("area_no"), "name", F.col("desc").alias("description"), _rings(F.col("polygon")).alias("rings"))
-    errors, out = None, {}
+    errors, out = broken(found), {}
     for name, df in (("trackpoints", points), ("routepoints", route), ("waypoints", way)):
         good = geo.valid(F.col("lon"), F.col("lat"))
         bad = df.where(~good).select("file", F.lit(None).cast("int").alias("line"), F.lit(f"invalid coordinates in {name}").alias("msg"))
-        errors = bad if errors is None else errors.unionByName(bad)
+        errors = errors.unionByName(bad)
         out[name] = df.where(good)
     return Loaded(**out, areas=with_box(areas), errors=errors).completed(spark)
 
@@ -122,10 +120,11 @@ def read_tcx(spark: SparkSession, path: str, glob: str = "*.tcx") -> Loaded:
     """Activities: one segment each, laps merged. Courses: a segment for each track, course points as waypoints. Points without a place are dropped."""
     point = "Time:string,Position:struct<LatitudeDegrees:double,LongitudeDegrees:double>,AltitudeMeters:double,HeartRateBpm:struct<Value:double>,Cadence:double,Extensions:struct<TPX:struct<Speed:double,Watts:double,RunCadence:double>>"
     track = f"array<struct<Trackpoint:array<struct<{point}>>>>"
-    act = rows(spark, path, "Activity", f"Id string, Lap array<struct<Track:{track}>>", glob)
+    found = elements(spark, path, glob, {"Activity": (), "Course": ()})
+    act = of_tag(found, "Activity", f"Id string, Lap array<struct<Track:{track}>>")
     merged = F.flatten(F.transform(F.flatten("Lap.Track"), lambda t: t["Trackpoint"]))
     from_laps = act.select("file", F.col("row_no").alias("track_no"), F.lit(0).alias("seg_no"), F.posexplode(merged).alias("pt_no", "p"))
-    crs = rows(spark, path, "Course", f"Name string, Track {track}, CoursePoint array<struct<Name:string,Time:string,Position:struct<LatitudeDegrees:double,LongitudeDegrees:double>,Notes:string>>", glob)
+    crs = of_tag(found, "Course", f"Name string, Track {track}, CoursePoint array<struct<Name:string,Time:string,Position:struct<LatitudeDegrees:double,LongitudeDegrees:double>,Notes:string>>")
     segs = crs.select("file", (F.col("row_no") + 1_000_000).alias("track_no"), F.posexplode("Track").alias("seg_no", "t"))
     from_courses = segs.select("file", "track_no", "seg_no", F.posexplode("t.Trackpoint").alias("pt_no", "p"))
     p = F.col("p")
@@ -136,7 +135,7 @@ def read_tcx(spark: SparkSession, path: str, glob: str = "*.tcx") -> Loaded:
     named = crs.select("file", F.col("row_no").alias("c"), F.posexplode("CoursePoint").alias("k", "w"))
     way = named.select("file", (F.col("c") * 10_000 + F.col("k")).alias("wpt_no"), F.col("w.Position.LongitudeDegrees").alias("lon"), F.col("w.Position.LatitudeDegrees").alias("lat"), F.col("w.Name").alias("name"), F.col("w.Notes").alias("description"), _time(F.col("w.Time")).alias("ts"))
     good = geo.valid(F.col("lon"), F.col("lat"))
-    return Loaded(trackpoints=points.where(good), waypoints=way.where(good)).completed(spark)
+    return Loaded(trackpoints=points.where(good), waypoints=way.where(good), errors=broken(found)).completed(spark)
 
 
 _KML_ARRAYS = ("heartrate", "cadence", "speed", "temperature", "power")
@@ -164,13 +163,13 @@ def read_kml(spark: SparkSession, path: str, glob: str = "*.kml") -> Loaded:
     ring = "struct<LinearRing:struct<coordinates:string>>"
     poly = f"struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"
     geom = f"Point:{line},LineString:array<{line}>,LinearRing:array<{line}>,Polygon:array<{poly}>"
-    pm = rows(
-        spark, path, "Placemark",
+    found = elements(spark, path, glob, {"Placemark": (), "PhotoOverlay": ()})
+    pm = of_tag(
+        found, "Placemark",
         f"name string, description string, address string, phoneNumber string, styleUrl string, TimeStamp struct<when:string>, Point {line}, LineString {line}, LinearRing {line}, Polygon {poly}, Track {gx}, MultiTrack struct<Track:array<{gx}>>, MultiGeometry struct<{geom}>",
-        glob,
     )
     way = pm.where("Point is not null").select("file", F.col("row_no").alias("wpt_no"), "name", "description", "address", F.col("phoneNumber").alias("phone"), _time(F.col("TimeStamp.when")).alias("ts"), _tuples(F.col("Point.coordinates"))[0].alias("c"))
-    photo = rows(spark, path, "PhotoOverlay", f"name string, description string, Icon struct<href:string>, Point {line}", glob).select(
+    photo = of_tag(found, "PhotoOverlay", f"name string, description string, Icon struct<href:string>, Point {line}").select(
         "file", (F.col("row_no") + 1_000_000).alias("wpt_no"), "name", "description", F.array("Icon.href").alias("images"), _tuples(F.col("Point.coordinates"))[0].alias("c")
     )
     way = way.unionByName(photo, allowMissingColumns=True).select("*", "c.lon", "c.lat", "c.ele").drop("c")
@@ -202,7 +201,7 @@ def read_kml(spark: SparkSession, path: str, glob: str = "*.kml") -> Loaded:
     )
     polys = F.concat(F.when(F.col("Polygon").isNotNull(), F.array("Polygon")).otherwise(F.array().cast(f"array<{poly}>")), F.coalesce(F.col("MultiGeometry.Polygon"), F.array().cast(f"array<{poly}>")))
     areas = pm.where(F.size(polys) > 0).select("file", F.col("row_no").alias("area_no"), "name", "description", F.transform(polys, to_rings).alias("rings"))
-    return Loaded(trackpoints=points, waypoints=way.where(geo.valid(F.col("lon"), F.col("lat"))), areas=with_box(areas), errors=bad).completed(spark)
+    return Loaded(trackpoints=points, waypoints=way.where(geo.valid(F.col("lon"), F.col("lat"))), areas=with_box(areas), errors=broken(found).unionByName(bad)).completed(spark)
 
 
 def _long_date(text: Column) -> Column:
@@ -213,31 +212,35 @@ def _long_date(text: Column) -> Column:
 
 def read_slf(spark: SparkSession, path: str, glob: str = "*.slf") -> Loaded:
     """Entries of an activity: altitude in mm, time in hundredths of seconds since the start; entries at 0, 0 are dropped."""
-    act = rows(spark, path, "Activity", "GeneralInformation struct<startDate:string>, Entries struct<Entry:array<struct<_altitude:double,_cadence:double,_heartrate:double,_power:double,_speed:double,_latitude:double,_longitude:double,_trainingTimeAbsolute:double>>>", glob)
+    found = elements(spark, path, glob, {"Activity": ()})
+    act = of_tag(found, "Activity", "GeneralInformation struct<startDate:string>, Entries struct<Entry:array<struct<_altitude:double,_cadence:double,_heartrate:double,_power:double,_speed:double,_latitude:double,_longitude:double,_trainingTimeAbsolute:double>>>")
     pts = act.select("file", F.col("row_no").alias("track_no"), F.lit(0).alias("seg_no"), _long_date(F.col("GeneralInformation.startDate")).alias("start"), F.posexplode("Entries.Entry").alias("pt_no", "e"))
     ms = F.unix_millis(F.coalesce("start", F.lit("1970-01-01").cast("timestamp"))) + (F.col("e._trainingTimeAbsolute") * 10).cast("long")
     points = pts.select(
         "file", "track_no", "seg_no", "pt_no", F.col("e._longitude").alias("lon"), F.col("e._latitude").alias("lat"), (F.col("e._altitude") / 1000.0).alias("ele"), F.col("e._cadence").alias("cadence"), F.col("e._heartrate").alias("heart_rate"),
         F.col("e._power").alias("power"), F.col("e._speed").alias("speed"), F.when(F.col("start").isNotNull(), F.timestamp_millis(ms)).alias("ts"),
     )
-    return Loaded(trackpoints=points.where(geo.valid(F.col("lon"), F.col("lat")) & ~((F.col("lon") == 0) & (F.col("lat") == 0)))).completed(spark)
+    return Loaded(trackpoints=points.where(geo.valid(F.col("lon"), F.col("lat")) & ~((F.col("lon") == 0) & (F.col("lat") == 0))), errors=broken(found)).completed(spark)
 
 
 def read_sml(spark: SparkSession, path: str, glob: str = "*.sml") -> Loaded:
     """Places in radians; each takes the first sensor sample that isn't earlier. Kelvin to Celsius, hertz to beats a minute."""
     from waymark.operators.lookup import next_sample
 
-    s = rows(spark, path, "Sample", "SampleType string, UTC string, Latitude double, Longitude double, GPSAltitude double, HR double, Temperature double, Cadence double, Speed double, Power double", glob)
+    found = elements(spark, path, glob, {"Sample": ()})
+    s = of_tag(found, "Sample", "SampleType string, UTC string, Latitude double, Longitude double, GPSAltitude double, HR double, Temperature double, Cadence double, Speed double, Power double")
     s = s.withColumns({"ts": _time(F.col("UTC")), "lon": F.degrees("Longitude"), "lat": F.degrees("Latitude")})
     is_place = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     places = s.where(is_place).select("file", F.lit(0).alias("track_no"), F.lit(0).alias("seg_no"), F.col("row_no").alias("pt_no"), "ts", "lon", "lat", F.col("GPSAltitude").alias("ele"))
     sensors = s.where(~is_place).select("file", "ts", F.col("row_no").alias("nth"), (F.col("HR") * 60.0).alias("heart_rate"), (F.col("Temperature") - 273.15).alias("temperature"), (F.col("Cadence") * 60.0).alias("cadence"), F.col("Speed").alias("speed"), F.col("Power").alias("power"))
     points = next_sample(places, sensors, ["file"], "ts", ["heart_rate", "temperature", "cadence", "speed", "power"])
-    return Loaded(trackpoints=points.where(geo.valid(F.col("lon"), F.col("lat")))).completed(spark)
+    return Loaded(trackpoints=points.where(geo.valid(F.col("lon"), F.col("lat"))), errors=broken(found)).completed(spark)
 
 
 def read_loc(spark: SparkSession, path: str, glob: str = "*.loc") -> Loaded:
-    w = rows(spark, path, "waypoint", "name struct<_VALUE:string,_id:string>, coord struct<_lat:double,_lon:double>, link struct<_VALUE:string,_text:string>", glob)
+    found = elements(spark, path, glob, {"waypoint": ()})
+    w = of_tag(found, "waypoint", "name struct<_VALUE:string,_id:string>, coord struct<_lat:double,_lon:double>, link struct<_VALUE:string,_text:string>")
     way = w.select("file", F.col("row_no").alias("wpt_no"), F.col("coord._lon").alias("lon"), F.col("coord._lat").alias("lat"), F.col("name._id").alias("name"), F.trim("name._VALUE").alias("description"), F.array(F.struct(F.trim("link._VALUE").alias("url"), F.col("link._text").alias("text"))).alias("links"))
     good = geo.valid(F.col("lon"), F.col("lat"))
-    return Loaded(waypoints=way.where(good), errors=way.where(~good).select("file", F.lit(None).cast("int").alias("line"), F.lit("invalid coordinates").alias("msg"))).completed(spark)
+    bad = way.where(~good).select("file", F.lit(None).cast("int").alias("line"), F.lit("invalid coordinates").alias("msg"))
+    return Loaded(waypoints=way.where(good), errors=broken(found).unionByName(bad)).completed(spark)
