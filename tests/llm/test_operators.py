@@ -665,7 +665,8 @@ def test_crowded_anchors(spark, monkeypatch):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in set(fps.values())], "fp long")
     monkeypatch.setattr(simhash, "_AT_HOME", 4)
-    monkeypatch.setattr(simhash, "_PARTS", 3)
+    monkeypatch.setattr(simhash, "_PART_HOME", 3)
+    monkeypatch.setattr(simhash, "_PART_ALL", 5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
@@ -677,6 +678,19 @@ def test_crowded_anchors(spark, monkeypatch):
     assert all(len(g) == 1 for g in group.values()) and len(set.union(*group.values())) == len(group)
 
 
+def test_a_crowded_anchor_is_dealt_in_parts_of_bounded_size(spark, monkeypatch):
+    """100,000 fingerprints of one anchor: no task holds more than a few thousand, and every pair meets."""
+    monkeypatch.setattr(simhash, "_PART_HOME", 4000)
+    monkeypatch.setattr(simhash, "_PART_ALL", 6000)
+    crowded = spark.range(100_000).selectExpr("0L half", "7L anchor", "cast(id % 4 > 0 as long) guest", "xxhash64(id) fp")
+    dealt = simhash._dealt(crowded)
+    sizes = dealt.groupBy("home_part", "all_part").agg(common.F.count_if(common.F.col("guest") == 0).alias("home"), common.F.count_if(common.F.col("guest") == 1).alias("all")).collect()
+    assert len(sizes) == 7 * 17 and max(r.home for r in sizes) < 5000 and max(r["all"] for r in sizes) < 7500
+    assert sum(r.home for r in sizes) == 25_000 * 17 and sum(r["all"] for r in sizes) == 100_000 * 7
+    nobody = crowded.where("guest = 1")
+    assert simhash._dealt(nobody).count() == 0
+
+
 def test_join_with_hot_keys(spark, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(2, 30)] + [(None, 5)], "k long, v long")
     right = spark.createDataFrame([(i, i * 10) for i in range(1, 25)], "k long, w long")

@@ -25,8 +25,10 @@ from waymark.llm.common import append_from_text, checkpointed, join_hot, quoted
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 _BITS = 31
-#: Fingerprints of an anchor that one task compares; the home side of a larger one is dealt to so many tasks.
-_AT_HOME, _PARTS = 1 << 14, 64
+#: Fingerprints of an anchor that one task compares.
+_AT_HOME = 1 << 14
+#: Of larger anchors, fingerprints at home and of all that meet in one task, on average.
+_PART_HOME, _PART_ALL = 1 << 12, 1 << 14
 #: Shingle hashes whose bits are counted at once.
 _AT_ONCE = 1 << 15
 
@@ -192,13 +194,35 @@ def _compare(threshold: int, most: int | None):
     return run
 
 
+def _dealt(crowded: DataFrame) -> DataFrame:
+    """(half, anchor, home_part, all_part, guest, fp): each part of an anchor's fingerprints at home with each part of all, sorted."""
+    size = F.count("*")
+    parts = checkpointed(
+        crowded.groupBy("half", "anchor").agg(
+            F.ceil(F.count_if(F.col("guest") == 0) / _PART_HOME).alias("homes"), F.ceil(size / _PART_ALL).alias("alls")
+        )
+    )  # few: an anchor is crowded from _AT_HOME fingerprints on
+    dealt = crowded.join(parts.where("homes > 0"), ["half", "anchor"])
+
+    def side(rows: DataFrame, guest: int, own: str, seed: int, other: str) -> DataFrame:
+        """Rows in their own part, once for each part of the other side."""
+        part = F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(own))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        named = {own: part, other: every}
+        return rows.select("half", "anchor", named["homes"].alias("home_part"), named["alls"].alias("all_part"), F.lit(guest).cast("long").alias("guest"), "fp")
+
+    pairs = side(dealt.where("guest = 0"), 0, "homes", 1, "alls").unionByName(side(dealt, 1, "alls", 2, "homes"))
+    keys = ["half", "anchor", "home_part", "all_part"]
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "guest")
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that have the same connected components as all pairs within ``threshold`` (at most 3).
 
     Each anchor's rows come sorted, those at home first; an anchor gives at most
     one link less than it holds fingerprints, never all pairs. Anchors with very
     many fingerprints are compared in a second step by many tasks, each with a
-    part of those at home against all.
+    part of those at home against a part of all, so what a task holds is bounded.
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the anchors reach fingerprints that differ in at most 3 bits")
@@ -208,10 +232,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found, crowded = first.where("a is not null").select("a", "b"), first.where("fp is not null").select("half", "anchor", "guest", "fp")
     if crowded.isEmpty():
         return found
-    home = crowded.where("guest = 0").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(_PARTS)).cast("long"))
-    others = crowded.select("half", "anchor", F.lit(1).cast("long").alias("guest"), "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))).alias("part"))
-    dealt = home.unionByName(others).select("half", "anchor", "part", "guest", "fp").repartition("half", "anchor", "part").sortWithinPartitions("half", "anchor", "part", "guest")
-    more = dealt.mapInArrow(_compare(threshold, None), "a long, b long, half long, anchor long, part long, guest long, fp long")
+    pairs = _dealt(crowded)
+    more = pairs.mapInArrow(_compare(threshold, None), "a long, b long, half long, anchor long, home_part long, all_part long, guest long, fp long")
     return found.unionByName(more.where("a <> b").select("a", "b"))
 
 
