@@ -4,8 +4,8 @@ A rule is a host and the beginning of a path; it fits its host and all
 subdomains, and the longest fitting rule decides. Where none fits, the names in
 the host are split into words by unigram Viterbi over word counts of the corpus,
 and multinomial naive Bayes scores the words of host and path. The classifier is
-fitted on labelled example names, a parameter; words that no example has tell
-nothing.
+fitted on a table of labelled URLs of any size, or else on short lists of example
+names; words that no example has tell nothing.
 """
 
 from __future__ import annotations
@@ -171,6 +171,33 @@ def fit(allowed: Sequence[Sequence[str]], blocked: Sequence[Sequence[str]]) -> N
     return NaiveBayes({w: (good[w], bad[w]) for w in good | bad}, (len(allowed), len(blocked)))
 
 
+def with_words(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Add the words of host and path; a host of very many rows is dealt to many tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    known = hosts.select("host", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = salted.join(known, ["host", "salt"], "left").drop("salt")
+    return joined.withColumn("words", F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words(F.col("path"))))
+
+
+def learned(examples: DataFrame) -> tuple[DataFrame, float]:
+    """(word, weight) and prior of multinomial naive Bayes with Laplace smoothing, from (words, verdict); log-odds of blocking."""
+    bad = F.col("verdict") == "block"
+    rows = examples.agg(F.count_if(~bad), F.count_if(bad)).first()
+    words = examples.select(F.explode("words").alias("word"), "verdict").groupBy("word").agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad"))
+    words = checkpointed(words)
+    n, good, blocked = words.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    weight = F.log((F.col("bad") + 1) / (blocked + n)) - F.log((F.col("good") + 1) / (good + n))
+    return checkpointed(words.select("word", weight.alias("weight"))), math.log((rows[1] + 1) / (rows[0] + 1))
+
+
+def weighed_by(rows: DataFrame, weights: DataFrame, prior: float) -> DataFrame:
+    """Add z, the prior and the weights of a row's words, by a join: the words may be any number."""
+    numbered = checkpointed(rows.withColumn("\u0001row", F.monotonically_increasing_id()))
+    words = checkpointed(numbered.select("\u0001row", F.explode("words").alias("word")))
+    sums = join_hot(words, weights, "word").groupBy("\u0001row").agg(F.sum("weight").alias("z"))
+    return numbered.join(sums, "\u0001row", "left").withColumn("z", F.lit(prior) + F.coalesce("z", F.lit(0.0))).drop("\u0001row")
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
@@ -180,6 +207,7 @@ def judge(
     allowed: str = ALLOWED,
     blocked: str = BLOCKED,
     threshold: float = 0.5,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score of each page.
 
@@ -188,29 +216,35 @@ def judge(
     are URLs whose words no example has. URLs of any length are judged whole.
     Repeated rows, and rows without an id, stay and are judged alike. A score of
     the threshold blocks. ``allowed`` and ``blocked`` are example names of
-    words, short lists.
+    words, short lists. ``labelled`` takes their place: rows (url, verdict) in any
+    number, whose hosts are segmented as those of the pages and whose words are
+    counted by Spark; verdicts but allow and block, and null ones, don't count.
     """
     title = F.regexp_extract(F.coalesce(F.col(quoted(html)), F.lit("")), "(?is)<title[^>]*>([^<]*)", 1) if html else F.lit("")
     parsed = pages.select(F.col(quoted(page_id)).alias("page_id"), F.col(quoted(url)).alias("url"), title.alias("title"))
     parsed = parsed.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "title")
-    examples = example_words(allowed), example_words(blocked)
-    model = fit(*examples)
-    weights, prior = model.weights, model.prior
-    counts = checkpointed(word_counts(parsed.select("title"), parsed.select("path")))
-    # words of the examples must be words to the segmenter, however rare in titles
-    listed = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) / 10_000 + 1).cast("long").alias("n"))
-    listed = listed.select(F.explode(F.array(*map(F.lit, sorted(weights)))).alias("word"), "n")
-    counts = checkpointed(counts.unionByName(listed).groupBy("word").agg(F.sum("n").alias("n")))
-    hosts = checkpointed(host_words(parsed, counts))
-
-    # a few hundred weights as a literal map: the score stays a column expression
-    weight_of = F.create_map(*[x for w, v in sorted(weights.items()) for x in (F.lit(w), F.lit(v))])
-    z = F.lit(prior) + F.aggregate("words", F.lit(0.0), lambda acc, w: acc + F.coalesce(weight_of[w], F.lit(0.0)))
-    salted = parsed.select("page_id", "host", "path", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))
-    known = hosts.select("host", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = salted.join(known, ["host", "salt"], "left").withColumn(
-        "words", F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words(F.col("path")))
-    )
-    scored = joined.withColumn("score", F.round(1.0 / (1.0 + F.exp(-z)), 6)).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    names = parsed.select("host")
+    if labelled is None:
+        model = fit(example_words(allowed), example_words(blocked))
+        counts = checkpointed(word_counts(parsed.select("title"), parsed.select("path")))
+        # words of the examples must be words to the segmenter, however rare in titles
+        listed = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) / 10_000 + 1).cast("long").alias("n"))
+        listed = listed.select(F.explode(F.array(*map(F.lit, sorted(model.weights)))).alias("word"), "n")
+        counts = checkpointed(counts.unionByName(listed).groupBy("word").agg(F.sum("n").alias("n")))
+    else:
+        known = labelled.where(F.col("verdict").isin("allow", "block")).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "verdict")
+        known = checkpointed(known)
+        counts = checkpointed(word_counts(parsed.select("title"), parsed.select("path"), known.select("path")))
+        names = names.union(known.select("host"))
+    hosts = checkpointed(host_words(names, counts))
+
+    joined = with_words(parsed.select("page_id", "host", "path"), hosts)
+    if labelled is None:
+        # a few hundred weights as a literal map: the score stays a column expression
+        weight_of = F.create_map(*[x for w, v in sorted(model.weights.items()) for x in (F.lit(w), F.lit(v))])
+        weighed = joined.withColumn("z", F.lit(model.prior) + F.aggregate("words", F.lit(0.0), lambda acc, w: acc + F.coalesce(weight_of[w], F.lit(0.0))))
+    else:
+        weighed = weighed_by(joined, *learned(with_words(known, hosts)))
+    scored = weighed.withColumn("score", F.round(1.0 / (1.0 + F.exp(-F.col("z"))), 6)).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_method).alias("verdict"), "words", "score")
