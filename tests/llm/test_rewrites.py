@@ -141,3 +141,27 @@ def test_empty_tables_and_clashing_names(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some words</p>", 5)] * 3, "page_id long, url string, html string, n_chars int")
     assert [(r.text, r.n_chars) for r in html_text.extract_text(pages).collect()] == [("Some words", 10)] * 3
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_other_models_are_refused(tmp_path):
+    """A model whose texts are normalised or cut otherwise would be counted wrongly."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert token_counts.PieceCounter.from_file(path).count("one two") == 2
+    given = proto.ModelProto.FromString(open(path, "rb").read())
+
+    def refused(change):
+        other = proto.ModelProto()
+        other.CopyFrom(given)
+        change(other)
+        (tmp_path / "m.model").write_bytes(other.SerializeToString())
+        with pytest.raises(ValueError, match="can't be counted"):
+            token_counts.PieceCounter.from_file(str(tmp_path / "m.model"))
+
+    refused(lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True))
+    refused(lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False))
+    refused(lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"))
+    refused(lambda m: setattr(m.trainer_spec, "model_type", proto.TrainerSpec.UNIGRAM))
+    refused(lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True))
+    refused(lambda m: setattr(m.pieces[500], "type", proto.ModelProto.SentencePiece.USER_DEFINED))

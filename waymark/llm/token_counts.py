@@ -41,7 +41,22 @@ class PieceCounter:
     @classmethod
     def from_file(cls, path: str) -> PieceCounter:
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        with open(path, "rb") as file:
+            spec = proto.ModelProto.FromString(file.read())
+        rules, training = spec.normalizer_spec, spec.trainer_spec
+        wrong = {
+            "is no byte-pair model": training.model_type != proto.TrainerSpec.BPE,
+            "has no byte fallback": not training.byte_fallback,
+            "normalises characters": bool(rules.precompiled_charsmap),
+            "removes white space": rules.remove_extra_whitespaces,
+            "begins texts without a space": not rules.add_dummy_prefix,
+            "doesn't mark spaces before words": not rules.escape_whitespaces or training.treat_whitespace_as_suffix,
+            "has symbols of its user": any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces),
+        }
+        if any(wrong.values()):
+            raise ValueError(f"{path} {', '.join(k for k, v in wrong.items() if v)}: its tokens can't be counted this way")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [
             i
