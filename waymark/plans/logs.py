@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.lineage import local_folder
 from waymark.plans.catalog import Register
 from waymark.plans.fixtures import fixture, plain
 from waymark.plans.motion import r
@@ -29,7 +29,7 @@ def folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}_{uuid.uuid4().hex}"
+    return f"{base or local_folder()}/{name}_{uuid.uuid4().hex}"
 
 
 def written(lines: DataFrame, extension: str = "txt") -> str:
