@@ -134,3 +134,12 @@ def test_sequences(spark):
     three = pieces.where("length >= 3").limit(1).withColumns({"length": packing.F.lit(3), "ids": packing.F.substring("ids", 1, 12), "offset": packing.F.lit(0)})
     (r,) = packing.sequences(three, 64, pad_id=5).collect()
     assert len(r.ids) == 256 and set(np.frombuffer(bytes(r.ids), "<u4")[3:]) == {5}
+
+
+def test_portions_by_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TEXT_AT_ONCE", 10)
+    texts = pa.array(["aaaa", None, "bbbbbb", "c", "d" * 50, "", "e" * 9, "f", "g"])
+    assert list(packing._portions(texts)) == [(0, 3), (3, 4), (4, 5), (5, 8), (8, 9)]
+    assert list(packing._portions(texts.slice(3, 2))) == [(0, 1), (1, 2)] and not list(packing._portions(texts[:0]))

@@ -37,6 +37,8 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 #: A group is packed when it holds that many tokens or pieces; bounds a task's memory.
 GROUP_TOKENS, GROUP_PIECES = 1 << 20, 8192
+#: Bytes of texts that are put together at once; bounds a task's memory, and the larger, the fewer words come twice.
+TEXT_AT_ONCE = 6 << 20
 #: Words whose ids a Python worker remembers, twice (two generations).
 CACHED_WORDS = 250_000
 #: Letters under this one are the same in every version of Unicode, and composed.
@@ -204,6 +206,17 @@ class Packer:
         return out
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows from and to of portions of a batch with about TEXT_AT_ONCE bytes; a longer text is one alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + TEXT_AT_ONCE, "right")))
+        yield at, end
+        at = end
+
+
 _ready: dict[str, WordIds] = {}
 
 
@@ -243,8 +256,8 @@ def pack(
 
         for whole in batches:
             kinds = [whole.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
+            for at, end in _portions(whole.column(1)):
+                batch = whole.slice(at, end - at)
                 ids, sizes = words.batch([t or "" for t in batch.column(1).to_pylist()])
                 ends = np.cumsum(sizes)
                 for doc_id, start, end in zip(batch.column(0).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
