@@ -69,12 +69,15 @@ def test_one_track_is_many_tasks(spark):
         F.lit(1).alias("track_id"), F.lit(0).alias("seg_no"), F.col("id").cast("int").alias("pt_no"), F.timestamp_seconds(F.col("id")).alias("ts"),
         F.lit(14.0).alias("lon"), (F.col("id") * METRE).alias("lat"),
     )
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # as planned for large data: no merging of small partitions, and no small side that is broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         out = ranges.enrich_ranges(one, size=500)
         share = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(share) >= 4 and max(r.n for r in share) < n / 2
     last = out.where(f"pt_no = {n - 1}").first()
     assert abs(last.dist - (n - 1)) < 1e-3 and last.t == n - 1
@@ -84,7 +87,7 @@ def test_scans(spark):
     """Sums and last values over ranges that are empty, or hold nothing but nulls."""
     data = [(1, 0, k, float(k) if k in (3, 4, 40, 41, 90) else None) for k in [0, 3, 4, 11, 12, 13, 40, 41, 90, 95]]
     df = ranges.in_ranges(spark.createDataFrame(data, "track_id int, seg_no int, pt_no int, x double"), 10)
-    got = {r.pt_no: (r.s, r.f) for r in ranges.filled_forward(ranges.running_sum(df, "x", "s"), "x", "f").collect()}
+    got = {r.pt_no: (r.s, r.f) for r in ranges.SCAN.filled(ranges.SCAN.summed(df, s=F.col("x")), f=F.col("x")).collect()}
     assert got == {0: (None, None), 3: (3, 3), 4: (7, 4), 11: (7, 4), 12: (7, 4), 13: (7, 4), 40: (47, 40), 41: (88, 41), 90: (178, 90), 95: (178, 90)}
 
 

@@ -36,6 +36,12 @@ def _previous(value: Column, carry: str) -> Column:
     return F.when(F.col("opens"), F.col(carry)).otherwise(F.lag(value).over(SCAN.inside()))
 
 
+def _of_segments(points: DataFrame, told: DataFrame) -> DataFrame:
+    """Add what is told of segments, null where nothing is. It goes to the ranges first, so that points meet it by range."""
+    parts = points.groupBy(*SCAN.keys).agg(F.count("*").alias("\u0001n")).drop("\u0001n")
+    return points.join(parts.join(told, list(_SEGMENT), "left"), SCAN.keys)
+
+
 def flattened(points: DataFrame) -> DataFrame:
     """All segments of a track as one, numbered on from 1; points come in ranges."""
     counts = points.groupBy(*SCAN.keys).agg(F.count("*").alias("n"))
@@ -143,11 +149,12 @@ def outliers(moving: DataFrame, options: TrackOptions = TrackOptions()) -> DataF
     if not options.eliminate_outliers:
         return moving.withColumn("is_outlier", F.lit(False))
     keys = list(_SEGMENT)
-    medians = checkpointed(selection.upper_medians(moving.select(*keys, "acceleration"), keys, "acceleration", "median"))
-    away = moving.select(*keys, "acceleration").join(medians, keys).select(*keys, F.abs(F.col("acceleration") - F.col("median")).alias("deviation"))
-    mads = selection.upper_medians(away, keys, "deviation", "mad")
+    values = moving.select(*SCAN.keys, "acceleration")
+    medians = checkpointed(selection.upper_medians(values, keys, "acceleration", "median", "range_no"))
+    away = _of_segments(values, medians).withColumn("deviation", F.abs(F.col("acceleration") - F.col("median")))
+    mads = selection.upper_medians(away, keys, "deviation", "mad", "range_no")
     both = checkpointed(medians.join(mads, keys))
-    out = moving.join(both, keys, "left").withColumn("deviation", F.abs(F.col("acceleration") - F.col("median")))
+    out = _of_segments(moving, both).withColumn("deviation", F.abs(F.col("acceleration") - F.col("median")))
     return plain.far_out(out, options)
 
 
@@ -188,7 +195,7 @@ def cleaned(flagged: DataFrame) -> DataFrame:
     bases = {"base": "end.clean_dist", "base_time": "end.seg_time"}
     ends = ends.select(*_SEGMENT, *[F.coalesce(F.sum(c).over(segments_before), F.lit(0.0)).alias(k) for k, c in bases.items()])
     return (
-        out.join(ends, list(_SEGMENT))
+        _of_segments(out, ends)
         .withColumns(
             {
                 "dist": F.col("base") + F.col("clean_dist"),

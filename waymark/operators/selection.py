@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEP = 16
+#: Parts of a group that meet what is known of it, each in a task.
+SALTS = 64
 _LOW = (1 << 63) - 1
 
 
@@ -29,18 +31,22 @@ def from_bits(bits: Column) -> Column:
     return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
-def upper_medians(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def upper_medians(values: DataFrame, keys: list[str], value: str, out: str, spread: str | None = None) -> DataFrame:
     """(keys, out): element n / 2 of the n sorted values of each group, from 0; nulls don't count, groups of nulls alone have no row.
 
-    The table is read once a pass: four times, and once to count. Keys mustn't be null.
+    The table is read once a pass: four times, and once to count. Keys mustn't be
+    null. Where a group meets what is known of its element, its rows are dealt to
+    SALTS parts by the column ``spread``, by default by their values.
     """
+    salt = F.pmod(F.xxhash64(value if spread is None else spread), F.lit(SALTS)).alias("salt")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     found = values.where(F.col(value).isNotNull()).groupBy(*keys).agg((F.floor(F.count("*") / 2) + 1).alias("place"))
     found = found.withColumn("prefix", F.lit(0).cast("long"))
-    coded = values.where(F.col(value).isNotNull()).select(*keys, ordered_bits(F.col(value)).alias("bits"))
+    coded = values.where(F.col(value).isNotNull()).select(*keys, salt, ordered_bits(F.col(value)).alias("bits"))
     for shift in range(64 - _STEP, -1, -_STEP):
         part = F.shiftright("bits", shift).alias("part")
         if shift + _STEP < 64:
-            like = coded.join(found.select(*keys, "prefix"), keys).where(F.shiftright("bits", shift + _STEP) == F.col("prefix"))
+            like = coded.join(found.select(*keys, "prefix", salts), [*keys, "salt"]).where(F.shiftright("bits", shift + _STEP) == F.col("prefix"))
         else:
             like = coded
         counts = like.groupBy(*keys, part).agg(F.count("*").alias("n"))
