@@ -226,6 +226,27 @@ def test_decontamination(spark, odd):
     assert decontaminate.overlaps(df.limit(0), bench).count() == 0 == decontaminate.overlaps(df, bench.limit(0)).count()
 
 
+def test_decontamination_of_a_phrase_in_many_items_and_texts(spark, monkeypatch):
+    """Each text is compared once for the phrase; those with a leak of another kind, or with none, are told all the same."""
+    rng = random.Random(8)
+    noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
+    phrase, part = " ".join(f"p{i}" for i in range(14)), " ".join(f"q{i}" for i in range(9))
+    items = [(i, f"{noise(6)} {phrase} {noise(6)} {part} {noise(5)}") for i in range(60)]
+    lone = [f"l{i}" for i in range(13)]
+    for m in decontaminate.MASKS:  # each hash of the lone passage is that of an item before its own, which has no more of it than the mask
+        items += [(100 + len(items), " ".join([noise(4), *[w if i - at in m else noise(1) for i, w in enumerate(lone)], noise(4)])) for at in range(13 - m[-1])]
+    items.append((999, f"{noise(4)} {' '.join(lone)} {noise(4)}"))
+    docs = [(i, f"{noise(7)} {phrase} {noise(7)}") for i in range(300)]
+    docs += [(1000 + i, f"{noise(30)} {part} {noise(3)}") for i in range(5)] + [(2000, f"{noise(9)} {' '.join(lone)} {noise(9)}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows, measured = [], decontaminate._measured
+    monkeypatch.setattr(decontaminate, "_measured", lambda c, *a: rows.append(c.count()) or measured(c, *a))
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(df, bench).collect()) == [1000 + i for i in range(5)]
+    assert rows == [300 + 5 + 13, 5 * 60 + 13 + 1]  # all items only for the six that the first ones didn't reject
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()}
+    assert got == plain_overlaps(docs, items).keys() and len(got) == 300 * 60 + 1
+
+
 def test_url_rules_and_parts(spark):
     urls = ["https://WWW.Example.com/en/1?x", "http://example.com/en/", "http://a.net/es/x#y", "http://net/fr/", "http://com", "nothing", None, "x://B.com?/en/", "http://spam.org/casino"]
     df = spark.createDataFrame([(i, u, "<title>the casino win</title>", "h") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")

@@ -201,6 +201,53 @@ def _measured(candidates: DataFrame, min_tokens: int, min_equal: float) -> DataF
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, doc_at long, item_at long, n_tokens long, n_equal long")
 
 
+def _compared(kinds: DataFrame, seeds: DataFrame, items: DataFrame, min_tokens: int, min_equal: float) -> DataFrame:
+    """Overlaps (kind, item_id, doc_at, item_at, n_tokens, n_equal) of the regions and the items of ``seeds`` at the offsets of their hits.
+
+    Only ids and lengths go through the join of the hashes; offsets at which too
+    few tokens lie opposite each other end there. The tokens that do are fetched
+    afterwards, of a region only those the item covers.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int").alias("salt")
+    hits = kinds.select("region", salt, F.size("tokens").alias("length"), F.explode("seeds").alias("s"))
+    shift = F.col("at") - F.col("item_at")
+    first = F.greatest(F.lit(0), shift)
+    places = (
+        hits.select("region", "salt", "length", "s.hash", F.col("s.at").alias("at"))
+        .join(seeds.select("*", salts), ["hash", "salt"])
+        .select("region", "item", "n", first.alias("first"), (shift - first).alias("shift"), (F.least("length", shift + F.col("n")) - first).alias("opposite"))
+        .where(F.col("opposite") >= F.least(F.lit(min_tokens), "n"))
+        .distinct()
+    )
+    theirs = F.slice("theirs", F.col("first") + 1, F.col("opposite")).alias("theirs")
+    both = (
+        places.join(kinds.select("region", "k1", "k2", salt, F.col("tokens").alias("theirs")), "region")
+        .select("item", "salt", F.struct("k1", "k2").alias("doc_id"), "first", "shift", theirs)
+        .join(items.select("item", "item_id", F.col("tokens").alias("ours"), salts), ["item", "salt"])
+    )
+    return checkpointed(_measured(both, min_tokens, min_equal)).withColumnRenamed("doc_id", "kind")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, min_equal: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regions of the documents (doc_id, text), their kinds, and seeds and tokens of the benchmark's items (item_id, text)."""
+    items = checkpointed(_item_seeds(benchmark, MIN_TOKENS, min_equal))
+    items = items.withColumn("item", F.monotonically_increasing_id())  # item ids may be null or repeated
+    seeds = items.select("item", F.size("tokens").alias("n"), F.explode("seeds").alias("s")).select("item", "n", "s.hash", F.col("s.at").alias("item_at"))
+    context, *short = items.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0)), *[F.count_if(F.size("tokens") == n) for n in range(1, MIN_TOKENS)]).first()
+    masks = dict.fromkeys(MASKS, False)
+    for n, some in enumerate(short, 1):  # only lengths that the benchmark has
+        for mask in short_masks(n, min_equal) if some else ():
+            masks[mask] = masks.get(mask, True) and len(mask) == n
+    bits = _bitmap(seeds)
+    assert bits.nbytes <= BROADCAST_LIMIT
+    regions = _hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context, masks)
+    regions = checkpointed(regions.withColumns({"k1": F.xxhash64("tokens", "seeds"), "k2": F.xxhash64(F.lit(1), "tokens", "seeds")}))
+    # copies have equal regions: each kind is compared once
+    kinds = checkpointed(regions.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"), F.first("seeds").alias("seeds")))
+    return regions.drop("tokens", "seeds"), kinds.withColumn("region", F.monotonically_increasing_id()), seeds, items
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,35 +267,11 @@ def overlaps(
     if min_tokens < MIN_TOKENS or min_equal < MIN_EQUAL:
         raise ValueError(f"the masks are proven for {MIN_TOKENS} tokens and {MIN_EQUAL} equal or more")
     docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    items = _item_seeds(benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(text)).alias("text")), MIN_TOKENS, min_equal)
-    items = checkpointed(items).withColumn("item", F.monotonically_increasing_id())  # item ids may be null or repeated
-    seeds = items.select("item", F.explode("seeds").alias("s")).select("item", "s.hash", F.col("s.at").alias("item_at"))
-    context, *short = items.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0)), *[F.count_if(F.size("tokens") == n) for n in range(1, MIN_TOKENS)]).first()
-    masks = dict.fromkeys(MASKS, False)
-    for n, some in enumerate(short, 1):  # only lengths that the benchmark has
-        for mask in short_masks(n, min_equal) if some else ():
-            masks[mask] = masks.get(mask, True) and len(mask) == n
-    bits = _bitmap(seeds)
-    assert bits.nbytes <= BROADCAST_LIMIT
-    regions = checkpointed(_hit_regions(docs, share(docs.sparkSession, bits, bits.nbytes), context, masks))
-    # copies have equal regions: each kind is compared once
-    same = [F.xxhash64("tokens", "seeds").alias("k1"), F.xxhash64(F.lit(1), "tokens", "seeds").alias("k2")]
-    kinds = checkpointed(regions.groupBy(*same).agg(F.first("tokens").alias("tokens"), F.first("seeds").alias("seeds"))).withColumn("region", F.monotonically_increasing_id())
+    benchmark = benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(text)).alias("text"))
+    regions, kinds, seeds, items = _hits(docs, benchmark, min_equal)
+    found = _compared(kinds, seeds, items, min_tokens, min_equal)
+    here = regions.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salt = F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int").alias("salt")
-    hits = kinds.select("region", salt, F.explode("seeds").alias("s")).select("region", "salt", "s.hash", F.col("s.at").alias("at"))
-    places = (
-        hits.join(seeds.select("*", salts), ["hash", "salt"])
-        .select("region", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
-    )
-    both = (
-        places.join(kinds.select("region", "k1", "k2", salt, F.col("tokens").alias("theirs")), "region")
-        .join(items.select("item", "item_id", F.col("tokens").alias("ours"), salts), ["item", "salt"])
-        .select(F.struct("k1", "k2").alias("doc_id"), "item_id", F.lit(0).alias("first"), "shift", "theirs", "ours")
-    )
-    found = checkpointed(_measured(both, min_tokens, min_equal)).withColumnRenamed("doc_id", "kind")
-    here = regions.select("doc_id", "first", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int").alias("salt"), *same)
     there = found.select("kind.k1", "kind.k2", "item_id", "doc_at", "item_at", "n_tokens", "n_equal", salts)
     pairs = here.join(there, ["k1", "k2", "salt"]).withColumn("doc_at", F.col("first") + F.col("doc_at"))
     best = F.max(F.struct("n_tokens", "n_equal", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"))).alias("b")
@@ -262,8 +285,23 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Rows are told apart by their texts, so rows without an id are judged as any
     other, and of unrelated rows under one id (``doc_id`` isn't read) only those
-    with a leak go. Null and empty texts stay.
+    with a leak go. Null and empty texts stay. One overlap is enough to reject a
+    text, so the texts first meet one item for each hash, and only those that
+    this doesn't reject meet all items: a phrase of many items and many texts
+    costs a comparison a text.
     """
     key = F.unhex(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary"), 256))
-    leaked = overlaps(docs.select(key.alias("key"), F.col(quoted(text)).alias("text")), benchmark, "key")
-    return docs.join(leaked.select(F.col("doc_id").alias("\u0001leaked")).distinct(), key == F.col("\u0001leaked"), "left_anti")
+    benchmark = benchmark.select("item_id", F.col(quoted(text)).alias("text"))
+    regions, kinds, seeds, items = _hits(docs.select(key.alias("doc_id"), F.col(quoted(text)).alias("text")), benchmark, MIN_EQUAL)
+    members = checkpointed(regions.select("doc_id", "k1", "k2").distinct())
+
+    def rejected(found: DataFrame) -> DataFrame:
+        leaks = found.select("kind.k1", "kind.k2").distinct()
+        return checkpointed(members.join(leaks, ["k1", "k2"], "left_semi").select("doc_id").distinct())
+
+    one = seeds.groupBy("hash").agg(F.min(F.struct("item", "n", "item_at")).alias("s")).select("s.item", "s.n", "hash", "s.item_at")
+    leaked = rejected(_compared(kinds, one, items, MIN_TOKENS, MIN_EQUAL))
+    open_kinds = members.join(leaked, "doc_id", "left_anti").select("k1", "k2").distinct()
+    rest = kinds.join(open_kinds, ["k1", "k2"], "left_semi")
+    leaked = leaked.unionByName(rejected(_compared(rest, seeds, items, MIN_TOKENS, MIN_EQUAL)))
+    return docs.join(leaked.select(F.col("doc_id").alias("\u0001leaked")), key == F.col("\u0001leaked"), "left_anti")
