@@ -231,6 +231,12 @@ def near_points(places: DataFrame, pois: DataFrame, keys: list[str], radius: flo
     return boxes_with_points(_boxes_around(places, keys, radius), pois)
 
 
+def near_any(places: DataFrame, pois: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """Points of interest in the box around at least one of many places; which of them isn't told, so no pairs are made."""
+    spots = boxes_with_points(_boxes_around(places, [], radius), _spots(pois)).select("lon", "lat").distinct()
+    return pois.join(spots, ["lon", "lat"], "left_semi")
+
+
 def near_boxes(areas: DataFrame, pois: DataFrame, keys: list[str], radius: float = RADIUS) -> DataFrame:
     """Points of interest in each area's box grown by ``radius`` on all sides."""
     margin = F.degrees(F.lit(radius / geo.EARTH_RADIUS))
