@@ -300,6 +300,11 @@ def range_intersection(a: tuple[Column, Column], b: tuple[Column, Column]) -> tu
     return F.when(low <= high, low), F.when(low <= high, high)
 
 
+def _shapes(boxes: DataFrame) -> DataFrame:
+    """Different boxes, with the sides in a struct too."""
+    return boxes.select(*_SIDES).distinct().withColumn("box", F.struct(*_SIDES))
+
+
 def features_in_boxes(boxes: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, part): features that show in each box.
 
@@ -314,6 +319,19 @@ def features_in_boxes(boxes: DataFrame, features: DataFrame, keys: list[str]) ->
     return by_point.unionByName(by_box)
 
 
+def features_counted(boxes: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, inside, touching): how many features have their point in each box, and how many have a box that meets it; boxes that meet none are left out.
+
+    Different boxes are counted once, over different features with their number.
+    """
+    alike = features.groupBy("lon", "lat", *_SIDES).agg(F.count("*").alias("n"))
+    met = boxes_with_boxes(_shapes(boxes), alike)
+    inside = F.exists(geo.split_at_date_line(*[F.col(f"box.{c}") for c in _SIDES]), lambda b: geo.holds({c: b[c] for c in _SIDES}, F.col("lon"), F.col("lat")))
+    counts = met.groupBy("box").agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("touching"))
+    named = boxes.select(*keys, F.struct(*_SIDES).alias("box")).join(counts, "box")
+    return named.groupBy(*keys).agg(F.sum("inside").alias("inside"), F.sum("touching").alias("touching"))
+
+
 def charts_then_features(boxes: DataFrame, charts: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Features of those charts only that meet a box: charts (chart_id and a box), features with chart_id."""
     met = boxes_with_boxes(boxes.select(*keys, *_SIDES, F.struct(*_SIDES).alias("box")), charts.select("chart_id", *_SIDES)).distinct()
