@@ -340,11 +340,15 @@ def features_counted(boxes: DataFrame, features: DataFrame, keys: list[str]) ->
 
 
 def charts_then_features(boxes: DataFrame, charts: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
-    """Features of those charts only that meet a box: charts (chart_id and a box), features with chart_id."""
-    met = boxes_with_boxes(boxes.select(*keys, *_SIDES, F.struct(*_SIDES).alias("box")), charts.select("chart_id", *_SIDES)).distinct()
-    parts = met.withColumn("b", F.explode(geo.split_at_date_line(*[F.col(f"box.{c}") for c in _SIDES])))
-    inside = geo.holds({c: F.col(f"b.{c}") for c in _SIDES}, F.col("lon"), F.col("lat"))
-    return parts.join(features, "chart_id").where(inside).select(*keys, "chart_id", "id")
+    """Features of those charts only that meet a box: charts (chart_id and a box), features with chart_id.
+
+    Different boxes meet the different places of each chart's features, and each match is given to all that share it.
+    """
+    shapes = _shapes(boxes)
+    met = boxes_with_boxes(shapes, charts.select("chart_id", *_SIDES)).select("box", "chart_id").distinct()
+    spots = boxes_with_points(shapes, features.select("chart_id", "lon", "lat").distinct()).select("box", "chart_id", "lon", "lat")
+    found = expanded(spots.join(met, ["box", "chart_id"], "left_semi"), boxes.select(*keys, F.struct(*_SIDES).alias("box")).distinct(), ["box"]).drop("box")
+    return expanded(found, features, ["chart_id", "lon", "lat"]).select(*keys, "chart_id", "id")
 
 
 def missing_tiles(boxes: DataFrame, inventory: DataFrame) -> DataFrame:
