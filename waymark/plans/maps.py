@@ -157,7 +157,7 @@ def _(spark, d):
     return tiles.best_zoom(fixture(spark, d, "tiles"), 5)
 
 
-@register("a27_terrain_catalog", f"WITH dm AS (SELECT tile_lon, tile_lat, count(*) AS length FROM ({plain('dem')}) GROUP BY 1, 2) SELECT tile_lon, tile_lat, 'N' || lpad(CAST(tile_lat AS VARCHAR), 2, '0') || 'E' || lpad(CAST(tile_lon AS VARCHAR), 3, '0') || '.hgt' AS file, round(length / 1048576e0, 1) AS size_mb FROM dm")
+@register("a27_terrain_catalog", f"WITH dm AS (SELECT tile_lon, tile_lat, count(*) AS length FROM ({plain('dem')}) GROUP BY 1, 2) SELECT tile_lon, tile_lat, printf('N%02dE%03d.hgt', tile_lat, tile_lon) AS file, round(length / 1048576e0, 1) AS size_mb FROM dm")
 def _(spark, d):
     files = fixture(spark, d, "dem").groupBy("tile_lon", "tile_lat").agg(F.count("*").alias("length")).select(T.degree_tile_name(F.col("tile_lon"), F.col("tile_lat")).alias("file"), "length")
     return tiles.terrain_catalog(files)
