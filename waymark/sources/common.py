@@ -103,8 +103,3 @@ def number(text: Column) -> Column:
 def first_error(errors: DataFrame) -> DataFrame:
     """One error a file, that of the first line."""
     return errors.groupBy("file").agg(F.min_by(F.struct("line", "msg"), "line").alias("e")).select("file", "e.*")
-
-
-def without_failed(df: DataFrame, errors: DataFrame) -> DataFrame:
-    """Rows of files that have no error: a failed file gives nothing, the others go on."""
-    return df.join(errors.select("file").distinct(), "file", "left_anti")

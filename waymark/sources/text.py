@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, projection, texts
 from waymark.operators.scan import Scan
-from waymark.sources.common import IN_FILE, Loaded, first_error, in_file, lines, lines_of, number, numbered, split_valid, without_failed
+from waymark.sources.common import IN_FILE, Loaded, first_error, in_file, lines, lines_of, number, numbered, split_valid
 
 
 def _part(parts: str, i: int) -> Column:
@@ -23,10 +23,12 @@ def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> Loaded:
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").schema("lon string, lat string, name string, description string").csv(path)
     df = df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth"))
     df = df.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("nth"))).withColumns({"lon": number(F.col("lon")), "lat": number(F.col("lat"))})
-    good, errors = split_valid(df.where("name is not null"), "invalid coordinates")
-    short = df.where("name is null").select("file", F.col("line_no").alias("line"), F.lit("too few columns").alias("msg"))
-    errors = first_error(errors.unionByName(short))
-    way = without_failed(good, errors).select("file", F.col("line_no").alias("wpt_no"), "lon", "lat", "name", "description")
+    good = geo.valid(F.col("lon"), F.col("lat"))
+    df = df.withColumns({"good": good, "msg": F.when(F.col("name").isNull(), "too few columns").when(~good, "invalid coordinates")})
+    errors = first_error(df.where("msg is not null").select("file", F.col("line_no").alias("line"), "msg"))
+    # told within the files' windows, so that places don't need a second scan for the files that failed
+    told = df.withColumn("failed", F.count("msg").over(Window.partitionBy("file")) > 0)
+    way = told.where("not failed and good").select("file", F.col("line_no").alias("wpt_no"), "lon", "lat", "name", "description")
     return Loaded(waypoints=way, errors=errors).completed(spark)
 
 
